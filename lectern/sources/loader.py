@@ -31,9 +31,10 @@ def read_table(
         if schema is None:
             return loaded
         return loaded.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.load(path)
+    if schema is None:
+        return reader.load(path)
+    # Partition columns come last from files; the schema's order is the table's.
+    return reader.schema(schema).load(path).select(*schema.names)
 
 
 def read_collection(
