@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.documents import value_json
+from lectern.operators.lookup import by_key
 from lectern.operators.running import number_rows
 from lectern.plans.views import is_open, shelf_sizes
 from lectern.schemas import PATCHABLE, PRIMARY_KEY
@@ -55,7 +56,7 @@ def fold_patches(patches: DataFrame, key: str, fields: list[str]) -> DataFrame:
         )
         at = F.when(is_set, F.col("seq"))
         last += [
-            F.max_by(F.struct(F.col(f).alias("v")), at).alias(f"_{f}"),
+            F.max_by(f, at).alias(f"_{f}"),
             F.max(at).isNotNull().alias(f"_{f}_set"),
         ]
     return patches.groupBy(key).agg(*last)
@@ -81,7 +82,7 @@ def update_rows(
     merged = base.join(folded, key, "left")
     snapshot = merged.select(
         *[
-            F.when(F.coalesce(F.col(f"_{c}_set"), F.lit(False)), F.col(f"_{c}.v"))
+            F.when(F.coalesce(F.col(f"_{c}_set"), F.lit(False)), F.col(f"_{c}"))
             .otherwise(F.col(c))
             .cast(base.schema[c].dataType)
             .alias(c)
@@ -90,7 +91,7 @@ def update_rows(
             for c in base.columns
         ]
     )
-    known = base.select(key, F.lit(True).alias("_known"))
+    known = by_key(base, patches, key).select(key, F.lit(True).alias("_known"))
     result = folded.join(known, key, "left").select(
         key, (any_set & F.col("_known").isNotNull()).alias("updated")
     )

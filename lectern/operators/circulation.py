@@ -16,6 +16,7 @@ from lectern.functions.dates import due_date
 from lectern.functions.documents import value_json
 from lectern.operators.admission import grant
 from lectern.operators.changes import assign_keys, timestamp, touched
+from lectern.operators.lookup import by_key
 from lectern.operators.quality import Rule, loan_period_rules
 from lectern.plans.views import is_open
 from lectern.schemas import (
@@ -58,13 +59,25 @@ def admit_loans(
     student's places. ``requests`` may name the key of the loan to be made in ``loan_id``; keys are
     assigned otherwise.
     """
-    books = tables.books.select(
-        "book_id", F.col("status").alias("_book_status"), F.col("book_type").alias("_book_type")
-    )
-    students = tables.students.select("student_id", F.col("status").alias("_student_status"))
     open_loans = tables.loans.where(is_open())
-    held = open_loans.groupBy("student_id").agg(F.count("*").alias("_held"))
-    out = open_loans.select("book_id").distinct().withColumn("_out", F.lit(True))
+    out = by_key(open_loans, requests, "book_id").select("book_id").distinct()
+    books = (
+        by_key(tables.books, requests, "book_id")
+        .select(
+            "book_id", F.col("status").alias("_book_status"), F.col("book_type").alias("_book_type")
+        )
+        .join(out.withColumn("_out", F.lit(True)), "book_id", "left")
+    )
+    held = (
+        by_key(open_loans, requests, "student_id")
+        .groupBy("student_id")
+        .agg(F.count("*").alias("_held"))
+    )
+    students = (
+        by_key(tables.students, requests, "student_id")
+        .select("student_id", F.col("status").alias("_student_status"))
+        .join(held, "student_id", "left")
+    )
 
     opened = F.coalesce("loan_date", F.lit(as_of))
     if flat_due_date:
@@ -76,8 +89,6 @@ def admit_loans(
         requests.withColumn("loan_date", opened)
         .join(books, "book_id", "left")
         .join(students, "student_id", "left")
-        .join(held, "student_id", "left")
-        .join(out, "book_id", "left")
         .withColumns(
             {
                 "estimated_return_date": F.coalesce("estimated_return_date", default_due),
@@ -115,7 +126,7 @@ def admit_loans(
         .when(F.col("_out").isNotNull(), "book_on_loan")
         .otherwise(F.col("_broken"))
     )
-    decided = (
+    decided = pin(
         facts.join(taken, "book_id", "left")
         .join(grants, "student_id", "left")
         .withColumn("reason", reason)
@@ -165,9 +176,12 @@ def apply_returns(
 
     The first valid return of a loan closes it, later ones find it closed.
     """
-    facts = returns.select(
-        "seq", "loan_id", F.coalesce("return_date", F.lit(as_of)).alias("return_date")
-    ).join(loans.select("loan_id", "loan_date", "loan_status"), "loan_id", "left")
+    known = by_key(loans, returns, "loan_id").select("loan_id", "loan_date", "loan_status")
+    facts = pin(
+        returns.select(
+            "seq", "loan_id", F.coalesce("return_date", F.lit(as_of)).alias("return_date")
+        ).join(known, "loan_id", "left")
+    )
     valid = is_open() & (F.col("return_date") >= F.col("loan_date"))
     closing = (
         facts.where(valid)
@@ -196,9 +210,8 @@ def renew_loans(
     loans: DataFrame, renewals: DataFrame, moment: datetime | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Give active loans a new due date, once per valid renewal in order; ``(loans, result)``."""
-    facts = renewals.select("seq", "loan_id", "new_due").join(
-        loans.select("loan_id", "loan_date", "loan_status"), "loan_id", "left"
-    )
+    known = by_key(loans, renewals, "loan_id").select("loan_id", "loan_date", "loan_status")
+    facts = renewals.select("seq", "loan_id", "new_due").join(known, "loan_id", "left")
     opened, due = F.col("loan_date"), F.col("new_due")
     reason = (
         F.when(F.col("loan_status").isNull(), "loan_not_found")
@@ -206,7 +219,7 @@ def renew_loans(
         .when(due.isNull() | (due <= opened), "due_not_after_loan")
         .when(due > F.date_add(opened, MAX_LOAN_DAYS), "loan_period_too_long")
     )
-    decided = _first_reason(facts, reason)
+    decided = pin(_first_reason(facts, reason))
     renewed = (
         decided.where("accepted")
         .groupBy("loan_id")
@@ -246,7 +259,7 @@ def _set_status(
         **touched(changed, moment),
     }
     after = df.join(last, key, "left").withColumns(changes).select(*df.columns)
-    known = df.select(key, F.lit(True).alias("_known"))
+    known = by_key(df, wanted, key).select(key, F.lit(True).alias("_known"))
     reason = F.when(~usable, "status_unknown").when(F.col("_known").isNull(), "not_found")
     result = _first_reason(wanted.join(known, key, "left"), reason).select(
         "seq", key, "status", "accepted", "reason"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lectern.functions import capacity
 from lectern.operators.admission import grant
 from lectern.operators.changes import assign_keys, timestamp
+from lectern.operators.lookup import by_key
 from lectern.operators.quality import strict_rules
 from lectern.plans.views import physical_books
 from lectern.schemas import DEFAULTS, PRIMARY_KEY, TABLES, UNIQUE
@@ -61,7 +62,7 @@ def ingest(
         "_reason", F.coalesce(*[F.when(r.violated, F.lit(r.name)) for r in rules])
     )
     for column in unique:
-        taken = existing.where(F.col(column).isNotNull()).select(column).distinct()
+        taken = by_key(existing, facts, column).select(column).distinct()
         facts = (
             facts.join(taken.withColumn("_taken", F.lit(True)), column, "left")
             .withColumn(
@@ -106,8 +107,10 @@ def ingest(
             column, F.col("seq").alias(f"_{column}_at")
         )
         decided = decided.join(winners, column, "left")
-    decided = decided.withColumn("accepted", F.col("_granted").isNotNull()).withColumn(
-        "reason", F.when(~F.col("accepted"), F.coalesce("_reason", lost))
+    decided = pin(
+        decided.withColumn("accepted", F.col("_granted").isNotNull()).withColumn(
+            "reason", F.when(~F.col("accepted"), F.coalesce("_reason", lost))
+        )
     )
     columns = existing.columns
     accepted = assign_keys(decided.where("accepted").select("seq", *columns), existing, key)

@@ -10,8 +10,12 @@ from lectern.sources.collection import Collection
 
 
 def by_key(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose ``key`` occurs in ``keys``; each at most once however often asked for."""
-    return df.join(keys.select(key), key, "left_semi")
+    """Rows of ``df`` whose ``key`` occurs in ``keys``; each at most once however often asked for.
+
+    Also used to cut a large table down to what a batch of requests is about, before joining the two:
+    a small batch is broadcast and the table is then only scanned. Equal keys collapse map-side.
+    """
+    return df.join(keys.select(key).distinct(), key, "left_semi")
 
 
 def books_with_shelf(tables: Collection, books: DataFrame | None = None) -> DataFrame:
@@ -47,7 +51,8 @@ def loan_by_id(tables: Collection, keys: DataFrame) -> DataFrame:
 
 def shelf_room(tables: Collection, requests: DataFrame) -> DataFrame:
     """Requests with ``has_capacity`` of their shelf; ``reason`` is set where the shelf is unknown."""
-    room = tables.shelves.select("shelf_id", capacity.has_capacity().alias("has_capacity"))
+    asked = by_key(tables.shelves, requests, "shelf_id")
+    room = asked.select("shelf_id", capacity.has_capacity().alias("has_capacity"))
     return requests.join(room, "shelf_id", "left").withColumn(
         "reason", F.when(F.col("has_capacity").isNull(), "shelf_not_found")
     )
@@ -55,8 +60,10 @@ def shelf_room(tables: Collection, requests: DataFrame) -> DataFrame:
 
 def missing_parties(tables: Collection, requests: DataFrame) -> DataFrame:
     """Requests with flags telling whether their book and student exist."""
-    books = tables.books.select("book_id", F.lit(True).alias("_book"))
-    students = tables.students.select("student_id", F.lit(True).alias("_student"))
+    books = by_key(tables.books, requests, "book_id").select("book_id", F.lit(True).alias("_book"))
+    students = by_key(tables.students, requests, "student_id").select(
+        "student_id", F.lit(True).alias("_student")
+    )
     return (
         requests.join(books, "book_id", "left")
         .join(students, "student_id", "left")

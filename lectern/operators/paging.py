@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.session import small
+
 PAGE_SIZE = 10_000
 
 
@@ -36,13 +38,20 @@ def gather(
 ) -> DataFrame:
     """``group, page, name``: sorted arrays of ``element``, paged where a group is large.
 
-    ``sizes`` holds ``group`` and ``rows``, the number of rows per group.
+    ``sizes`` holds ``group`` and ``rows``, the number of rows per group, already pinned. It is looked
+    at now: usually no group is large, and then the rows are shuffled once and joined with nothing.
     """
-    pages = sizes.select(group, page_count(F.col("rows"), page_size).alias("_pages"))
-    return (
-        df.select(group, row_key, element.alias("_element"))
-        .join(pages, group)
-        .withColumn("page", page_of(row_key, F.col("_pages")))
-        .groupBy(group, "page")
-        .agg(F.array_sort(F.collect_list("_element")).alias(name))
+    elements = df.select(group, row_key, element.alias("_element"))
+    large = sizes.where(F.col("rows") > page_size).select(
+        group, page_count(F.col("rows"), page_size).alias("_pages")
     )
+    if large.isEmpty():
+        paged = elements.withColumn("page", F.lit(0))
+    else:
+        # Partitioned by page as well, or the join's partitioning would keep a group in one task.
+        paged = (
+            elements.join(small(large), group, "left")
+            .withColumn("page", page_of(row_key, F.coalesce("_pages", F.lit(1))))
+            .repartition(group, "page")
+        )
+    return paged.groupBy(group, "page").agg(F.array_sort(F.collect_list("_element")).alias(name))

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from lectern.functions import capacity
 from lectern.operators.changes import touched
+from lectern.operators.lookup import by_key
 from lectern.operators.quality import strict_rules
 from lectern.operators.running import running_total
 from lectern.plans.views import physical_books, shelf_sizes
+from lectern.session import pin
 from lectern.sources.collection import Collection
 
 
@@ -32,7 +34,7 @@ def place_books(tables: Collection, placements: DataFrame, as_of: date) -> DataF
     """
     rules = strict_rules("books", as_of)
     broken = F.coalesce(*[F.when(r.violated, F.lit(r.name)) for r in rules])
-    facts = (
+    facts = pin(
         placements.join(_free(tables), "shelf_id", "left")
         .withColumn("_broken", broken)
         .select(*placements.columns, "_free", "_broken")
@@ -67,7 +69,7 @@ def move_books(
     the shelf in order; places that departures leave become free after the batch. A move to the shelf
     the book is on needs no place.
     """
-    books = tables.books.select(
+    books = by_key(tables.books, moves, "book_id").select(
         "book_id", "book_type", F.col("shelf_id").alias("_from"), F.lit(True).alias("_known")
     )
     facts = moves.join(books, "book_id", "left").join(_free(tables), "shelf_id", "left")
@@ -77,13 +79,15 @@ def move_books(
         .when(F.col("shelf_id").isNull(), "shelf_required")
         .when(F.col("_free").isNull(), "shelf_not_found")
     )
-    checked = facts.withColumn("_unsound", unsound)
+    checked = pin(facts.withColumn("_unsound", unsound))
     first = (
         checked.where(F.col("_unsound").isNull()).groupBy("book_id").agg(F.min("seq").alias("_at"))
     )
-    checked = checked.join(first, "book_id", "left").withColumn(
-        "_unsound",
-        F.coalesce("_unsound", F.when(F.col("_at") < F.col("seq"), F.lit("book_moved_already"))),
+    checked = pin(
+        checked.join(first, "book_id", "left").withColumn(
+            "_unsound",
+            F.coalesce("_unsound", F.when(F.col("_at") < F.col("seq"), F.lit("book_moved_already"))),
+        )
     )
     arrives = F.col("_unsound").isNull() & ~F.col("shelf_id").eqNullSafe(F.col("_from"))
     ranked = running_total(checked.where(arrives), ["shelf_id"], "seq", F.lit(1), "_place")

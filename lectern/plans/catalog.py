@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from lectern.functions import formats, text
 from lectern.functions.dates import due_date, lenient_date, month_label, month_start
-from lectern.functions.documents import row_json
+from lectern.functions.documents import row_json, value_json
 from lectern.operators import changes, circulation, ingest, lookup, quality, shelving
 from lectern.plans import listings, reports, views
 from lectern.schemas import AUDIT_LOG
@@ -39,15 +39,13 @@ QUERIES: dict[str, Query] = {}
 
 def plain(df: DataFrame) -> DataFrame:
     """Decimals as doubles and nested columns as JSON text."""
-    shown = []
+    shown = {}
     for f in df.schema:
-        column = F.col(f.name)
         if isinstance(f.dataType, T.DecimalType):
-            column = column.cast("double")
+            shown[f.name] = F.col(f.name).cast("double")
         elif isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
-            column = F.to_json(column, {"ignoreNullFields": "false"})
-        shown.append(column.alias(f.name))
-    return df.select(*shown)
+            shown[f.name] = value_json(F.col(f.name))
+    return df.withColumns(shown) if shown else df
 
 
 def over_tables(name: str, build: Callable[[Collection], DataFrame]) -> None:

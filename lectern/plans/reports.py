@@ -17,6 +17,7 @@ from lectern.functions.formats import EMAIL_LIKE
 from lectern.operators import paging
 from lectern.plans import views
 from lectern.plans.listings import down, up
+from lectern.session import pin
 from lectern.sources.collection import Collection
 
 _LATE = "actual_return_date > estimated_return_date"
@@ -305,7 +306,7 @@ def students_with_several_active(
         .select("student_id", "loan_id", "title")
     )
     # A loan counts when its book exists, and that needs only the keys of the books.
-    per_book = (
+    per_student = pin(
         tables.loans.where(F.col("loan_status") == "active")
         .join(tables.books.select("book_id"), "book_id", "left_semi")
         .groupBy("student_id")
@@ -313,10 +314,10 @@ def students_with_several_active(
         .where("rows > 1")
     )
     lists = paging.gather(
-        held, "student_id", "loan_id", per_book, F.struct("title", "loan_id"), "held", page_size
+        held, "student_id", "loan_id", per_student, F.struct("title", "loan_id"), "held", page_size
     )
     return (
-        lists.join(per_book, "student_id")
+        lists.join(per_student, "student_id")
         .join(
             tables.students.select(
                 "student_id", "student_number", text.display_name().alias("student_name")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = 8, app: str = "lectern") -> SparkSession:
@@ -17,6 +18,8 @@ def local_session(cpus: int | str = 8, app: str = "lectern") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        # Recording the Python call site of every column expression doubles the time to build a plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
@@ -42,11 +45,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, counted now, else unmarked.
+
+    For narrow frames that are cheap to count, such as pinned ones.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write ``df`` once to reliable storage and continue from the written rows.
 
     Used where later steps must see exactly the same rows however often a task is retried
-    (row positions, rounds of an iteration). A lost executor costs a re-read, not a re-run.
+    (row positions, rounds of an iteration), and where several of them use the same rows. A lost
+    executor costs a re-read, not a re-run. It also ends the stage: a skewed join right before it can
+    be split, which a grouping on the join's key would prevent.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:

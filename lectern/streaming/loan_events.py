@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lectern.operators.changes import audit_diff, touched
 from lectern.operators.circulation import admit_loans, derive_book_status
+from lectern.operators.lookup import by_key
 from lectern.plans.views import is_open
 from lectern.schemas import LOAN_EVENTS, MAX_LOAN_DAYS
 from lectern.session import pin
@@ -43,13 +44,14 @@ def fold_events(
     per loan, so a loan with very many events is no burden.
     """
     none = F.lit(2**63 - 1)
-    state = loans.select("loan_id", "book_id", "loan_date", "loan_status")
     lost = F.when(F.col("event") == "lost", F.col("seq"))
     losses = events.groupBy("loan_id").agg(F.min(lost).alias("_lost"))
-    facts = (
+    state = loans.select("loan_id", "book_id", "loan_date", "loan_status").join(
+        losses, "loan_id", "left"
+    )
+    facts = pin(
         events.select("seq", "event", "loan_id", "event_date", "new_due")
         .join(state, "loan_id", "left")
-        .join(losses, "loan_id", "left")
         .withColumn("_lost_or_end", F.coalesce("_lost", none))
     )
     opened, day, due = F.col("loan_date"), F.col("event_date"), F.col("new_due")
@@ -81,7 +83,9 @@ def fold_events(
         )
         .when(event != "lost", "event_unknown")
     )
-    decided = facts.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
+    decided = pin(
+        facts.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
+    )
     renewed = F.col("accepted") & (F.col("event") == "renew")
     net = (
         decided.where("accepted")
@@ -134,8 +138,7 @@ def apply_events(
     """The outcome of one batch of events on the current tables."""
     is_loan = F.col("event") == "loan"
     asked, others = events.where(is_loan), events.where(~is_loan)
-    named = events.select("loan_id").distinct()
-    existing = pin(tables.loans.join(named, "loan_id", "left_semi").select(*tables.loans.columns))
+    existing = pin(by_key(tables.loans, events, "loan_id").select(*tables.loans.columns))
     on_existing = others.join(existing.select("loan_id"), "loan_id", "left_semi")
     folded, folded_result, folded_changes = fold_events(existing, on_existing, moment)
     folded = pin(folded)
