@@ -6,7 +6,7 @@ caller writes the result to a new place (see ``sources.loader``).
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from lectern.functions.documents import value_json
 from lectern.operators.lookup import by_key
 from lectern.operators.running import number_rows
+from lectern.operators.quality import first_broken, strict_rules
 from lectern.plans.views import is_open, shelf_sizes
 from lectern.schemas import PATCHABLE, PRIMARY_KEY
+from lectern.session import pin
 from lectern.sources.collection import Collection
 
 
@@ -66,12 +68,14 @@ def update_rows(
     base: DataFrame,
     patches: DataFrame,
     table: str,
+    as_of: date,
     moment: datetime | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Apply patches ``seq, <key>, <fields...>[, set_fields]``; returns ``(snapshot, result)``.
 
-    Only patchable fields change. ``result`` has one row per patched key with ``updated``, false for
-    an unknown key or a patch that sets nothing.
+    Only patchable fields change. The patches of one key are taken together: if the row they lead to
+    breaks a rule of the table, the row stays as it was. ``result`` has one row per patched key with
+    ``updated``, false for an unknown key, a patch that sets nothing or a refused one, and ``reason``.
     """
     key = PRIMARY_KEY[table]
     fields = [f for f in PATCHABLE[table] if f in patches.columns]
@@ -79,23 +83,28 @@ def update_rows(
     any_set = F.lit(False)
     for f in fields:
         any_set = any_set | F.coalesce(F.col(f"_{f}_set"), F.lit(False))
-    merged = base.join(folded, key, "left")
-    snapshot = merged.select(
-        *[
-            F.when(F.coalesce(F.col(f"_{c}_set"), F.lit(False)), F.col(f"_{c}"))
-            .otherwise(F.col(c))
-            .cast(base.schema[c].dataType)
-            .alias(c)
-            if c in fields
-            else touched(any_set, moment).get(c, F.col(c)).alias(c)
-            for c in base.columns
-        ]
+    kinds = {f.name: f.dataType for f in base.schema}
+    patched = by_key(base, patches, key).join(folded, key).withColumns(
+        {
+            f: F.when(F.col(f"_{f}_set"), F.col(f"_{f}")).otherwise(F.col(f)).cast(kinds[f])
+            for f in fields
+        }
+    )
+    reason = F.when(~any_set, "nothing_set").otherwise(first_broken(strict_rules(table, as_of)))
+    judged = pin(
+        patched.withColumn("reason", reason)
+        .withColumns(touched(F.lit(True), moment))
+        .select(*base.columns, "reason")
     )
-    known = by_key(base, patches, key).select(key, F.lit(True).alias("_known"))
-    result = folded.join(known, key, "left").select(
-        key, (any_set & F.col("_known").isNotNull()).alias("updated")
+    changed = judged.where(F.col("reason").isNull()).select(*base.columns)
+    kept = base.join(changed.select(key), key, "left_anti").select(*base.columns)
+    result = (
+        folded.select(key)
+        .join(judged.select(key, "reason", F.lit(True).alias("_known")), key, "left")
+        .withColumn("reason", F.when(F.col("_known").isNull(), "not_found").otherwise(F.col("reason")))
+        .select(key, F.col("reason").isNull().alias("updated"), "reason")
     )
-    return snapshot, result
+    return kept.unionByName(changed), result
 
 
 def delete_students(tables: Collection, keys: DataFrame, moment: datetime | None = None) -> Collection:

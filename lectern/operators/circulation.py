@@ -17,7 +17,7 @@ from lectern.functions.documents import value_json
 from lectern.operators.admission import grant
 from lectern.operators.changes import assign_keys, timestamp, touched
 from lectern.operators.lookup import by_key
-from lectern.operators.quality import Rule, loan_period_rules
+from lectern.operators.quality import first_broken, loan_period_rules
 from lectern.plans.views import is_open
 from lectern.schemas import (
     BOOK_STATUSES,
@@ -39,11 +39,6 @@ class Admission:
     tables: Collection
 
 
-def _first_broken(rules: list[Rule]) -> Column:
-    """Name of the first violated rule, null for a clean row."""
-    return F.coalesce(*[F.when(r.violated, F.lit(r.name)) for r in rules])
-
-
 def admit_loans(
     tables: Collection,
     requests: DataFrame,
@@ -95,7 +90,7 @@ def admit_loans(
                 "_held": F.coalesce("_held", F.lit(0)),
             }
         )
-        .withColumn("_broken", _first_broken(loan_period_rules(as_of)))
+        .withColumn("_broken", first_broken(loan_period_rules(as_of)))
     )
     # Requests that fail on their own never take a book or a place.
     eligible = facts.where(
@@ -241,44 +236,52 @@ def _set_status(
     wanted: DataFrame,
     key: str,
     column: str,
-    allowed: tuple[str, ...] | None,
+    refused: Column,
     moment: datetime | None,
 ) -> tuple[DataFrame, DataFrame]:
-    if allowed is None:
-        usable = F.lit(True)
-    else:
-        usable = F.coalesce(F.col("status").isin(*allowed), F.lit(False))
-    last = (
-        wanted.where(usable)
-        .groupBy(key)
-        .agg(F.max_by("status", "seq").alias("_status"), F.lit(True).alias("_set"))
+    """The last request per key that ``refused`` finds no reason against sets the status."""
+    known = by_key(df, wanted, key).drop("status").withColumn("_known", F.lit(True))
+    reason = F.when(F.col("_known").isNull(), "not_found").otherwise(refused)
+    decided = pin(
+        _first_reason(wanted.join(known, key, "left"), reason).select(
+            "seq", key, "status", "accepted", "reason"
+        )
     )
-    changed = F.col("_set").isNotNull()
+    last = decided.where("accepted").groupBy(key).agg(F.max_by("status", "seq").alias("_status"))
     changes = {
-        column: F.when(changed, F.col("_status")).otherwise(F.col(column)),
-        **touched(changed, moment),
+        column: F.coalesce("_status", column),
+        **touched(F.col("_status").isNotNull(), moment),
     }
-    after = df.join(last, key, "left").withColumns(changes).select(*df.columns)
-    known = by_key(df, wanted, key).select(key, F.lit(True).alias("_known"))
-    reason = F.when(~usable, "status_unknown").when(F.col("_known").isNull(), "not_found")
-    result = _first_reason(wanted.join(known, key, "left"), reason).select(
-        "seq", key, "status", "accepted", "reason"
-    )
-    return after, result
+    return df.join(last, key, "left").withColumns(changes).select(*df.columns), decided
+
+
+def _status_unknown(allowed: tuple[str, ...]) -> Column:
+    known = F.coalesce(F.col("status").isin(*allowed), F.lit(False))
+    return F.when(~known, F.lit("status_unknown"))
 
 
 def set_loan_status(
     loans: DataFrame, wanted: DataFrame, moment: datetime | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Set statuses by ``seq, loan_id, status`` unconditionally; the last one per loan stays."""
-    return _set_status(loans, wanted, "loan_id", "loan_status", LOAN_STATUSES, moment)
+    """Set statuses by ``seq, loan_id, status``, whatever the loan's status was.
+
+    The last status per loan stays. Only the table's own constraints can refuse one: a returned loan
+    has a return date and an active loan has none.
+    """
+    status, actual = F.col("status"), F.col("actual_return_date")
+    refused = F.coalesce(
+        _status_unknown(LOAN_STATUSES),
+        F.when((status == "returned") & actual.isNull(), "returned_without_date"),
+        F.when((status == "active") & actual.isNotNull(), "active_with_return_date"),
+    )
+    return _set_status(loans, wanted, "loan_id", "loan_status", refused, moment)
 
 
 def set_book_status(
     books: DataFrame, wanted: DataFrame, moment: datetime | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Set statuses by ``seq, book_id, status``; an unknown status is refused."""
-    return _set_status(books, wanted, "book_id", "status", BOOK_STATUSES, moment)
+    """Set statuses by ``seq, book_id, status``; the last one per book stays."""
+    return _set_status(books, wanted, "book_id", "status", _status_unknown(BOOK_STATUSES), moment)
 
 
 def _turns_overdue(as_of: date) -> Column:

@@ -12,7 +12,7 @@ from lectern.functions import capacity
 from lectern.operators.admission import grant
 from lectern.operators.changes import assign_keys, timestamp
 from lectern.operators.lookup import by_key
-from lectern.operators.quality import strict_rules
+from lectern.operators.quality import first_broken, strict_rules
 from lectern.plans.views import physical_books
 from lectern.schemas import DEFAULTS, PRIMARY_KEY, TABLES, UNIQUE
 from lectern.session import pin
@@ -57,9 +57,8 @@ def ingest(
     """
     existing = tables.as_dict()[table]
     key, unique = PRIMARY_KEY[table], list(UNIQUE[table])
-    rules = strict_rules(table, as_of)
     facts = fill_defaults(rows, table, moment).withColumn(
-        "_reason", F.coalesce(*[F.when(r.violated, F.lit(r.name)) for r in rules])
+        "_reason", first_broken(strict_rules(table, as_of))
     )
     for column in unique:
         taken = by_key(existing, facts, column).select(column).distinct()

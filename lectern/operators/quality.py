@@ -283,6 +283,11 @@ def intake_rules(table: str, as_of: date) -> list[Rule]:
 # Applying rules
 
 
+def first_broken(rules: list[Rule]) -> Column:
+    """Name of the first violated rule, null for a clean row."""
+    return F.coalesce(*[F.when(r.violated, F.lit(r.name)) for r in rules])
+
+
 def validate(df: DataFrame, rules: list[Rule], messages: bool = False) -> DataFrame:
     """Adds ``violations``: names (or messages) of the broken rules, empty for a clean row."""
     said = [

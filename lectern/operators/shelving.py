@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import capacity
 from lectern.operators.changes import touched
 from lectern.operators.lookup import by_key
-from lectern.operators.quality import strict_rules
+from lectern.operators.quality import first_broken, strict_rules
 from lectern.operators.running import running_total
 from lectern.plans.views import physical_books, shelf_sizes
 from lectern.session import pin
@@ -32,8 +32,7 @@ def place_books(tables: Collection, placements: DataFrame, as_of: date) -> DataF
     a rule of its own takes no room. Shelves of any size are handled: ranks come from running totals
     that cut a hot shelf's queue into slices.
     """
-    rules = strict_rules("books", as_of)
-    broken = F.coalesce(*[F.when(r.violated, F.lit(r.name)) for r in rules])
+    broken = first_broken(strict_rules("books", as_of))
     facts = pin(
         placements.join(_free(tables), "shelf_id", "left")
         .withColumn("_broken", broken)

@@ -408,6 +408,10 @@ over_batches(
     "l4_loans_after_status",
     lambda t, b: circulation.set_loan_status(t.loans, b.loan_statuses(), MOMENT)[0],
 )
+over_batches(
+    "l4_loan_status_result",
+    lambda t, b: circulation.set_loan_status(t.loans, b.loan_statuses())[1],
+)
 over_batches(
     "l4_books_after_status",
     lambda t, b: circulation.set_book_status(t.books, b.book_statuses(), MOMENT)[0],
@@ -457,11 +461,13 @@ over_tables("p4_fix_capacity_counts", lambda t: shelving.fix_capacity_counts(t,
 
 over_batches(
     "w1_students_after_patches",
-    lambda t, b: changes.update_rows(t.students, b.student_patches(), "students", MOMENT)[0],
+    lambda t, b: changes.update_rows(
+        t.students, b.student_patches(), "students", ENROLLED_BY, MOMENT
+    )[0],
 )
 over_batches(
     "w1_patch_result",
-    lambda t, b: changes.update_rows(t.students, b.student_patches(), "students")[1],
+    lambda t, b: changes.update_rows(t.students, b.student_patches(), "students", ENROLLED_BY)[1],
 )
 over_tables(
     "w2_loans_after_student_delete",

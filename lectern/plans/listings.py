@@ -1,7 +1,8 @@
 """Filtered, searched and ordered listings of tables and views.
 
 Ordering is part of a listing, and costs a range shuffle of the result; pass ``ordered=False`` where
-the rows go on into another step. Nulls sort last when ascending and first when descending.
+the rows go on into another step. Nulls sort last when ascending and first when descending. Every
+order ends in a key, so that a value shared by very many rows can still be cut into several ranges.
 """
 
 from __future__ import annotations
@@ -45,13 +46,13 @@ def _where(df: DataFrame, column: str, wanted) -> DataFrame:
 
 def students(tables: Collection, status: str | None = None, ordered: bool = True) -> DataFrame:
     found = _where(tables.students, "status", status)
-    return _listed(found, ordered, up("last_name"), up("first_name"))
+    return _listed(found, ordered, up("last_name"), up("first_name"), up("student_id"))
 
 
 def students_by_name(tables: Collection, name: str, ordered: bool = True) -> DataFrame:
     full = text.joined("first_name", F.lit(" "), "last_name")
     found = tables.students.where(text.any_contains(["first_name", "last_name", full], name))
-    return _listed(found, ordered, up("last_name"), up("first_name"))
+    return _listed(found, ordered, up("last_name"), up("first_name"), up("student_id"))
 
 
 def students_by_program(tables: Collection, program: str) -> DataFrame:
@@ -69,24 +70,24 @@ def malformed_emails(tables: Collection) -> DataFrame:
 
 def shelves(tables: Collection, section: str | None = None, ordered: bool = True) -> DataFrame:
     found = _where(tables.shelves, "section", section)
-    return _listed(found, ordered, up("location_code"))
+    return _listed(found, ordered, up("location_code"), up("shelf_id"))
 
 
 def shelves_by_topic(tables: Collection, topic: str, ordered: bool = True) -> DataFrame:
     found = views.shelf_utilization(tables).where(text.contains("main_topic", topic))
-    return _listed(found, ordered, up("location_code"))
+    return _listed(found, ordered, up("location_code"), up("shelf_id"))
 
 
 def shelves_with_space(tables: Collection, at_least: int = 1, ordered: bool = True) -> DataFrame:
     found = views.shelf_utilization(tables).where(F.col("available_space") >= at_least)
-    return _listed(found, ordered, down("available_space"), up("location_code"))
+    return _listed(found, ordered, down("available_space"), up("location_code"), up("shelf_id"))
 
 
 def shelf_utilization(
     tables: Collection, shelf_id: int | DataFrame | None = None, ordered: bool = True
 ) -> DataFrame:
     found = _where(views.shelf_utilization(tables), "shelf_id", shelf_id)
-    return _listed(found, ordered, up("location_code"))
+    return _listed(found, ordered, up("location_code"), up("shelf_id"))
 
 
 def most_utilized_shelves(tables: Collection, ordered: bool = True) -> DataFrame:
@@ -122,12 +123,12 @@ def books_with_location(tables: Collection, ordered: bool = True) -> DataFrame:
         "section",
         "main_topic",
     )
-    return _listed(found, ordered, up("title"))
+    return _listed(found, ordered, up("title"), up("book_id"))
 
 
 def books_by_status(tables: Collection, status: str, ordered: bool = True) -> DataFrame:
     found = books_with_shelf(tables).where(F.col("status") == status)
-    return _listed(found, ordered, up("title"), up("author"))
+    return _listed(found, ordered, up("title"), up("author"), up("book_id"))
 
 
 def books_on_shelf(
@@ -139,11 +140,11 @@ def books_on_shelf(
     found = _where(tables.books, "shelf_id", shelf_id)
     if physical_only:
         found = found.where(F.col("book_type") == "physical")
-    return _listed(found, ordered, up("title"), up("author"))
+    return _listed(found, ordered, up("title"), up("author"), up("book_id"))
 
 
 def available_books(tables: Collection, ordered: bool = True) -> DataFrame:
-    return _listed(views.available_books(tables), ordered, up("title"), up("author"))
+    return _listed(views.available_books(tables), ordered, up("title"), up("author"), up("book_id"))
 
 
 def search_books(
@@ -154,7 +155,7 @@ def search_books(
 ) -> DataFrame:
     """Inventory rows where one of the fields contains one of the terms."""
     found = views.book_inventory(tables).where(text.any_contains(fields, terms))
-    return _listed(found, ordered, up("title"), up("author"))
+    return _listed(found, ordered, up("title"), up("author"), up("book_id"))
 
 
 def inventory(
@@ -173,14 +174,14 @@ def inventory(
     for column, term in (("author", author), ("title", title)):
         if term:
             found = found.where(text.contains(column, term))
-    return _listed(found, ordered, up("title"), up("author"))
+    return _listed(found, ordered, up("title"), up("author"), up("book_id"))
 
 
 def books_by_shelf(
     tables: Collection, shelf_id: int | DataFrame | None = None, ordered: bool = True
 ) -> DataFrame:
     found = _where(views.books_by_shelf(tables), "shelf_id", shelf_id)
-    return _listed(found, ordered, up("location_code"), up("page"))
+    return _listed(found, ordered, up("location_code"), up("page"), up("shelf_id"))
 
 
 def never_loaned(tables: Collection, ordered: bool = True) -> DataFrame:
@@ -189,7 +190,7 @@ def never_loaned(tables: Collection, ordered: bool = True) -> DataFrame:
     found = tables.books.join(loaned, "book_id", "left_anti").select(
         "book_id", "title", "author", "status", "publication_year"
     )
-    return _listed(found, ordered, up("title"))
+    return _listed(found, ordered, up("title"), up("book_id"))
 
 
 # Loans
@@ -202,14 +203,14 @@ def active_loans(
     ordered: bool = True,
 ) -> DataFrame:
     found = _where(views.active_loans(tables, as_of), "student_id", student_id)
-    return _listed(found, ordered, up("estimated_return_date"))
+    return _listed(found, ordered, up("estimated_return_date"), up("loan_id"))
 
 
 def overdue_loans(
     tables: Collection, as_of: date, worst_first: bool = True, ordered: bool = True
 ) -> DataFrame:
     order = down("days_overdue") if worst_first else up("estimated_return_date")
-    return _listed(views.overdue_loans(tables, as_of), ordered, order)
+    return _listed(views.overdue_loans(tables, as_of), ordered, order, up("loan_id"))
 
 
 def loan_history(
@@ -221,7 +222,7 @@ def loan_history(
 ) -> DataFrame:
     found = _where(views.loan_history(tables, as_of), "student_id", student_id)
     found = _where(found, "book_id", book_id)
-    return _listed(found, ordered, down("loan_date"))
+    return _listed(found, ordered, down("loan_date"), up("loan_id"))
 
 
 def student_loans(
@@ -236,7 +237,7 @@ def student_loans(
         .select(*tables.loans.columns, "title", "author", "isbn")
     )
     order = up("estimated_return_date") if open_only else down("loan_date")
-    return _listed(found, ordered, order)
+    return _listed(found, ordered, order, up("loan_id"))
 
 
 def book_loans(tables: Collection, keys: DataFrame, ordered: bool = True) -> DataFrame:
@@ -249,7 +250,7 @@ def book_loans(tables: Collection, keys: DataFrame, ordered: bool = True) -> Dat
         .join(people, "student_id")
         .select(*tables.loans.columns, "student_number", "first_name", "last_name", "email")
     )
-    return _listed(found, ordered, down("loan_date"))
+    return _listed(found, ordered, down("loan_date"), up("loan_id"))
 
 
 def loans_with_details(tables: Collection, as_of: date, ordered: bool = True) -> DataFrame:
@@ -266,7 +267,7 @@ def loans_with_details(tables: Collection, as_of: date, ordered: bool = True) ->
         "renewal_count",
         views.loan_duration(as_of).alias("days_on_loan"),
     )
-    return _listed(found, ordered, down("loan_date"))
+    return _listed(found, ordered, down("loan_date"), up("loan_id"))
 
 
 def active_loan_flags(tables: Collection, as_of: date, ordered: bool = True) -> DataFrame:
@@ -284,4 +285,4 @@ def active_loan_flags(tables: Collection, as_of: date, ordered: bool = True) ->
         days_between(as_of, due).alias("days_overdue"),
         F.when(due < F.lit(as_of), "OVERDUE").otherwise("ON TIME").alias("status"),
     )
-    return _listed(found, ordered, up("estimated_return_date"))
+    return _listed(found, ordered, up("estimated_return_date"), up("loan_id"))

@@ -906,6 +906,17 @@ batch_sql(
     """,
     RENEWED,
 )
+JUDGED_STATUSES = """
+judged_statuses AS (
+  SELECT w.seq, w.loan_id, w.status,
+         CASE WHEN l.loan_id IS NULL THEN 'not_found'
+              WHEN w.status = 'misplaced' THEN 'status_unknown'
+              WHEN w.status = 'returned' AND l.actual_return_date IS NULL
+              THEN 'returned_without_date'
+              WHEN w.status = 'active' AND l.actual_return_date IS NOT NULL
+              THEN 'active_with_return_date' END AS reason
+  FROM loan_statuses w LEFT JOIN loans l ON w.loan_id = l.loan_id
+)"""
 batch_sql(
     "l4_loans_after_status",
     f"""
@@ -913,9 +924,15 @@ batch_sql(
       COALESCE(w.status, l.loan_status) AS loan_status,
       CASE WHEN w.status IS NULL THEN l.updated_at ELSE {MOMENT} END AS updated_at)
     FROM loans l LEFT JOIN (
-      SELECT loan_id, arg_max(status, seq) AS status FROM loan_statuses
-      WHERE status <> 'misplaced' GROUP BY loan_id) w ON l.loan_id = w.loan_id
+      SELECT loan_id, arg_max(status, seq) AS status FROM judged_statuses
+      WHERE reason IS NULL GROUP BY loan_id) w ON l.loan_id = w.loan_id
     """,
+    JUDGED_STATUSES,
+)
+batch_sql(
+    "l4_loan_status_result",
+    "SELECT seq, loan_id, status, reason IS NULL AS accepted, reason FROM judged_statuses",
+    JUDGED_STATUSES,
 )
 batch_sql(
     "l4_books_after_status",
@@ -932,8 +949,8 @@ batch_sql(
     "l4_book_status_result",
     """
     SELECT seq, book_id, status, reason IS NULL AS accepted, reason FROM (
-      SELECT s.*, CASE WHEN s.status = 'misplaced' THEN 'status_unknown'
-                       WHEN b.book_id IS NULL THEN 'not_found' END AS reason
+      SELECT s.*, CASE WHEN b.book_id IS NULL THEN 'not_found'
+                       WHEN s.status = 'misplaced' THEN 'status_unknown' END AS reason
       FROM book_statuses s LEFT JOIN (SELECT book_id FROM books) b ON s.book_id = b.book_id)
     """,
 )
@@ -1069,26 +1086,34 @@ sql(
 
 # Changes and audit
 
-FOLDED = """
+FOLDED = f"""
 folded AS (
   SELECT student_id, arg_max(program, seq) AS program, bool_or(clears_phone) AS clears_phone
   FROM patches GROUP BY student_id
+),
+patched AS (
+  SELECT *, {first_broken(student_checks(2025))} AS reason
+  FROM (SELECT s.* REPLACE (f.program AS program,
+                            CASE WHEN f.clears_phone THEN NULL ELSE s.phone END AS phone,
+                            {MOMENT} AS updated_at)
+        FROM students s JOIN folded f ON s.student_id = f.student_id)
 )"""
 batch_sql(
     "w1_students_after_patches",
-    f"""
-    SELECT s.* REPLACE (
-      COALESCE(f.program, s.program) AS program,
-      CASE WHEN f.clears_phone THEN NULL ELSE s.phone END AS phone,
-      CASE WHEN f.student_id IS NULL THEN s.updated_at ELSE {MOMENT} END AS updated_at)
-    FROM students s LEFT JOIN folded f ON s.student_id = f.student_id
+    """
+    SELECT * EXCLUDE (reason) FROM patched WHERE reason IS NULL
+    UNION ALL SELECT * FROM students
+    WHERE student_id NOT IN (SELECT student_id FROM patched WHERE reason IS NULL)
     """,
     FOLDED,
 )
 batch_sql(
     "w1_patch_result",
     """
-    SELECT student_id, student_id IN (SELECT student_id FROM students) AS updated FROM folded
+    SELECT student_id, reason IS NULL AS updated, reason FROM (
+      SELECT f.student_id, CASE WHEN p.student_id IS NULL THEN 'not_found' ELSE p.reason END
+             AS reason
+      FROM folded f LEFT JOIN patched p ON f.student_id = p.student_id)
     """,
     FOLDED,
 )

@@ -256,6 +256,16 @@ def test_status_setting(spark, seed):
     books, result = circulation.set_book_status(seed.books, asked)
     assert dict(rows(books, "book_id", "status"))[1] == "maintenance"
     assert dict(rows(result, "seq", "reason")) == {1: None, 2: None, 3: "status_unknown", 4: "not_found"}
+    asked = spark.createDataFrame(
+        [(1, 2, "lost"), (2, 2, "returned"), (3, 1, "active"), (4, 1, "lost")],
+        "seq long, loan_id long, status string",
+    )
+    loans, result = circulation.set_loan_status(seed.loans, asked)
+    assert dict(rows(result, "seq", "reason")) == {
+        1: None, 2: "returned_without_date", 3: "active_with_return_date", 4: None
+    }
+    found = dict(rows(loans, "loan_id", "loan_status"))
+    assert (found[1], found[2], found[4]) == ("lost", "lost", "active")
 
 
 def shelf_case(spark, rng, n=200):
@@ -389,14 +399,19 @@ def test_shelf_deltas_agree_with_a_recount(spark, seed):
 def test_patches(spark, seed):
     patches = spark.createDataFrame(
         [(1, 1, "X", None, ["program"]), (2, 1, "Y", None, ["program"]), (3, 1, "Z", None, ["phone"]),
-         (4, 2, None, None, ["program"]), (5, 3, "Q", "1234567", []), (6, 99, "Q", None, ["program"])],
+         (4, 2, None, None, ["program"]), (5, 3, "Q", "1234567", []), (6, 99, "Q", None, ["program"]),
+         (7, 4, "Q", "call me", ["program", "phone"])],
         "seq long, student_id long, program string, phone string, set_fields array<string>",
     )
-    after, result = changes.update_rows(seed.students, patches, "students", MOMENT)
+    after, result = changes.update_rows(seed.students, patches, "students", AS_OF, MOMENT)
     found = {r.student_id: (r.program, r.phone, r.updated_at) for r in after.collect()}
     assert found[1] == ("Y", None, MOMENT) and found[2] == (None, None, MOMENT)
-    assert found[3] == ("Programme B", None, None)
-    assert dict(rows(result)) == {1: True, 2: True, 3: False, 99: False}
+    assert found[3] == ("Programme B", None, None) and found[4] == ("Programme B", None, None)
+    assert len(found) == 5
+    assert rows(result) == [
+        (1, True, None), (2, True, None), (3, False, "nothing_set"), (4, False, "phone_format"),
+        (99, False, "not_found"),
+    ]
 
 
 def test_deletes(spark, seed):
