@@ -17,7 +17,7 @@ from lectern.functions import formats, text
 from lectern.functions.dates import due_date, lenient_date, month_label, month_start
 from lectern.functions.documents import row_json, value_json
 from lectern.operators import changes, circulation, ingest, lookup, quality, shelving
-from lectern.plans import listings, reports, views
+from lectern.plans import listings, reports, sql_functions, views
 from lectern.schemas import AUDIT_LOG
 from lectern.session import scratch_path
 from lectern.sources import star, star_batches
@@ -340,6 +340,43 @@ over_tables(
     ),
 )
 
+
+def from_sql(name: str, statement: str) -> None:
+    """A query in SQL over the published tables and functions."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for table, df in star.read_star(spark, sf_dir).as_dict().items():
+            df.createOrReplaceTempView(table)
+        sql_functions.publish_functions(spark)
+        return spark.sql(statement)
+
+    QUERIES[name] = run
+
+
+from_sql(
+    "s22_due_date_function",
+    """
+    SELECT l.loan_id, calculate_estimated_return_date(l.loan_date, b.book_type) AS due,
+           calculate_estimated_return_date(l.loan_date) AS usual_due
+    FROM loans l JOIN books b ON l.book_id = b.book_id
+    """,
+)
+from_sql(
+    "s23_validity_functions",
+    """
+    SELECT s.student_id, is_valid_email(s.email) AS valid_email, is_valid_isbn(b.isbn) AS valid_isbn
+    FROM students s JOIN books b ON s.student_id = b.book_id
+    """,
+)
+from_sql(
+    "f11_capacity_function",
+    """
+    SELECT book_id, check_shelf_capacity(shelf_id) AS has_capacity
+    FROM books WHERE shelf_id IS NOT NULL
+    """,
+)
+from_sql("a20_consistency_function", "SELECT * FROM validate_shelf_capacity_consistency()")
+
 # Data quality
 
 for _table in ("students", "shelves", "books", "loans"):
