@@ -553,8 +553,14 @@ def _loan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, _ = star_batches.replayed(tables)
     ledger = Ledger.start(f"{root}/ledger", base.with_tables(loans=base.loans.where("false")))
     run_loan_events(spark, f"{root}/events", ledger, AS_OF, MOMENT).awaitTermination()
-    return ledger.current().loans.groupBy("loan_status").agg(
-        F.count("*").alias("n"), F.sum("renewal_count").alias("renewals")
+    return ledger.current().loans.select(
+        "loan_id",
+        "book_id",
+        "student_id",
+        "actual_return_date",
+        "loan_status",
+        "renewal_count",
+        "estimated_return_date",
     )
 
 

@@ -222,4 +222,4 @@ patches AS (
 
 def statement(body: str, *more: str) -> str:
     """A full statement: the tables, the views, further expressions, then the body."""
-    return "WITH " + ",".join([TABLES, VIEWS, *more]) + "\n" + body.strip()
+    return "WITH RECURSIVE " + ",".join([TABLES, VIEWS, *more]) + "\n" + body.strip()

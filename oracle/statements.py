@@ -163,6 +163,51 @@ sql(
     """,
 )
 
+sql(
+    "snk1_ingest_books",
+    """
+    SELECT c.seq, g.seq IS NOT NULL AS accepted,
+           CASE WHEN g.seq IS NOT NULL THEN NULL
+                WHEN c.unplaced IS NOT NULL THEN c.unplaced
+                WHEN c.broken IS NOT NULL THEN c.broken
+                WHEN w.seq < c.seq THEN 'isbn_taken' ELSE 'shelf_full' END AS reason
+    FROM candidates c LEFT JOIN granted g ON c.seq = g.seq
+    LEFT JOIN granted w ON c.isbn = w.isbn
+    """,
+    f"""
+candidates AS (
+  SELECT b.book_id AS seq, b.isbn, b.shelf_id AS pool, s.total_capacity AS room,
+         CASE WHEN b.shelf_id IS NOT NULL AND s.shelf_id IS NULL THEN 'shelf_not_found'
+              WHEN s.total_capacity <= 0 THEN 'shelf_full' END AS unplaced,
+         b.broken
+  FROM (SELECT *, {first_broken(BOOK_CHECKS)} AS broken FROM books) b
+  LEFT JOIN shelves s ON b.shelf_id = s.shelf_id
+),
+rounds AS (
+  SELECT 0 AS round, seq, isbn, pool, room, CAST(NULL AS BOOLEAN) AS accepted
+  FROM candidates WHERE unplaced IS NULL AND broken IS NULL
+  UNION ALL
+  SELECT round + 1, seq, isbn, pool, room,
+         CASE WHEN accepted IS NOT NULL THEN accepted
+              WHEN isbn IS NOT NULL AND taken THEN false
+              WHEN pool IS NOT NULL AND held >= room THEN false
+              WHEN (isbn IS NULL OR seq = first_seq) AND (pool IS NULL OR held + before < room)
+              THEN true END
+  FROM (
+    SELECT *, MIN(seq) FILTER (accepted IS NULL) OVER (PARTITION BY isbn) AS first_seq,
+           COUNT(*) FILTER (accepted) OVER (PARTITION BY isbn) > 0 AS taken,
+           COUNT(*) FILTER (accepted) OVER (PARTITION BY pool) AS held,
+           COUNT(*) FILTER (accepted IS NULL) OVER (PARTITION BY pool ORDER BY seq
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+           COUNT(*) FILTER (accepted IS NULL) OVER () AS undecided
+    FROM rounds)
+  WHERE undecided > 0
+),
+granted AS (
+  SELECT seq, isbn FROM rounds WHERE accepted AND round = (SELECT MAX(round) FROM rounds)
+)""",
+)
+
 # Views
 
 sql("v1_shelf_utilization", "SELECT * FROM shelf_utilization")
@@ -887,6 +932,83 @@ sql(
 
 # Circulation
 
+
+def admission(asked: str) -> str:
+    """Loans under the ``asked`` condition as requests on a collection without open loans.
+
+    Decided in rounds: every round looks at the state the one before it left.
+    """
+    return f"""
+requests AS (
+  SELECT l.loan_id AS seq, l.book_id, l.student_id, l.loan_date, l.estimated_return_date,
+         CASE WHEN b.status = 'loaned' THEN 'available' ELSE b.status END AS book_status,
+         s.status AS student_status,
+         CASE WHEN l.loan_date > {AS_OF} THEN 'loan_date_in_future'
+              WHEN l.estimated_return_date <= l.loan_date THEN 'due_not_after_loan'
+              WHEN l.estimated_return_date > l.loan_date + 365 THEN 'loan_period_too_long'
+         END AS broken
+  FROM loans l LEFT JOIN books b ON l.book_id = b.book_id
+  LEFT JOIN students s ON l.student_id = s.student_id
+  WHERE {asked}
+),
+rounds AS (
+  SELECT 0 AS round, seq, book_id, student_id, CAST(NULL AS BOOLEAN) AS accepted
+  FROM requests
+  WHERE book_status = 'available' AND student_status = 'active' AND broken IS NULL
+  UNION ALL
+  SELECT round + 1, seq, book_id, student_id,
+         CASE WHEN accepted IS NOT NULL THEN accepted
+              WHEN taken OR held >= 5 THEN false
+              WHEN seq = first_seq AND held + before < 5 THEN true END
+  FROM (
+    SELECT *, MIN(seq) FILTER (accepted IS NULL) OVER (PARTITION BY book_id) AS first_seq,
+           COUNT(*) FILTER (accepted) OVER (PARTITION BY book_id) > 0 AS taken,
+           COUNT(*) FILTER (accepted) OVER (PARTITION BY student_id) AS held,
+           COUNT(*) FILTER (accepted IS NULL) OVER (PARTITION BY student_id ORDER BY seq
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+           COUNT(*) FILTER (accepted IS NULL) OVER () AS undecided
+    FROM rounds)
+  WHERE undecided > 0
+),
+granted AS (
+  SELECT seq, book_id, student_id FROM rounds
+  WHERE accepted AND round = (SELECT MAX(round) FROM rounds)
+),
+admission AS (
+  SELECT r.*, CASE WHEN r.book_status IS NULL THEN 'book_not_found'
+                   WHEN r.book_status <> 'available' OR g.seq < r.seq THEN 'book_unavailable'
+                   WHEN r.student_status IS NULL THEN 'student_not_found'
+                   WHEN r.student_status <> 'active' THEN 'student_inactive'
+                   WHEN h.earlier >= 5 THEN 'loan_limit'
+                   ELSE r.broken END AS reason
+  FROM requests r LEFT JOIN granted g ON r.book_id = g.book_id
+  LEFT JOIN (SELECT q.seq, COUNT(*) AS earlier FROM requests q
+             JOIN granted e ON q.student_id = e.student_id AND e.seq < q.seq GROUP BY q.seq) h
+    ON r.seq = h.seq
+)"""
+
+
+ADMISSION = admission(f"l.loan_status IN {OPEN}")
+sql(
+    "l1_admit_loans",
+    """
+    SELECT seq, book_id, student_id, loan_date, estimated_return_date,
+           reason IS NULL AS accepted, reason
+    FROM admission
+    """,
+    ADMISSION,
+)
+sql(
+    "l1_admitted_loans",
+    f"""
+    SELECT seq, (SELECT MAX(loan_id) FROM loans WHERE loan_status NOT IN {OPEN})
+             + row_number() OVER (ORDER BY seq) AS loan_id,
+           book_id, student_id, 'active' AS loan_status
+    FROM admission WHERE reason IS NULL
+    """,
+    ADMISSION,
+)
+
 CLOSING = f"""
 closing AS (
   SELECT r.loan_id, MIN(r.seq) AS at, arg_min(r.return_date, r.seq) AS returned
@@ -1244,6 +1366,19 @@ sql(
 
 # Streams
 
+sql(
+    "st1_loan_events",
+    """
+    SELECT l.loan_id, l.book_id, l.student_id, l.actual_return_date,
+           CASE WHEN l.loan_status IN ('returned', 'lost') THEN l.loan_status ELSE 'active' END
+             AS loan_status,
+           CASE WHEN l.renewal_count > 0 THEN 1 ELSE 0 END AS renewal_count,
+           l.estimated_return_date + CASE WHEN l.renewal_count > 0 THEN 7 ELSE 0 END
+             AS estimated_return_date
+    FROM loans l JOIN admission a ON l.loan_id = a.seq WHERE a.reason IS NULL
+    """,
+    admission("true"),
+)
 sql(
     "st2_shelf_counts",
     """
