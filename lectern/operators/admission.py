@@ -37,10 +37,29 @@ def _ranked(pending: DataFrame, pool: str, most_room: int | None) -> DataFrame:
     return fits.unionByName(pending.where(F.col(pool).isNull()).select("seq"))
 
 
-def _heads(pending: DataFrame, key: str) -> DataFrame:
-    """``seq`` of the pending requests that are first for their key, or claim none."""
-    first = pending.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("seq").alias("seq"))
-    return first.select("seq").unionByName(pending.where(F.col(key).isNull()).select("seq"))
+def _heads(pending: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``columns`` of the pending requests that are first for their key, or claim none.
+
+    One row per key leaves each task, so a key asked for very often is no burden.
+    """
+    if columns == ["seq"]:
+        row = F.struct(F.min("seq").alias("seq"))
+    else:
+        row = F.min_by(F.struct(*columns), "seq")
+    first = pending.where(F.col(key).isNotNull()).groupBy(key).agg(row.alias("_row"))
+    return first.select("_row.*").unionByName(pending.where(F.col(key).isNull()).select(*columns))
+
+
+def _without(pending: DataFrame, granted: DataFrame, unique: Sequence[str]) -> DataFrame:
+    """Pending requests that were not granted and whose unique keys are still free."""
+    keyless = reduce(lambda a, b: a & b, [F.col(k).isNull() for k in unique], F.lit(True))
+    # A granted request with a key leaves along with the others that claim the key.
+    keyed = pending.where(~keyless)
+    for key in unique:
+        keyed = keyed.join(granted.select(key), key, "left_anti")
+    free = pending.where(keyless).join(granted.where(keyless).select("seq"), "seq", "left_anti")
+    columns = pending.columns
+    return keyed.select(*columns).unionByName(free.select(*columns))
 
 
 def grant(
@@ -66,17 +85,14 @@ def grant(
     pending = pin(pending)
     rounds = []
     while not pending.isEmpty():
-        ready = pending
-        for key in unique:
-            ready = ready.join(_heads(pending, key), "seq", "left_semi")
+        ready = _heads(pending, unique[0], ["seq", *claims]) if unique else pending
+        for key in unique[1:]:
+            ready = ready.join(_heads(pending, key, ["seq"]), "seq", "left_semi")
         if pool:
             ready = ready.join(_ranked(pending, pool, most_room), "seq", "left_semi")
         granted = pin(ready.select("seq", *claims))
         rounds.append(granted)
-        left = pending
-        for key in unique:
-            left = left.join(granted.select(key), key, "left_anti")
-        left = left.join(granted.select("seq"), "seq", "left_anti")
+        left = _without(pending, granted, unique)
         if pool:
             used = granted.groupBy(pool).agg(F.count("*").alias("_used"))
             left = (
