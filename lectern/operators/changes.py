@@ -109,7 +109,7 @@ def update_rows(
 
 def delete_students(tables: Collection, keys: DataFrame, moment: datetime | None = None) -> Collection:
     """Remove students and their loans; books that were out on those loans become available."""
-    keys = keys.select("student_id")
+    keys = keys.select("student_id").distinct()
     gone = tables.loans.join(keys, "student_id", "left_semi")
     freed = gone.where(is_open()).select("book_id").distinct().withColumn("_freed", F.lit(True))
     is_freed = F.col("_freed").isNotNull()
@@ -126,7 +126,7 @@ def delete_students(tables: Collection, keys: DataFrame, moment: datetime | None
 
 def delete_books(tables: Collection, keys: DataFrame, moment: datetime | None = None) -> Collection:
     """Remove books and their loans, and take the physical ones off their shelves' counts."""
-    keys = keys.select("book_id")
+    keys = keys.select("book_id").distinct()
     taken = shelf_sizes(tables.books.join(keys, "book_id", "left_semi"))
     fewer = F.col("rows").isNotNull()
     count = F.col("current_book_count") - F.coalesce("rows", F.lit(0)).cast("int")

@@ -232,7 +232,7 @@ def student_loans(
     loans = tables.loans.where(views.is_open()) if open_only else tables.loans
     titles = tables.books.select("book_id", "title", "author", "isbn")
     found = (
-        loans.join(keys.select("student_id"), "student_id", "left_semi")
+        by_key(loans, keys, "student_id")
         .join(titles, "book_id")
         .select(*tables.loans.columns, "title", "author", "isbn")
     )
@@ -246,7 +246,7 @@ def book_loans(tables: Collection, keys: DataFrame, ordered: bool = True) -> Dat
         "student_id", "student_number", "first_name", "last_name", "email"
     )
     found = (
-        tables.loans.join(keys.select("book_id"), "book_id", "left_semi")
+        by_key(tables.loans, keys, "book_id")
         .join(people, "student_id")
         .select(*tables.loans.columns, "student_number", "first_name", "last_name", "email")
     )

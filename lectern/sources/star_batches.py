@@ -114,14 +114,13 @@ class StarBatches:
         )
 
     def reshelved(self, tables: Collection) -> DataFrame:
-        """Books a season later: some gone digital, some moved on by one shelf, some gone."""
-        key = F.col("book_id")
-        shelf = F.when(key % 7 == 1, (F.col("shelf_id") + 1) % self._rows(self.suppliers)).otherwise(
-            F.col("shelf_id")
-        )
-        turned = key % 13 == 2
+        """Books a season later: lost ones struck off, mended ones digital, loaned ones a shelf on."""
+        status = F.col("status")
+        next_shelf = (F.col("shelf_id") + 1) % self._rows(self.suppliers)
+        shelf = F.when(status == "loaned", next_shelf).otherwise(F.col("shelf_id"))
+        turned = status == "maintenance"
         return (
-            tables.books.where(key % 11 != 5)
+            tables.books.where(status != "lost")
             .withColumn("shelf_id", F.when(~turned, shelf))
             .withColumn("book_type", F.when(turned, "digital").otherwise(F.col("book_type")))
         )

@@ -207,11 +207,11 @@ moves AS (
 ),
 reshelved AS (
   SELECT * REPLACE (
-    CASE WHEN book_id % 13 = 2 THEN NULL
-         WHEN book_id % 7 = 1 THEN (shelf_id + 1) % (SELECT COUNT(*) FROM supplier)
+    CASE WHEN status = 'maintenance' THEN NULL
+         WHEN status = 'loaned' THEN (shelf_id + 1) % (SELECT COUNT(*) FROM supplier)
          ELSE shelf_id END AS shelf_id,
-    CASE WHEN book_id % 13 = 2 THEN 'digital' ELSE book_type END AS book_type)
-  FROM books WHERE book_id % 11 <> 5
+    CASE WHEN status = 'maintenance' THEN 'digital' ELSE book_type END AS book_type)
+  FROM books WHERE status <> 'lost'
 ),
 patches AS (
   SELECT event_id AS seq, event_id * 7 % ((SELECT COUNT(*) FROM customer) + 20) AS student_id,
