@@ -92,39 +92,29 @@ def _inventory_counts() -> list[Column]:
     ]
 
 
+def _distinct(df: DataFrame, column: str) -> Column:
+    return df.agg(F.countDistinct(column).alias("n")).scalar()
+
+
 def book_statistics(tables: Collection) -> DataFrame:
     """Inventory counts, distinct authors, publishers and languages, and the year range.
 
-    The rows first collapse to their distinct (author, publisher, language, year, type, status)
-    combinations with counts, so the expansion for the three distinct counts runs on those only.
+    The distinct counts are scalar subqueries, which Spark merges into one. Apart from the other counts
+    they read three columns only, and equal values collapse before they are shuffled.
     """
-    kinds = (
-        tables.books.groupBy(
-            "author", "publisher", "language", "publication_year", "book_type", "status"
-        )
-        .agg(F.count("*").alias("n"))
-    )
-
-    def total(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
-
-    known = F.when(F.col("publication_year").isNotNull(), F.col("n"))
-    return kinds.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_books"),
-        *[total(F.col("book_type") == t).alias(f"{t}_books") for t in ("physical", "digital")],
-        *[
-            total(F.col("status") == s).alias(f"{s}_books")
-            for s in ("available", "loaned", "maintenance", "lost")
-        ],
-        F.countDistinct("author").alias("unique_authors"),
-        F.countDistinct("publisher").alias("unique_publishers"),
-        F.countDistinct("language").alias("languages"),
-        F.try_divide(
-            F.sum(F.col("publication_year").cast("long") * F.col("n")).cast("double"), F.sum(known)
-        ).alias("avg_publication_year"),
+    counts = tables.books.agg(
+        *_inventory_counts(),
+        F.avg("publication_year").alias("avg_publication_year"),
         F.min("publication_year").alias("oldest_book_year"),
         F.max("publication_year").alias("newest_book_year"),
     )
+    return counts.withColumns(
+        {
+            "unique_authors": _distinct(tables.books, "author"),
+            "unique_publishers": _distinct(tables.books, "publisher"),
+            "languages": _distinct(tables.books, "language"),
+        }
+    )
 
 
 # Shelves
