@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.columns import table
 from lectern.llm.language import fit_language, predict_language
+from lectern.llm.pii import KINDS, find_pii
 
 
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,7 +18,25 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return predict_language(docs, filters, keep=("held_out",))
 
 
+def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the plain spans, and all spans."""
+    found = find_pii(table(spark, folder, "documents"))
+    written = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+    )
+    plain = F.filter("spans", lambda s: s["plain"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["plain"] & (s["kind"] == kind)))
+    return found.select(
+        "doc_id",
+        *[count(kind).cast("long").alias(f"n_{kind}") for kind in KINDS],
+        F.sha2(written(plain), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+        (F.size("spans") - F.size(plain)).cast("long").alias("n_disguised"),
+    )
+
+
 QUERIES = {
+    "op4_personal_data": op4_personal_data,
     "op10_language_id": op10_language_id,
 }
 
