@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.chat import digest_windows, format_conversations
 from lectern.llm.columns import table
+from lectern.llm.html import extract_main_text
 from lectern.llm.language import fit_language, predict_language
 from lectern.llm.pii import KINDS, find_pii
 
@@ -46,8 +47,15 @@ def op8_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
     return digest_windows(format_conversations(rows.unionByName(extra)))
 
 
+def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    found = extract_main_text(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks")
+
+
 QUERIES = {
     "op4_personal_data": op4_personal_data,
+    "op6_main_text": op6_main_text,
     "op8_chat_windows": op8_chat_windows,
     "op10_language_id": op10_language_id,
 }
