@@ -9,6 +9,7 @@ from lectern.llm.chat import digest_windows, format_conversations
 from lectern.llm.columns import table
 from lectern.llm.html import extract_main_text
 from lectern.llm.language import fit_language, predict_language
+from lectern.llm.neighbours import nearest
 from lectern.llm.pii import KINDS, find_pii
 
 
@@ -20,6 +21,11 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return predict_language(docs, filters, keep=("held_out",))
 
 
+def op1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector."""
+    return nearest(table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document: counts and digest of the plain spans, and all spans."""
     found = find_pii(table(spark, folder, "documents"))
@@ -54,6 +60,7 @@ def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_neighbours": op1_neighbours,
     "op4_personal_data": op4_personal_data,
     "op6_main_text": op6_main_text,
     "op8_chat_windows": op8_chat_windows,
