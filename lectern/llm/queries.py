@@ -9,6 +9,7 @@ from lectern.llm.chat import digest_windows, format_conversations
 from lectern.llm.columns import table
 from lectern.llm.html import extract_main_text
 from lectern.llm.language import fit_language, predict_language
+from lectern.llm.near_copies import near_copies
 from lectern.llm.neighbours import nearest
 from lectern.llm.pii import KINDS, find_pii
 
@@ -26,6 +27,11 @@ def op1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
 
 
+def op2_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """Class and links of every document by shingles of five words and a similarity of 0.8."""
+    return near_copies(table(spark, folder, "documents"))
+
+
 def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document: counts and digest of the plain spans, and all spans."""
     found = find_pii(table(spark, folder, "documents"))
@@ -61,10 +67,40 @@ def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_neighbours": op1_neighbours,
+    "op2_near_copies": op2_near_copies,
     "op4_personal_data": op4_personal_data,
     "op6_main_text": op6_main_text,
     "op8_chat_windows": op8_chat_windows,
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+OP2_SQL = r"""
+WITH RECURSIVE t AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w
+    FROM documents WHERE doc_id IS NOT NULL
+), g AS (
+    SELECT DISTINCT doc_id, unnest(CASE
+        WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s
+    FROM t
+), size AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), pair AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.doc_id <> y.doc_id
+    GROUP BY 1, 2
+), link AS (
+    SELECT a, b, c FROM pair JOIN size p ON a = p.doc_id JOIN size q ON b = q.doc_id
+    WHERE c >= 0.8 * (p.n + q.n - c)
+), reach(a, b) AS (
+    SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+), class AS (SELECT a, min(b) AS low FROM reach GROUP BY a
+), norm AS (SELECT doc_id, array_to_string(w, ' ') AS v FROM t
+), deg AS (
+    SELECT a, count(*) AS n, count(DISTINCT y.v) FILTER (y.v <> x.v) AS m
+    FROM link JOIN norm x ON a = x.doc_id JOIN norm y ON b = y.doc_id GROUP BY a
+)
+SELECT t.doc_id, least(coalesce(low, t.doc_id), t.doc_id) AS class_id,
+       coalesce(n, 0)::BIGINT AS n_links, coalesce(m, 0)::BIGINT AS n_text_links
+FROM t LEFT JOIN class ON class.a = t.doc_id LEFT JOIN deg ON deg.a = t.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op2_near_copies": OP2_SQL}
