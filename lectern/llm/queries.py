@@ -9,11 +9,17 @@ from lectern.llm.chat import digest_windows, format_conversations
 from lectern.llm.columns import table
 from lectern.llm.html import extract_main_text
 from lectern.llm.language import fit_language, predict_language
+from lectern.llm.mixing import mix_sources
 from lectern.llm.near_copies import near_copies
 from lectern.llm.neighbours import nearest
 from lectern.llm.pii import KINDS, find_pii
 
 
+def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents taken, with copies, when sources are mixed at 0.999 of the largest entropy."""
+    return mix_sources(table(spark, folder, "documents"), entropy_share=0.999)
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Predicted language of every document; every fourth document by checksum is not learned from."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -71,6 +77,7 @@ QUERIES = {
     "op4_personal_data": op4_personal_data,
     "op6_main_text": op6_main_text,
     "op8_chat_windows": op8_chat_windows,
+    "op9_source_mix": op9_source_mix,
     "op10_language_id": op10_language_id,
 }
 
@@ -103,4 +110,66 @@ SELECT t.doc_id, least(coalesce(low, t.doc_id), t.doc_id) AS class_id,
 FROM t LEFT JOIN class ON class.a = t.doc_id LEFT JOIN deg ON deg.a = t.doc_id
 """
 
-ORACLES: dict[str, str] = {"op2_near_copies": OP2_SQL}
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '\S+'))::BIGINT AS tokens
+    FROM documents
+), src AS (
+    SELECT source, sum(tokens)::BIGINT AS whole, ceil(sqrt(count(*)))::BIGINT AS blocks FROM d GROUP BY source
+), everything AS (SELECT sum(whole)::DOUBLE AS budget, count(*) FILTER (whole > 0) AS n FROM src
+), mid(step, low, high) AS (
+    SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+    UNION ALL
+    SELECT step + 1, CASE WHEN ok THEN (low + high) / 2 ELSE low END, CASE WHEN ok THEN high ELSE (low + high) / 2 END
+    FROM (SELECT step, low, high, (
+              SELECT -sum(w * ln(w)) FROM (
+                  SELECT pow(whole, (low + high) / 2) / sum(pow(whole, (low + high) / 2)) OVER () AS w
+                  FROM src WHERE whole > 0)) >= 0.999 * ln((SELECT n FROM everything)) AS ok
+          FROM mid WHERE step < 60)
+), rep(step, low, high) AS (
+    SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+    UNION ALL
+    SELECT step + 1, CASE WHEN ok THEN (low + high) / 2 ELSE low END, CASE WHEN ok THEN high ELSE (low + high) / 2 END
+    FROM (SELECT step, low, high, (
+              SELECT max((SELECT budget FROM everything) * w / whole) FROM (
+                  SELECT whole, pow(whole, (low + high) / 2) / sum(pow(whole, (low + high) / 2)) OVER () AS w
+                  FROM src WHERE whole > 0)) > 4.0 AS ok
+          FROM rep WHERE step < 60)
+), unmixed AS (
+    SELECT -sum(w * ln(w)) AS h FROM (SELECT whole / sum(whole) OVER () AS w FROM src WHERE whole > 0)
+), even AS (SELECT max((SELECT budget / n FROM everything) / whole) AS r FROM src WHERE whole > 0
+), a AS (
+    SELECT greatest(
+        CASE WHEN (SELECT h FROM unmixed) >= 0.999 * ln((SELECT n FROM everything)) THEN 1
+             ELSE (SELECT low FROM mid WHERE step = 60) END,
+        CASE WHEN (SELECT r FROM even) <= 4.0 THEN 0 ELSE (SELECT high FROM rep WHERE step = 60) END) AS a
+), w AS (
+    SELECT source, whole, blocks, CASE WHEN whole > 0 THEN pow(whole, (SELECT a FROM a)) ELSE 0 END AS x FROM src
+), s AS (
+    SELECT source, whole, blocks,
+           floor(x / (SELECT sum(x) FROM w) * (SELECT budget FROM everything) + 1e-6)::BIGINT AS source_tokens
+    FROM w
+), p AS (
+    SELECT d.*, s.whole, s.source_tokens,
+           CASE WHEN whole > 0 THEN greatest(ceil(source_tokens / whole), 1) ELSE 1 END::BIGINT AS epochs,
+           ('0x' || substr(md5('1:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % blocks AS block
+    FROM d JOIN s USING (source)
+), b AS (
+    SELECT source, block, epoch, sum(tokens) AS block_tokens, any_value(whole) AS whole, any_value(source_tokens) AS source_tokens
+    FROM (SELECT *, unnest(range(epochs)) AS epoch FROM p) GROUP BY ALL
+), starts AS (
+    SELECT source, block, epoch, source_tokens, epoch * whole - block_tokens + sum(block_tokens) OVER (
+        PARTITION BY source, epoch ORDER BY ('0x' || substr(md5('1:' || epoch || ':' || block), 1, 8))::BIGINT, block) AS before
+    FROM b
+), e AS (
+    SELECT doc_id, source, epoch, block, tokens, p.source_tokens, before + sum(tokens) OVER (
+        PARTITION BY source, epoch, block
+        ORDER BY ('0x' || substr(md5('1:' || epoch || ':d:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT, doc_id, tokens
+        ROWS UNBOUNDED PRECEDING) AS stop
+    FROM p JOIN starts USING (source, block)
+)
+SELECT doc_id, source, epoch::BIGINT AS epoch, block, (stop - tokens)::BIGINT AS start_token, tokens, source_tokens
+FROM e WHERE stop <= source_tokens
+"""
+
+ORACLES: dict[str, str] = {"op2_near_copies": OP2_SQL, "op9_source_mix": OP9_SQL}
