@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.chat import digest_windows, format_conversations
 from lectern.llm.columns import table
+from lectern.llm.decontaminate import find_leaks
 from lectern.llm.html import extract_main_text
 from lectern.llm.language import fit_language, predict_language
 from lectern.llm.mixing import mix_sources
@@ -65,6 +66,11 @@ def op8_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
     return digest_windows(format_conversations(rows.unionByName(extra)))
 
 
+def op5_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items in documents, within 15 edits per hundred characters."""
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     found = extract_main_text(table(spark, folder, "pages"))
@@ -75,6 +81,7 @@ QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_near_copies": op2_near_copies,
     "op4_personal_data": op4_personal_data,
+    "op5_benchmark_leaks": op5_benchmark_leaks,
     "op6_main_text": op6_main_text,
     "op8_chat_windows": op8_chat_windows,
     "op9_source_mix": op9_source_mix,
