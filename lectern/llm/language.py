@@ -127,21 +127,21 @@ def predict_language(
     language was learned. Equal sums go to the language first in order. Repeated rows are predicted
     each for itself.
     """
-    rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), *[docs[c] for c in keep])
-    kept = ["doc_id", *keep]
+    rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("__text"), *[docs[c] for c in keep if c != text])
+    kept = ["doc_id", *[c for c in keep if c != text]]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema)
 
     def predict(batches: Batches) -> Iterable[dict]:
         tiers, n_lang = filters.tiers, len(filters.languages)
         for whole in batches:
-            for batch in slices(whole):
-                packed, owner, letters = ngrams(batch.column("text").to_pylist())
+            for batch in slices(whole, "__text"):
+                packed, owner, letters = ngrams(batch.column("__text").to_pylist())
                 n = np.bincount(owner, minlength=batch.num_rows).astype(float)
                 share = np.zeros((batch.num_rows, n_lang * tiers))
                 if n_lang and len(packed):
-                    found = filters.lookup(packed)
+                    masks = filters.lookup(packed)
                     for bit in range(n_lang * tiers):
-                        has = (found[bit // 64] >> np.uint64(bit % 64)) & np.uint64(1) == 1
+                        has = (masks[bit // 64] >> np.uint64(bit % 64)) & np.uint64(1) == 1
                         hits = np.bincount(owner[has], minlength=batch.num_rows)
                         chance = filters.chance[bit]
                         share[:, bit] = (hits / np.maximum(n, 1) - chance) / (1 - chance)
@@ -151,6 +151,8 @@ def predict_language(
                 known = (letters > 0) & (n_lang > 0)
                 score = share[np.arange(batch.num_rows), best, 0] if n_lang else np.zeros(batch.num_rows)
                 names = [filters.languages[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)]
-                yield {c: batch.column(c) for c in kept} | {"lang_pred": names, "score": np.where(known, score, 0.0)}
+                found = {c: batch.column(c) for c in kept} | ({text: batch.column("__text")} if text in keep else {})
+                yield found | {"lang_pred": names, "score": np.where(known, score, 0.0)}
 
+    schema += f", `{text}` string" if text in keep else ""
     return arrow_map(rows, predict, f"{schema}, lang_pred string, score double")
