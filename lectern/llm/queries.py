@@ -14,6 +14,7 @@ from lectern.llm.mixing import mix_sources
 from lectern.llm.near_copies import near_copies
 from lectern.llm.neighbours import nearest
 from lectern.llm.pii import KINDS, find_pii
+from lectern.llm.toxicity import fit_chain, predict_chain
 
 
 def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,6 +40,14 @@ def op2_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(table(spark, folder, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Probabilities of low quality, then toxicity, for every document."""
+    docs = table(spark, folder, "documents")
+    chain = fit_chain(docs, table(spark, folder, "labels"), (("low_quality", "quality", 0), ("toxic", "toxic", 1)))
+    found = predict_chain(docs, chain)
+    return found.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
 def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document: counts and digest of the plain spans, and all spans."""
     found = find_pii(table(spark, folder, "documents"))
@@ -80,6 +89,7 @@ def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_near_copies": op2_near_copies,
+    "op3_toxicity": op3_toxicity,
     "op4_personal_data": op4_personal_data,
     "op5_benchmark_leaks": op5_benchmark_leaks,
     "op6_main_text": op6_main_text,
