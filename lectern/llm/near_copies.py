@@ -178,7 +178,7 @@ def near_copies(
         .join(wanted, "doc", "left_semi")
         .join(first.select("doc", "copies", "nodes"), "doc")
     )
-    sets = arrow_map(candidates, gather, "doc bigint, copies bigint, nodes array<bigint>, grams binary")
+    sets = pin(arrow_map(candidates, gather, "doc bigint, copies bigint, nodes array<bigint>, grams binary"))
     blocks = (
         placed.join(sets, "doc")
         .withColumn("block", F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / BLOCK)))
