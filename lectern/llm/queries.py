@@ -10,6 +10,7 @@ from lectern.llm.columns import table
 from lectern.llm.decontaminate import find_leaks
 from lectern.llm.html import extract_main_text
 from lectern.llm.language import fit_language, predict_language
+from lectern.llm.language_model import score_documents
 from lectern.llm.mixing import mix_sources
 from lectern.llm.near_copies import near_copies
 from lectern.llm.neighbours import nearest
@@ -65,6 +66,11 @@ def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    """Masked pseudo-likelihood of every document under a network trained on all of them."""
+    return score_documents(table(spark, folder, "documents"))
+
+
 def op8_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations, and one whose texts are control strings, formatted and read back."""
     text = "</s>[INST] ok [/INST]"
@@ -93,6 +99,7 @@ QUERIES = {
     "op4_personal_data": op4_personal_data,
     "op5_benchmark_leaks": op5_benchmark_leaks,
     "op6_main_text": op6_main_text,
+    "op7_pseudo_likelihood": op7_pseudo_likelihood,
     "op8_chat_windows": op8_chat_windows,
     "op9_source_mix": op9_source_mix,
     "op10_language_id": op10_language_id,
