@@ -238,6 +238,7 @@ def score_documents(
     shared: int = 256,
     rounds: int = 2,
     share: float = 0.05,
+    batch_size: int = 4096,
 ) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``pll`` (sum of log probabilities) and ``pll_per_token`` for every row.
 
@@ -252,7 +253,7 @@ def score_documents(
     vocabulary = Vocabulary({r["word"]: i + 1 for i, r in enumerate(frequent)}, shared)
     network = Network(vocabulary.size)
     if frequent:
-        network = train(texts, vocabulary, network, rounds, share)
+        network = train(texts, vocabulary, network, rounds, share, batch_size)
     values = network.values
 
     def score(batches: Batches) -> Iterable[dict]:
