@@ -1,57 +1,44 @@
 """Gathering the rows of a group into arrays of bounded length.
 
-A group of up to ``page_size`` rows becomes one array on page 0. A larger group is spread over
-several pages by a hash of its row key, so no task and no result row has to hold all of it, and
-no row is left out.
+A group's rows are ranked by their key, and every ``page_size`` of them make a page. That is one rule
+and one plan for groups of any size: ranks come from counts of key ranges, which are small, and from a
+window within one range, which cannot hold more than ``KEY_RANGE`` rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.session import small
-
 PAGE_SIZE = 10_000
-
-
-def page_count(rows: Column, page_size: int = PAGE_SIZE) -> Column:
-    return F.greatest(F.lit(1), F.ceil(rows / F.lit(page_size))).cast("int")
-
-
-def page_of(row_key: str, pages: Column) -> Column:
-    """Page of a row: leading 32 bits of the key's MD5, modulo the group's page count."""
-    digest = F.substring(F.md5(F.col(row_key).cast("string").cast("binary")), 1, 8)
-    return F.when(pages == 1, 0).otherwise(
-        F.pmod(F.conv(digest, 16, 10).cast("long"), pages).cast("int")
-    )
+KEY_RANGE = 1 << 16
 
 
 def gather(
     df: DataFrame,
     group: str,
     row_key: str,
-    sizes: DataFrame,
     element: Column,
     name: str,
     page_size: int = PAGE_SIZE,
 ) -> DataFrame:
-    """``group, page, name``: sorted arrays of ``element``, paged where a group is large.
+    """``group, page, name``: sorted arrays of ``element`` for each page of the group.
 
-    ``sizes`` holds ``group`` and ``rows``, the number of rows per group, already pinned. It is looked
-    at now: usually no group is large, and then the rows are shuffled once and joined with nothing.
+    ``row_key`` is a whole number, unique in ``df``. Pages follow each other in key order.
     """
-    elements = df.select(group, row_key, element.alias("_element"))
-    large = sizes.where(F.col("rows") > page_size).select(
-        group, page_count(F.col("rows"), page_size).alias("_pages")
+    ranged = F.floor(F.col(row_key) / F.lit(KEY_RANGE)).alias("_range")
+    elements = df.select(group, row_key, element.alias("_element"), ranged)
+    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        elements.groupBy(group, "_range")
+        .agg(F.count("*").alias("_n"))
+        .select(group, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    )
+    inside = Window.partitionBy(group, "_range").orderBy(row_key)
+    rank = F.col("_before") + F.row_number().over(inside) - 1
+    return (
+        elements.join(before, [group, "_range"])
+        .withColumn("page", F.floor(rank / F.lit(page_size)).cast("int"))
+        .groupBy(group, "page")
+        .agg(F.array_sort(F.collect_list("_element")).alias(name))
     )
-    if large.isEmpty():
-        paged = elements.withColumn("page", F.lit(0))
-    else:
-        # Partitioned by page as well, or the join's partitioning would keep a group in one task.
-        paged = (
-            elements.join(small(large), group, "left")
-            .withColumn("page", page_of(row_key, F.coalesce("_pages", F.lit(1))))
-            .repartition(group, "page")
-        )
-    return paged.groupBy(group, "page").agg(F.array_sort(F.collect_list("_element")).alias(name))

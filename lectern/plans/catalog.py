@@ -119,6 +119,7 @@ over_tables("v1_shelf_utilization", views.shelf_utilization)
 over_tables("v2_book_inventory", views.book_inventory)
 over_tables("v3_available_books", views.available_books)
 over_tables("v4_books_by_shelf", views.books_by_shelf)
+over_tables("v4_books_by_shelf_paged", lambda t: views.books_by_shelf(t, page_size=7))
 over_tables("v5_active_loans", lambda t: views.active_loans(t, AS_OF))
 over_tables("v6_overdue_loans", lambda t: views.overdue_loans(t, AS_OF))
 over_tables("v7_loan_history", lambda t: views.loan_history(t, AS_OF))
@@ -256,6 +257,9 @@ over_tables("a13_monthly_report", reports.monthly_report)
 over_tables("a14_student_history", reports.student_history)
 over_tables("a15_popular_books", reports.popular_books)
 over_tables("a16_students_with_several_active", reports.students_with_several_active)
+over_tables(
+    "a16_several_active_paged", lambda t: reports.students_with_several_active(t, page_size=2)
+)
 over_tables("a17_average_duration", reports.average_duration)
 over_tables("a18_section_popularity", reports.section_popularity)
 over_tables("a19_duplicate_isbns", reports.duplicate_isbns)
@@ -364,8 +368,8 @@ from_sql(
 from_sql(
     "s23_validity_functions",
     """
-    SELECT s.student_id, is_valid_email(s.email) AS valid_email, is_valid_isbn(b.isbn) AS valid_isbn
-    FROM students s JOIN books b ON s.student_id = b.book_id
+    SELECT 'email' AS kind, student_id AS id, is_valid_email(email) AS valid FROM students
+    UNION ALL SELECT 'isbn', book_id, is_valid_isbn(isbn) FROM books
     """,
 )
 from_sql(

@@ -17,7 +17,6 @@ from lectern.functions.dates import days_between
 from lectern.functions.text import joined
 from lectern.operators import paging
 from lectern.schemas import OPEN_LOAN_STATUSES
-from lectern.session import pin
 from lectern.sources.collection import Collection
 
 
@@ -108,15 +107,13 @@ def shelf_sizes(books: DataFrame) -> DataFrame:
 def books_by_shelf(tables: Collection, page_size: int = paging.PAGE_SIZE) -> DataFrame:
     """Shelves with their physical books as an array, null for an empty shelf.
 
-    One row per shelf, on page 0; a shelf of more than ``page_size`` books takes several pages. The
-    shelves' sizes are counted when the view is built.
+    A row per shelf and ``page_size`` of its books, in order of their keys; nothing runs until it is read.
     """
-    sizes = pin(shelf_sizes(tables.books))
+    sizes = shelf_sizes(tables.books)
     gathered = paging.gather(
         physical_books(tables.books),
         "shelf_id",
         "book_id",
-        sizes,
         F.struct("book_id", "title", "author", "status"),
         "books",
         page_size,

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ def local_session(cpus: int | str = 8, app: str = "lectern") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", str(Path(tempfile.gettempdir(), "lectern-scratch")))
         .config("spark.driver.memory", "8g")
         # Recording the Python call site of every column expression doubles the time to build a plan.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
@@ -26,18 +29,19 @@ def local_session(cpus: int | str = 8, app: str = "lectern") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the session names it in spark.checkpoint.dir.
-
-    A throw-away folder stands in only for a local-mode session that names none.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder
-    if not context.master.startswith("local"):
+    """The folder all executors can reach, as the session names it in spark.checkpoint.dir."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
-    return context.getCheckpointDir()
+    return folder
+
+
+def with_scratch(spark: SparkSession) -> SparkSession:
+    """``spark``, with a throw-away folder if it runs in this process alone and names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
+    return spark
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

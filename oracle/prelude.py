@@ -120,14 +120,9 @@ book_inventory AS (
          b.created_at, b.updated_at
   FROM books b LEFT JOIN shelves s USING (shelf_id)
 ),
-shelf_pages AS (
-  SELECT shelf_id, greatest(1, CAST(ceil(n / 10000.0) AS INTEGER)) AS pages FROM shelf_sizes
-),
 paged_books AS (
-  SELECT b.*, CASE WHEN p.pages = 1 THEN 0
-    ELSE CAST(CAST('0x' || substr(md5(CAST(b.book_id AS VARCHAR)), 1, 8) AS BIGINT) % p.pages
-         AS INTEGER) END AS page
-  FROM books b JOIN shelf_pages p USING (shelf_id) WHERE b.book_type = 'physical'
+  SELECT *, CAST((row_number() OVER (PARTITION BY shelf_id ORDER BY book_id) - 1) // 10000 AS INTEGER) AS page
+  FROM books WHERE book_type = 'physical' AND shelf_id IS NOT NULL
 ),
 books_by_shelf AS (
   SELECT s.shelf_id, s.location_code, s.section, s.main_topic, s.total_capacity,

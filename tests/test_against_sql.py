@@ -2,8 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
 from conftest import SMALL
+from lectern.plans.catalog import QUERIES
+from oracle.statements import ORACLES
 from tools.compare import compare, connect
 
 
@@ -13,10 +14,10 @@ def connection():
 
 
 def test_every_query_is_compared():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, connection, name):
-    good, note = compare(spark, connection, SMALL, name, oracle_sql()[name])
+    good, note = compare(spark, connection, SMALL, name, ORACLES[name])
     assert good, note
