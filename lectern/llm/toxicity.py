@@ -66,7 +66,7 @@ class Linear:
 
 
 def train_linear(
-    row: np.ndarray, column: np.ndarray, n_features: int, earlier: np.ndarray, y: np.ndarray, penalty: float = 2.0, steps: int = 250
+    row: np.ndarray, column: np.ndarray, n_features: int, earlier: np.ndarray, y: np.ndarray, penalty: float = 2.0, steps: int = 120
 ) -> tuple[np.ndarray, np.ndarray, float]:
     """Logistic regression with an L2 penalty, by full-batch Adam."""
     n, k = len(y), earlier.shape[1]
@@ -115,12 +115,13 @@ def fit_chain(
     doc_id: str = "doc_id",
     text: str = "text",
     sample: int = 20_000,
-    most_features: int = 8_192,
+    most_features: int = 1_024,
     least_deviation: float = 4.0,
 ) -> Chain:
     """A chain for ``categories``: (name, column of ``labels``, value that means yes), in chain order.
 
-    About ``sample`` labelled ids are drawn by hash. A null label is no training row for its category; a
+    About ``sample`` labelled ids are drawn by hash, and each category's model has at most ``most_features``
+    features, those that deviate most. A null label is no training row for its category; a
     category without both answers gets a constant model. Ids with several labels count as yes if any
     says so. Labelled rows without a document, or with a null id, are no training rows.
     """
@@ -170,11 +171,16 @@ def fit_chain(
         share = float(totals[i, :, 1].sum() / max(totals[i, :, 0].sum(), 1))
         return F.when(d >= 3, F.abs(c - d * share) / F.sqrt(d * share * (1 - share) + 1)).otherwise(0.0)
 
-    strongest = F.greatest(*[deviation(i) for i in range(len(codes))], F.lit(0.0))
     # Slightly below the least deviation, since leaving a fold out can raise it.
-    chosen = counted.withColumn("z", strongest).where(F.col("z") >= 0.8 * least_deviation)
-    best = chosen.orderBy(F.desc("z"), "feature").limit(most_features).collect()
-    best.sort(key=lambda r: r["feature"])
+    floor = 0.8 * least_deviation
+    measured = counted.withColumns({f"z{i}": deviation(i) for i in range(len(codes))})
+    measured = pin(measured.where(F.greatest(*[F.col(f"z{i}") for i in range(len(codes))], F.lit(0.0)) >= floor))
+    picked = [
+        measured.where(F.col(f"z{i}") >= floor).orderBy(F.desc(f"z{i}"), "feature").limit(most_features).collect()
+        for i in range(len(codes))
+    ]
+    best = sorted({r["feature"]: r for rows_of in picked for r in rows_of}.values(), key=lambda r: r["feature"])
+    own = [{r["feature"] for r in rows_of} for rows_of in picked]
     known = np.array([r["feature"] for r in best], dtype=np.int64)
     table = np.array([[r[f"c{j}"] for j in range(width)] for r in best], dtype=float).reshape(len(best), len(codes), FOLDS, 2)
 
@@ -198,7 +204,8 @@ def fit_chain(
         n, p = totals[i, parts].sum(axis=0)
         if not train.any() or p in (0, n):
             return Linear(known[:0], np.zeros(len(known)), np.zeros(earlier.shape[1]), -30.0 if p == 0 else 30.0)
-        on = np.flatnonzero(standing_out(*(table[:, i, parts].sum(axis=1).T), n, p, least_deviation))
+        stands = standing_out(*(table[:, i, parts].sum(axis=1).T), n, p, least_deviation)
+        on = np.flatnonzero(stands & np.isin(known, np.array(sorted(own[i]), dtype=np.int64)))
         place = np.full(len(known), -1)
         place[on] = np.arange(len(on))
         number = np.cumsum(train) - 1
