@@ -16,6 +16,7 @@ from lectern.functions.dates import due_date
 from lectern.functions.documents import value_json
 from lectern.operators.admission import grant
 from lectern.operators.changes import assign_keys, timestamp, touched
+from lectern.operators.exclusive import granted_openings
 from lectern.operators.lookup import by_key
 from lectern.operators.quality import first_broken, loan_period_rules
 from lectern.plans.views import is_open
@@ -263,10 +264,10 @@ def _status_unknown(allowed: tuple[str, ...]) -> Column:
 def set_loan_status(
     loans: DataFrame, wanted: DataFrame, moment: datetime | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Set statuses by ``seq, loan_id, status``, whatever the loan's status was.
+    """Set statuses by ``seq, loan_id, status`` in order, whatever the loan's status was.
 
     The last status per loan stays. Only the table's own constraints can refuse one: a returned loan
-    has a return date and an active loan has none.
+    has a return date, an active loan has none, and a book has one open loan at most at any time.
     """
     status, actual = F.col("status"), F.col("actual_return_date")
     refused = F.coalesce(
@@ -274,7 +275,27 @@ def set_loan_status(
         F.when((status == "returned") & actual.isNull(), "returned_without_date"),
         F.when((status == "active") & actual.isNotNull(), "active_with_return_date"),
     )
-    return _set_status(loans, wanted, "loan_id", "loan_status", refused, moment)
+    known = by_key(loans, wanted, "loan_id").select("loan_id", "book_id", "actual_return_date")
+    allowed = wanted.join(pin(known), "loan_id").where(refused.isNull())
+    events = pin(
+        allowed.where("book_id is not null").select(
+            "seq",
+            F.col("book_id").alias("key"),
+            F.col("loan_id").alias("item"),
+            is_open(status).alias("opens"),
+        )
+    )
+    open_loans = loans.where(is_open()).withColumnRenamed("book_id", "key")
+    holders = by_key(open_loans, events, "key").select("key", F.col("loan_id").alias("item"))
+    granted = granted_openings(events, holders).withColumn("_granted", F.lit(True))
+    marked = pin(wanted.join(granted, "seq", "left"))
+    refused = F.coalesce(
+        refused, F.when(
+            is_open(status) & F.col("book_id").isNotNull() & F.col("_granted").isNull(),
+            "book_on_loan",
+        ),
+    )
+    return _set_status(loans, marked, "loan_id", "loan_status", refused, moment)
 
 
 def set_book_status(

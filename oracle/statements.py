@@ -1072,8 +1072,8 @@ batch_sql(
     RENEWED,
 )
 JUDGED_STATUSES = """
-judged_statuses AS (
-  SELECT w.seq, w.loan_id, w.status,
+checked_statuses AS (
+  SELECT w.seq, w.loan_id, w.status, l.book_id,
          CASE WHEN l.loan_id IS NULL THEN 'not_found'
               WHEN w.status = 'misplaced' THEN 'status_unknown'
               WHEN w.status = 'returned' AND l.actual_return_date IS NULL
@@ -1081,6 +1081,26 @@ judged_statuses AS (
               WHEN w.status = 'active' AND l.actual_return_date IS NOT NULL
               THEN 'active_with_return_date' END AS reason
   FROM loan_statuses w LEFT JOIN loans l ON w.loan_id = l.loan_id
+),
+status_steps AS (
+  SELECT *, status IN ('active', 'overdue') AS opens,
+         row_number() OVER (PARTITION BY book_id ORDER BY seq) AS step
+  FROM checked_statuses WHERE reason IS NULL
+),
+status_walk(book_id, step, held, seq, good) AS (
+  SELECT book_id, 0::BIGINT, list(loan_id) FILTER (loan_status IN ('active', 'overdue')), NULL::BIGINT, true
+  FROM loans GROUP BY book_id
+  UNION ALL
+  SELECT w.book_id, s.step,
+         CASE WHEN s.opens AND (w.held IS NULL OR w.held = [] OR w.held = [s.loan_id]) THEN [s.loan_id]
+              WHEN s.opens THEN w.held ELSE list_filter(w.held, lambda x: x <> s.loan_id) END,
+         s.seq, NOT s.opens OR w.held IS NULL OR w.held = [] OR w.held = [s.loan_id]
+  FROM status_walk w JOIN status_steps s ON w.book_id = s.book_id AND s.step = w.step + 1
+),
+judged_statuses AS (
+  SELECT c.seq, c.loan_id, c.status,
+         COALESCE(c.reason, CASE WHEN NOT w.good THEN 'book_on_loan' END) AS reason
+  FROM checked_statuses c LEFT JOIN status_walk w ON c.seq = w.seq
 )"""
 batch_sql(
     "l4_loans_after_status",

@@ -8,6 +8,7 @@ from conftest import AS_OF, day, frame, rows
 from lectern import schemas as S
 from lectern.operators import changes, circulation, ingest, quality, shelving
 from lectern.operators.admission import grant
+from lectern.operators.exclusive import granted_openings
 from lectern.operators.running import number_rows, running_total
 from lectern.plans.views import physical_books
 from lectern.sources.collection import Collection
@@ -268,6 +269,48 @@ def test_status_setting(spark, seed):
     assert (found[1], found[2], found[4]) == ("lost", "lost", "active")
 
 
+def test_openings_equal_the_loop(spark):
+    rng = random.Random(12)
+    events = [(i, 1 if rng.random() < 0.4 else rng.randint(2, 12), rng.random() < 0.6) for i in range(400)]
+    events = [(seq, key, key * 100 + rng.randint(0, 3), opens) for seq, key, opens in events]
+    holders = [(1, 100), (2, 200), (3, 300), (3, 301), (4, 499), (5, 502)]
+    state, expected = {}, []
+    for key, item in holders:
+        state.setdefault(key, set()).add(item)
+    for seq, key, item, opens in events:
+        held = state.setdefault(key, set())
+        if not opens:
+            held.discard(item)
+        elif not held - {item}:
+            held.add(item)
+            expected.append(seq)
+    found = granted_openings(
+        spark.createDataFrame(events, "seq long, key long, item long, opens boolean"),
+        spark.createDataFrame(holders, "key long, item long"),
+    )
+    assert [r[0] for r in rows(found)] == expected
+
+
+def test_one_open_loan_per_book_on_updates(spark, seed):
+    lost = frame(
+        spark, S.LOANS,
+        [{"loan_id": 70, "book_id": 2, "student_id": 5, "loan_date": day("2024-10-01"),
+          "loan_status": "lost"}],
+    )
+    loans = seed.loans.unionByName(lost)
+    book = loans.where("loan_status = 'active'").first()
+    loans = loans.withColumn(
+        "book_id", F.when(F.col("loan_id") == 70, book.book_id).otherwise(F.col("book_id"))
+    )
+    asked = spark.createDataFrame(
+        [(1, 70, "active"), (2, book.loan_id, "lost"), (3, 70, "active"), (4, book.loan_id, "overdue")],
+        "seq long, loan_id long, status string",
+    )
+    after, result = circulation.set_loan_status(loans, asked)
+    assert dict(rows(result, "seq", "reason")) == {1: "book_on_loan", 2: None, 3: None, 4: "book_on_loan"}
+    assert dict(rows(after, "loan_id", "loan_status"))[70] == "active"
+
+
 def shelf_case(spark, rng, n=200):
     shelves = [
         {"shelf_id": i, "location_code": f"A{i}", "section": "s", "main_topic": "t",
