@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.operators.running import running_total
-from lectern.session import pin
+from lectern.session import apart, pin
 
 # Up to this room, Spark prunes ranked rows before the shuffle, so a plain window is enough.
 _PRUNED_RANK = 1000
@@ -96,7 +96,7 @@ def grant(
         if pool:
             used = granted.groupBy(pool).agg(F.count("*").alias("_used"))
             left = (
-                left.join(used, pool, "left")
+                left.join(apart(used), pool, "left")
                 .withColumn("_room", F.col("_room") - F.coalesce("_used", F.lit(0)))
                 .where(F.col(pool).isNull() | (F.col("_room") > 0))
             )

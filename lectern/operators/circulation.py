@@ -27,7 +27,7 @@ from lectern.schemas import (
     MAX_LOAN_DAYS,
     MAX_OPEN_LOANS,
 )
-from lectern.session import pin
+from lectern.session import apart, pin
 from lectern.sources.collection import Collection
 
 
@@ -83,8 +83,8 @@ def admit_loans(
     # Written once: the rounds, the result and the new loans all start from these rows.
     facts = pin(
         requests.withColumn("loan_date", opened)
-        .join(books, "book_id", "left")
-        .join(students, "student_id", "left")
+        .join(apart(books), "book_id", "left")
+        .join(apart(students), "student_id", "left")
         .withColumns(
             {
                 "estimated_return_date": F.coalesce("estimated_return_date", default_due),
@@ -123,8 +123,8 @@ def admit_loans(
         .otherwise(F.col("_broken"))
     )
     decided = pin(
-        facts.join(taken, "book_id", "left")
-        .join(grants, "student_id", "left")
+        facts.join(apart(taken), "book_id", "left")
+        .join(apart(grants), "student_id", "left")
         .withColumn("reason", reason)
         .withColumn("accepted", F.col("reason").isNull())
     )
@@ -176,7 +176,7 @@ def apply_returns(
     facts = pin(
         returns.select(
             "seq", "loan_id", F.coalesce("return_date", F.lit(as_of)).alias("return_date")
-        ).join(known, "loan_id", "left")
+        ).join(apart(known), "loan_id", "left")
     )
     valid = is_open() & (F.col("return_date") >= F.col("loan_date"))
     closing = (
@@ -189,7 +189,7 @@ def apply_returns(
         .when(~is_open() | (F.col("_at") < F.col("seq")), "loan_not_open")
         .when(F.col("return_date") < F.col("loan_date"), "return_before_loan")
     )
-    result = _first_reason(facts.join(closing, "loan_id", "left"), reason).select(
+    result = _first_reason(facts.join(apart(closing), "loan_id", "left"), reason).select(
         "seq", "loan_id", "return_date", "accepted", "reason"
     )
     closed = F.col("_at").isNotNull()
@@ -198,8 +198,32 @@ def apply_returns(
         "actual_return_date": F.coalesce("_returned", "actual_return_date"),
         **touched(closed, moment),
     }
-    after = loans.join(closing, "loan_id", "left").withColumns(changes).select(*loans.columns)
-    return after, result
+    return _change_open(loans, closing, changes), result
+
+
+def _change_open(loans: DataFrame, wanted: DataFrame, changes: dict[str, Column]) -> DataFrame:
+    """Loans after ``changes`` to open ones; loans that are over pass through without a join."""
+    over = loans.where(~F.coalesce(is_open(), F.lit(False)))
+    changed = loans.where(is_open()).join(wanted, "loan_id", "left").withColumns(changes)
+    return changed.select(*loans.columns).unionByName(over)
+
+
+def return_changes(loans: DataFrame, result: DataFrame) -> DataFrame:
+    """``seq, book_id, old_status, new_status`` of the returns accepted by ``apply_returns``."""
+    accepted = result.where("accepted").select("seq", "loan_id")
+    return loans.where(is_open()).join(accepted, "loan_id").select(
+        "seq", "book_id", F.col("loan_status").alias("old_status"), F.lit("returned").alias("new_status")
+    )
+
+
+def new_loan_changes(loans: DataFrame) -> DataFrame:
+    """``seq, book_id, old_status, new_status`` as if all of ``loans`` were new, in order of their keys."""
+    return loans.select(
+        F.col("loan_id").alias("seq"),
+        "book_id",
+        F.lit(None).cast("string").alias("old_status"),
+        F.col("loan_status").alias("new_status"),
+    )
 
 
 def renew_loans(
@@ -207,7 +231,7 @@ def renew_loans(
 ) -> tuple[DataFrame, DataFrame]:
     """Give active loans a new due date, once per valid renewal in order; ``(loans, result)``."""
     known = by_key(loans, renewals, "loan_id").select("loan_id", "loan_date", "loan_status")
-    facts = renewals.select("seq", "loan_id", "new_due").join(known, "loan_id", "left")
+    facts = renewals.select("seq", "loan_id", "new_due").join(apart(known), "loan_id", "left")
     opened, due = F.col("loan_date"), F.col("new_due")
     reason = (
         F.when(F.col("loan_status").isNull(), "loan_not_found")
@@ -228,7 +252,7 @@ def renew_loans(
         .otherwise(F.col("renewal_count")),
         **touched(changed, moment),
     }
-    after = loans.join(renewed, "loan_id", "left").withColumns(changes).select(*loans.columns)
+    after = _change_open(loans, renewed, changes)
     return after, decided.select("seq", "loan_id", "new_due", "accepted", "reason")
 
 
@@ -244,7 +268,7 @@ def _set_status(
     known = by_key(df, wanted, key).drop("status").withColumn("_known", F.lit(True))
     reason = F.when(F.col("_known").isNull(), "not_found").otherwise(refused)
     decided = pin(
-        _first_reason(wanted.join(known, key, "left"), reason).select(
+        _first_reason(wanted.join(apart(known), key, "left"), reason).select(
             "seq", key, "status", "accepted", "reason"
         )
     )
@@ -320,6 +344,13 @@ def mark_overdue(loans: DataFrame, as_of: date, moment: datetime | None = None)
     return loans.withColumns({"loan_status": status, **touched(turns, moment)})
 
 
+def overdue_pairs(loans: DataFrame, as_of: date, moment: datetime | None = None) -> DataFrame:
+    """``old`` and ``new`` rows of the loans that ``mark_overdue`` changes, from one pass over them."""
+    turns = loans.where(_turns_overdue(as_of)).withColumn("old", F.struct(*loans.columns))
+    changes = {"loan_status": F.lit("overdue"), **touched(F.lit(True), moment)}
+    return turns.withColumns(changes).select("old", F.struct(*loans.columns).alias("new"))
+
+
 def overdue_count(loans: DataFrame, as_of: date) -> DataFrame:
     """``updated_count``: how many loans ``mark_overdue`` changes."""
     return loans.where(_turns_overdue(as_of)).agg(F.count("*").alias("updated_count"))

@@ -15,7 +15,7 @@ from lectern.operators.lookup import by_key
 from lectern.operators.quality import first_broken, strict_rules
 from lectern.plans.views import physical_books
 from lectern.schemas import DEFAULTS, PRIMARY_KEY, TABLES, UNIQUE
-from lectern.session import pin
+from lectern.session import apart, pin
 from lectern.sources.collection import Collection
 
 
@@ -65,7 +65,7 @@ def ingest(
     for column in unique:
         taken = by_key(existing, facts, column).select(column).distinct()
         facts = (
-            facts.join(taken.withColumn("_taken", F.lit(True)), column, "left")
+            facts.join(apart(taken.withColumn("_taken", F.lit(True))), column, "left")
             .withColumn(
                 "_reason",
                 F.coalesce("_reason", F.when(F.col("_taken").isNotNull(), f"{column}_taken")),

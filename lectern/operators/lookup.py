@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import capacity
+from lectern.session import apart
 from lectern.sources.collection import Collection
 
 
@@ -15,7 +16,7 @@ def by_key(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     Also used to cut a large table down to what a batch of requests is about, before joining the two:
     a small batch is broadcast and the table is then only scanned. Equal keys collapse map-side.
     """
-    return df.join(keys.select(key).distinct(), key, "left_semi")
+    return df.join(apart(keys.select(key).distinct()), key, "left_semi")
 
 
 def books_with_shelf(tables: Collection, books: DataFrame | None = None) -> DataFrame:
@@ -53,7 +54,7 @@ def shelf_room(tables: Collection, requests: DataFrame) -> DataFrame:
     """Requests with ``has_capacity`` of their shelf; ``reason`` is set where the shelf is unknown."""
     asked = by_key(tables.shelves, requests, "shelf_id")
     room = asked.select("shelf_id", capacity.has_capacity().alias("has_capacity"))
-    return requests.join(room, "shelf_id", "left").withColumn(
+    return requests.join(apart(room), "shelf_id", "left").withColumn(
         "reason", F.when(F.col("has_capacity").isNull(), "shelf_not_found")
     )
 
@@ -65,8 +66,8 @@ def missing_parties(tables: Collection, requests: DataFrame) -> DataFrame:
         "student_id", F.lit(True).alias("_student")
     )
     return (
-        requests.join(books, "book_id", "left")
-        .join(students, "student_id", "left")
+        requests.join(apart(books), "book_id", "left")
+        .join(apart(students), "student_id", "left")
         .select(
             *requests.columns,
             F.col("_book").isNotNull().alias("book_exists"),

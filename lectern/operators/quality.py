@@ -21,6 +21,7 @@ from lectern.functions import formats
 from lectern.functions.dates import days_between, lenient_date
 from lectern.functions.text import blank, blank_or_white, lenient_int
 from lectern.plans.views import is_open
+from lectern.session import apart
 from lectern.sources.collection import Collection
 
 
@@ -319,7 +320,7 @@ def repeated_values(df: DataFrame, column: str) -> DataFrame:
 
 def repeated_rows(df: DataFrame, column: str) -> DataFrame:
     """All rows that share their ``column`` value with another row."""
-    return df.join(repeated_values(df, column).select(column), column, "left_semi")
+    return df.join(apart(repeated_values(df, column).select(column)), column, "left_semi")
 
 
 def several_open_loans(loans: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from lectern.operators.lookup import by_key
 from lectern.operators.quality import first_broken, strict_rules
 from lectern.operators.running import running_total
 from lectern.plans.views import physical_books, shelf_sizes
-from lectern.session import pin
+from lectern.session import apart, pin
 from lectern.sources.collection import Collection
 
 
@@ -71,7 +71,7 @@ def move_books(
     books = by_key(tables.books, moves, "book_id").select(
         "book_id", "book_type", F.col("shelf_id").alias("_from"), F.lit(True).alias("_known")
     )
-    facts = moves.join(books, "book_id", "left").join(_free(tables), "shelf_id", "left")
+    facts = moves.join(apart(books), "book_id", "left").join(_free(tables), "shelf_id", "left")
     unsound = (
         F.when(F.col("_known").isNull(), "book_not_found")
         .when(F.col("book_type") != "physical", "book_not_physical")

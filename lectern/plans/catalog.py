@@ -466,8 +466,8 @@ over_tables("l5_overdue_count", lambda t: circulation.overdue_count(t.loans, AS_
 
 
 def _books_after_returns(t: Collection, b: StarBatches) -> DataFrame:
-    returned, _ = circulation.apply_returns(t.loans, b.returns(), AS_OF)
-    moved = circulation.loan_changes(t.loans, returned)
+    _, result = circulation.apply_returns(t.loans, b.returns(), AS_OF)
+    moved = circulation.return_changes(t.loans, result)
     return circulation.derive_book_status(t.books, moved, MOMENT)
 
 
@@ -475,7 +475,7 @@ over_batches("l6_book_status_after_returns", _books_after_returns)
 over_tables(
     "l6_book_status_from_loans",
     lambda t: circulation.derive_book_status(
-        t.books, circulation.loan_changes(t.loans.where("false"), t.loans)
+        t.books, circulation.new_loan_changes(t.loans)
     ).select("book_id", "status"),
 )
 
@@ -510,6 +510,16 @@ over_batches(
     "w1_patch_result",
     lambda t, b: changes.update_rows(t.students, b.student_patches(), "students", ENROLLED_BY)[1],
 )
+over_batches(
+    "w1_email_patch_result",
+    lambda t, b: changes.update_rows(t.students, b.email_patches(), "students", ENROLLED_BY)[1],
+)
+over_batches(
+    "w1_emails_after_patches",
+    lambda t, b: changes.update_rows(t.students, b.email_patches(), "students", ENROLLED_BY)[
+        0
+    ].select("student_id", "email"),
+)
 over_tables(
     "w2_loans_after_student_delete",
     lambda t: changes.delete_students(t, t.students.where("status = 'inactive'")).loans,
@@ -527,8 +537,8 @@ over_tables(
 over_batches("w2_shelf_delete_result", lambda t, b: changes.delete_shelves(t, b.shelf_keys())[1])
 over_tables(
     "cdc1_audit_overdue",
-    lambda t: changes.audit_diff(
-        t.loans, circulation.mark_overdue(t.loans, AS_OF, MOMENT), "loans", MOMENT
+    lambda t: changes.audit_pairs(
+        circulation.overdue_pairs(t.loans, AS_OF, MOMENT), "loans", MOMENT
     ),
 )
 over_batches(

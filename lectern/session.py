@@ -57,6 +57,16 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """``df`` dealt out anew, so that a join or grouping behind it starts from a plain stage.
+
+    AQE splits a skewed join only if both sides are plain shuffles. A side that was just grouped or
+    joined on the same key would keep that partitioning, and with it a hot key in one task. For the
+    small side of a join: what is dealt out is one row per key.
+    """
+    return df.hint("rebalance")
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write ``df`` once to reliable storage and continue from the written rows.
 

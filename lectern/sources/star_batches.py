@@ -140,6 +140,18 @@ class StarBatches:
             .alias("set_fields"),
         )
 
+    def email_patches(self) -> DataFrame:
+        """New addresses: some are other students', some are asked for by several students."""
+        other = F.lpad((F.col("event_id") * 11 % 60).cast("string"), 9, "0")
+        fresh = F.concat(F.lit("new."), (F.col("event_id") % 40).cast("string"), F.lit("@example.org"))
+        return self.events.select(
+            F.col("event_id").alias("seq"),
+            (F.col("event_id") * 7 % (self._rows(self.customers) + 20)).alias("student_id"),
+            F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("customer."), other, F.lit("@example.org")))
+            .otherwise(fresh)
+            .alias("email"),
+        )
+
     def shelf_keys(self) -> DataFrame:
         """Every shelf, and one unknown."""
         return self.suppliers.select(

@@ -19,7 +19,7 @@ from lectern.operators.circulation import admit_loans, derive_book_status
 from lectern.operators.lookup import by_key
 from lectern.plans.views import is_open
 from lectern.schemas import LOAN_EVENTS, MAX_LOAN_DAYS
-from lectern.session import pin
+from lectern.session import apart, pin
 from lectern.sources.collection import Collection
 from lectern.streaming.ledger import Ledger
 
@@ -51,7 +51,7 @@ def fold_events(
     )
     facts = pin(
         events.select("seq", "event", "loan_id", "event_date", "new_due")
-        .join(state, "loan_id", "left")
+        .join(apart(state), "loan_id", "left")
         .withColumn("_lost_or_end", F.coalesce("_lost", none))
     )
     opened, day, due = F.col("loan_date"), F.col("event_date"), F.col("new_due")
@@ -63,7 +63,7 @@ def fold_events(
     ).groupBy("loan_id").agg(
         F.min("seq").alias("_returned"), F.min_by("event_date", "seq").alias("_day")
     )
-    facts = facts.join(returns, "loan_id", "left").withColumn(
+    facts = facts.join(apart(returns), "loan_id", "left").withColumn(
         "_ends", F.least("_lost_or_end", F.coalesce("_returned", none))
     )
     seq, event, status = F.col("seq"), F.col("event"), F.col("loan_status")

@@ -1302,6 +1302,48 @@ batch_sql(
     """,
     FOLDED,
 )
+EMAILED = f"""
+asked_emails AS (
+  SELECT student_id, arg_max(email, seq) AS email, max(seq) AS seq FROM (
+    SELECT event_id AS seq, event_id * 7 % ((SELECT COUNT(*) FROM customer) + 20) AS student_id,
+           CASE WHEN event_id % 2 = 0
+                THEN 'customer.' || lpad(CAST(event_id * 11 % 60 AS VARCHAR), 9, '0') || '@example.org'
+                ELSE 'new.' || (event_id % 40) || '@example.org' END AS email
+    FROM events) GROUP BY student_id
+),
+emailed AS (
+  SELECT *, {first_broken(student_checks(2025))} AS broken FROM (
+    SELECT s.* REPLACE (a.email AS email), a.seq, s.email AS old_email
+    FROM students s JOIN asked_emails a ON s.student_id = a.student_id)
+),
+judged_emails AS (
+  SELECT e.student_id, e.email, CASE
+      WHEN broken IS NOT NULL THEN broken
+      WHEN email IS NOT DISTINCT FROM old_email THEN NULL
+      WHEN EXISTS (SELECT 1 FROM students o WHERE o.email = e.email AND o.student_id <> e.student_id)
+      THEN 'email_taken'
+      WHEN EXISTS (SELECT 1 FROM emailed o WHERE o.email = e.email AND o.seq < e.seq
+                   AND o.broken IS NULL AND o.email IS DISTINCT FROM o.old_email)
+      THEN 'email_taken' END AS reason
+  FROM emailed e
+)"""
+batch_sql(
+    "w1_email_patch_result",
+    """
+    SELECT a.student_id, reason IS NULL AS updated, reason FROM (
+      SELECT a.student_id, CASE WHEN j.student_id IS NULL THEN 'not_found' ELSE j.reason END AS reason
+      FROM asked_emails a LEFT JOIN judged_emails j ON a.student_id = j.student_id) a
+    """,
+    EMAILED,
+)
+batch_sql(
+    "w1_emails_after_patches",
+    """
+    SELECT s.student_id, COALESCE(j.email, s.email) AS email FROM students s
+    LEFT JOIN (SELECT * FROM judged_emails WHERE reason IS NULL) j ON s.student_id = j.student_id
+    """,
+    EMAILED,
+)
 GONE = "(SELECT student_id FROM students WHERE status = 'inactive')"
 sql("w2_loans_after_student_delete", f"SELECT * FROM loans WHERE student_id NOT IN {GONE}")
 sql(

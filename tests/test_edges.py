@@ -2,13 +2,18 @@
 
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
-from conftest import AS_OF, frame, rows
+from conftest import AS_OF, SMALL, frame, rows
 from lectern import schemas as S
 from lectern.operators import changes, circulation, ingest, shelving
 from lectern.operators.admission import grant
+from lectern.operators.lookup import by_key, missing_parties
 from lectern.operators.paging import gather
+from lectern.plans.catalog import QUERIES
+from lectern.session import apart
+from lectern.sources.collection import Collection
 from lectern.streaming.loan_events import apply_events
 
 MOMENT = datetime(2024, 12, 10, 8, 0, 0)
@@ -65,6 +70,44 @@ def test_hot_request_keys(spark, seed):
     assert made.loans.count() == 11
 
 
+@pytest.mark.parametrize("case", ["semi join", "left join", "delete", "requests"])
+def test_skewed_joins_can_be_split(spark, case):
+    """With no broadcast, a key that holds a third of the rows is split in the plan that ran."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        hot = F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id"))
+        rows_ = spark.range(0, 300_000, 1, 8).select(
+            "id", hot.alias("book_id"), hot.alias("student_id"), F.lit("active").alias("loan_status")
+        )
+        keys = spark.range(0, 300_000, 7, 4).select(F.col("id").alias("book_id"), F.col("id").alias("student_id"))
+        keys = keys.union(keys.limit(1).select(F.lit(1), F.lit(1)))
+        if case == "semi join":
+            found = by_key(rows_, keys, "book_id")
+        elif case == "left join":
+            found = rows_.join(apart(keys.groupBy("book_id").agg(F.count("*").alias("n"))), "book_id", "left")
+        elif case == "delete":
+            found = rows_.join(apart(keys.select("student_id").distinct()), "student_id", "left_anti")
+        else:
+            tables = Collection(books=keys.select("book_id"), students=keys.select("student_id"), loans=None, shelves=None)
+            found = missing_parties(tables, rows_.drop("loan_status"))
+        found.write.format("noop").mode("overwrite").save()
+        found.collect()
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_hot_group_is_spread_over_tasks(spark):
     df = spark.range(4000).select(
         F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"), "id"
@@ -75,3 +118,11 @@ def test_hot_group_is_spread_over_tasks(spark):
     assert [i for r in hot for i in r.ids] == sorted({*range(0, 4000, 3), 1})
     assert sorted(i for r in hot for i in r.ids) == sorted({*range(0, 4000, 3), 1})
     assert found.select(F.sum(F.size("ids"))).collect()[0][0] == 4000
+
+
+@pytest.mark.parametrize(
+    "name", ["cdc1_audit_overdue", "l6_book_status_after_returns", "l6_book_status_from_loans"]
+)
+def test_known_changes_need_no_self_join(spark, name):
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in plan

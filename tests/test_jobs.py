@@ -269,6 +269,25 @@ def test_status_setting(spark, seed):
     assert (found[1], found[2], found[4]) == ("lost", "lost", "active")
 
 
+def test_patches_keep_unique_values_and_references(spark, seed):
+    asked = spark.createDataFrame(
+        [(1, 2, "reader1@example.org"), (2, 3, "fresh@example.org"), (3, 4, "fresh@example.org"),
+         (4, 5, "reader5@example.org"), (5, 77, "x@example.org"), (6, 1, "bad")],
+        "seq long, student_id long, email string",
+    )
+    after, result = changes.update_rows(seed.students, asked, "students", AS_OF)
+    found = dict(rows(result, "student_id", "reason"))
+    assert found.pop(1) is not None
+    assert found == {2: "email_taken", 3: None, 4: "email_taken", 5: None, 77: "not_found"}
+    emails = dict(rows(after, "student_id", "email"))
+    assert len(set(emails.values())) == 5 and emails[3] == "fresh@example.org"
+    moved = spark.createDataFrame([(1, 1, 2), (2, 2, 999999)], "seq long, book_id long, shelf_id long")
+    after, result = changes.update_rows(
+        seed.books, moved, "books", AS_OF, references={"shelf_id": seed.shelves}
+    )
+    assert dict(rows(result, "book_id", "reason")) == {1: None, 2: "shelf_not_found"}
+
+
 def test_openings_equal_the_loop(spark):
     rng = random.Random(12)
     events = [(i, 1 if rng.random() < 0.4 else rng.randint(2, 12), rng.random() < 0.6) for i in range(400)]
