@@ -53,6 +53,9 @@ HEADLINE = (
     "w1_students_after_patches",
     "w2_loans_after_student_delete",
     "cdc1_audit_overdue",
+    "snk1_ingest_books",
+    "p2_moves_result",
+    "st1_loan_events",
 )
 
 

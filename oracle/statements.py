@@ -402,7 +402,7 @@ sql(
     "j7_never_loaned",
     """
     SELECT book_id, title, author, status, publication_year
-    FROM books ANTI JOIN loans USING (book_id)
+    FROM books b WHERE (SELECT COUNT(*) FROM loans l WHERE l.book_id = b.book_id) = 0
     """,
 )
 sql(
@@ -513,14 +513,16 @@ sql(
 sql(
     "a10_student_loan_summary",
     f"""
-    SELECT student_id, COALESCE(n, 0) AS total_loans, COALESCE(held, 0) AS current_loans,
-           COALESCE(overdue, 0) AS overdue_loans, COALESCE(late, 0) AS late_returns, last_loan_date
-    FROM (SELECT student_id FROM students) LEFT JOIN (
-      SELECT student_id, COUNT(*) AS n, COUNT(*) FILTER (loan_status IN {OPEN}) AS held,
-             COUNT(*) FILTER (loan_status = 'overdue') AS overdue,
-             COUNT(*) FILTER (actual_return_date > estimated_return_date) AS late,
-             MAX(loan_date) AS last_loan_date
-      FROM loans GROUP BY student_id) USING (student_id)
+    SELECT student_id,
+           (SELECT COUNT(*) FROM loans l WHERE l.student_id = s.student_id) AS total_loans,
+           (SELECT COUNT(*) FROM loans l WHERE l.student_id = s.student_id AND loan_status IN {OPEN})
+             AS current_loans,
+           (SELECT COUNT(*) FROM loans l WHERE l.student_id = s.student_id
+              AND loan_status = 'overdue') AS overdue_loans,
+           (SELECT COUNT(*) FROM loans l WHERE l.student_id = s.student_id
+              AND actual_return_date > estimated_return_date) AS late_returns,
+           (SELECT MAX(loan_date) FROM loans l WHERE l.student_id = s.student_id) AS last_loan_date
+    FROM students s
     """,
 )
 sql(
@@ -551,23 +553,22 @@ sql(
     "a14_student_history",
     """
     SELECT student_number, concat_ws(' ', first_name, last_name) AS student_name,
-           COALESCE(n, 0) AS total_loans, COALESCE(active, 0) AS active_loans,
-           COALESCE(late, 0) AS late_returns, last_loan_date
-    FROM students LEFT JOIN (
-      SELECT student_id, COUNT(*) AS n, COUNT(*) FILTER (loan_status = 'active') AS active,
-             COUNT(*) FILTER (loan_status = 'returned'
-                              AND actual_return_date > estimated_return_date) AS late,
-             MAX(loan_date) AS last_loan_date
-      FROM loans GROUP BY student_id) USING (student_id)
+           (SELECT COUNT(*) FROM loans l WHERE l.student_id = s.student_id) AS total_loans,
+           (SELECT COUNT(*) FROM loans l WHERE l.student_id = s.student_id
+              AND loan_status = 'active') AS active_loans,
+           (SELECT COUNT(*) FROM loans l WHERE l.student_id = s.student_id AND loan_status = 'returned'
+              AND actual_return_date > estimated_return_date) AS late_returns,
+           (SELECT MAX(loan_date) FROM loans l WHERE l.student_id = s.student_id) AS last_loan_date
+    FROM students s
     """,
 )
 sql(
     "a15_popular_books",
     """
-    SELECT book_id, title, author, loan_count, last_loaned
-    FROM books JOIN (
-      SELECT book_id, COUNT(*) AS loan_count, MAX(loan_date) AS last_loaned
-      FROM loans GROUP BY book_id) USING (book_id)
+    SELECT book_id, title, author,
+           (SELECT COUNT(*) FROM loans l WHERE l.book_id = b.book_id) AS loan_count,
+           (SELECT MAX(loan_date) FROM loans l WHERE l.book_id = b.book_id) AS last_loaned
+    FROM books b WHERE loan_count > 0
     ORDER BY loan_count DESC, book_id LIMIT 10
     """,
 )
@@ -605,9 +606,11 @@ sql(
 sql(
     "a18_section_popularity",
     """
-    SELECT section, main_topic, COUNT(*) AS total_loans
-    FROM loans JOIN books USING (book_id) JOIN shelves USING (shelf_id)
-    GROUP BY ALL
+    SELECT section, main_topic, (
+      SELECT COUNT(*) FROM loans WHERE book_id IN (
+        SELECT b.book_id FROM books b JOIN shelves s ON b.shelf_id = s.shelf_id
+        WHERE s.section = p.section AND s.main_topic = p.main_topic)) AS total_loans
+    FROM (SELECT DISTINCT section, main_topic FROM shelves) p WHERE total_loans > 0
     """,
 )
 sql(
@@ -615,14 +618,16 @@ sql(
     "SELECT isbn, COUNT(*) AS duplicate_count FROM books WHERE isbn IS NOT NULL "
     "GROUP BY isbn HAVING COUNT(*) > 1",
 )
-CONSISTENCY = """
+COUNTED_SHELVES = """(
+      SELECT *, (SELECT COUNT(*) FROM books b WHERE b.shelf_id = s.shelf_id
+                   AND b.book_type = 'physical') AS n FROM shelves s) counted"""
+CONSISTENCY = f"""
     SELECT shelf_id, location_code, current_book_count AS recorded_count,
-           COALESCE(n, 0) AS actual_count,
-           if(COALESCE(n, 0) = current_book_count, 'OK', 'MISMATCH') AS status
-    FROM shelves LEFT JOIN shelf_sizes USING (shelf_id)
+           n AS actual_count, CASE WHEN n = current_book_count THEN 'OK' ELSE 'MISMATCH' END AS status
+    FROM {COUNTED_SHELVES}
 """
 sql("a20_shelf_consistency", CONSISTENCY)
-sql("a21_shelf_mismatches", CONSISTENCY + "WHERE COALESCE(n, 0) <> current_book_count")
+sql("a21_shelf_mismatches", CONSISTENCY + "WHERE n <> current_book_count")
 sql(
     "a22_health",
     """
@@ -781,11 +786,10 @@ sql(
 )
 sql(
     "a20_consistency_function",
-    """
-    SELECT shelf_id, location_code, COALESCE(n, 0) AS expected_count,
-           current_book_count AS actual_count,
-           if(COALESCE(n, 0) = current_book_count, 'OK', 'MISMATCH') AS status
-    FROM shelves LEFT JOIN shelf_sizes USING (shelf_id)
+    f"""
+    SELECT shelf_id, location_code, n AS expected_count, current_book_count AS actual_count,
+           CASE WHEN n = current_book_count THEN 'OK' ELSE 'MISMATCH' END AS status
+    FROM {COUNTED_SHELVES}
     """,
 )
 
