@@ -83,7 +83,10 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as taken by the mix, once per copy, with each copy's place in its source."""
+    """The documents as taken by the mix, once per copy, with each copy's place in its source.
+
+    The place is in columns ``mix_*``; columns of those names that came in give way.
+    """
     keyed = docs.select("*", _key(docs).alias("__key"))
     mix = mix_sources(keyed.drop("doc_id").withColumnRenamed("__key", "doc_id"), entropy_share=0.999)
     places = ("epoch", "block", "start_token", "tokens", "source_tokens")

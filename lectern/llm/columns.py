@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -54,11 +53,6 @@ def codepoints(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def words_of(column: str = "text"):
-    """Lower-cased words of a text column, split at white space; no words for null."""
-    return F.filter(F.split(F.lower(F.coalesce(F.col(column), F.lit(""))), r"\s+"), lambda w: w != "")
-
-
 def mixed(values: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = values.astype(np.uint64, copy=True)

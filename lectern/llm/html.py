@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -267,6 +268,7 @@ def main_text(page: str | None, rule: dict) -> list[str]:
 
 def _merge_all(rows: pd.DataFrame) -> pd.DataFrame:
     pages, wrapper = 0, None
+    rows = rows.sort_values(["wrapper", "pages"])  # the order of arrival must not matter
     for n, text in zip(rows["pages"], rows["wrapper"], strict=True):
         other = json.loads(text)
         pages, wrapper = pages + int(n), other if wrapper is None else align(wrapper, other)
@@ -287,7 +289,7 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html_column: str = "html"
         def result() -> dict:
             return {
                 "host": list(known),
-                "part": [hash_of(w) for _, w in known.values()],
+                "part": [TaskContext.get().partitionId() % 64] * len(known),
                 "pages": [n for n, _ in known.values()],
                 "wrapper": [json.dumps(w) for _, w in known.values()],
             }
@@ -303,9 +305,6 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html_column: str = "html"
                 known.clear()
         yield result()
 
-    def hash_of(wrapper: list) -> int:
-        return len(json.dumps(wrapper)) % 32
-
     partial = arrow_map(rows, infer, "host string, part int, pages bigint, wrapper string")
     schema = "host string, pages bigint, wrapper string"
     # A host on very many tasks merges in two steps, so no group holds more than a share of its wrappers.
