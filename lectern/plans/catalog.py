@@ -520,6 +520,16 @@ over_batches(
         0
     ].select("student_id", "email"),
 )
+over_batches(
+    "w1_shelf_code_result",
+    lambda t, b: changes.update_rows(t.shelves, b.code_patches(), "shelves", AS_OF)[1],
+)
+over_batches(
+    "w1_book_shelf_result",
+    lambda t, b: changes.update_rows(
+        t.books, b.shelf_patches(), "books", AS_OF, references={"shelf_id": t.shelves}
+    )[1],
+)
 over_tables(
     "w2_loans_after_student_delete",
     lambda t: changes.delete_students(t, t.students.where("status = 'inactive'")).loans,

@@ -152,6 +152,23 @@ class StarBatches:
             .alias("email"),
         )
 
+    def code_patches(self) -> DataFrame:
+        """New location codes for shelves, each asked for by several."""
+        letter = F.char(F.lit(65) + F.col("event_id") % 3)
+        return self.events.select(
+            F.col("event_id").alias("seq"),
+            (F.col("event_id") * 3 % (self._rows(self.suppliers) + 3)).alias("shelf_id"),
+            F.concat(letter, (F.col("event_id") % 10).cast("string")).alias("location_code"),
+        )
+
+    def shelf_patches(self) -> DataFrame:
+        """Other shelves for books, some of them unknown."""
+        return self.events.select(
+            F.col("event_id").alias("seq"),
+            (F.col("event_id") * 3 % (self._rows(self.parts) + 20)).alias("book_id"),
+            (F.col("event_id") * 7 % (self._rows(self.suppliers) + 5)).alias("shelf_id"),
+        )
+
     def shelf_keys(self) -> DataFrame:
         """Every shelf, and one unknown."""
         return self.suppliers.select(

@@ -1348,6 +1348,56 @@ batch_sql(
     """,
     EMAILED,
 )
+batch_sql(
+    "w1_shelf_code_result",
+    """
+    SELECT shelf_id, reason IS NULL AS updated, reason FROM (
+      SELECT a.shelf_id, CASE WHEN c.shelf_id IS NULL THEN 'not_found'
+          WHEN broken IS NOT NULL THEN broken
+          WHEN c.location_code = c.old_code THEN NULL
+          WHEN EXISTS (SELECT 1 FROM shelves o WHERE o.location_code = c.location_code
+                       AND o.shelf_id <> c.shelf_id) THEN 'location_code_taken'
+          WHEN EXISTS (SELECT 1 FROM coded o WHERE o.location_code = c.location_code
+                       AND o.seq < c.seq AND o.broken IS NULL
+                       AND o.location_code <> o.old_code) THEN 'location_code_taken' END AS reason
+      FROM asked_codes a LEFT JOIN coded c ON a.shelf_id = c.shelf_id)
+    """,
+    f"""
+asked_codes AS (
+  SELECT shelf_id, arg_max(location_code, seq) AS location_code, max(seq) AS seq FROM (
+    SELECT event_id AS seq, event_id * 3 % ((SELECT COUNT(*) FROM supplier) + 3) AS shelf_id,
+           chr(CAST(65 + event_id % 3 AS INTEGER)) || (event_id % 10) AS location_code
+    FROM events) GROUP BY shelf_id
+),
+coded AS (
+  SELECT *, {first_broken(SHELF_CHECKS)} AS broken FROM (
+    SELECT s.* REPLACE (a.location_code AS location_code), a.seq, s.location_code AS old_code
+    FROM shelves s JOIN asked_codes a ON s.shelf_id = a.shelf_id)
+)""",
+)
+batch_sql(
+    "w1_book_shelf_result",
+    """
+    SELECT book_id, reason IS NULL AS updated, reason FROM (
+      SELECT a.book_id, CASE WHEN p.book_id IS NULL THEN 'not_found'
+          WHEN broken IS NOT NULL THEN broken
+          WHEN (SELECT COUNT(*) FROM shelves s WHERE s.shelf_id = p.shelf_id) = 0
+          THEN 'shelf_not_found' END AS reason
+      FROM asked_shelves a LEFT JOIN put p ON a.book_id = p.book_id)
+    """,
+    f"""
+asked_shelves AS (
+  SELECT book_id, arg_max(shelf_id, seq) AS shelf_id FROM (
+    SELECT event_id AS seq, event_id * 3 % ((SELECT COUNT(*) FROM part) + 20) AS book_id,
+           event_id * 7 % ((SELECT COUNT(*) FROM supplier) + 5) AS shelf_id
+    FROM events) GROUP BY book_id
+),
+put AS (
+  SELECT *, {first_broken(BOOK_CHECKS)} AS broken FROM (
+    SELECT b.* REPLACE (a.shelf_id AS shelf_id)
+    FROM books b JOIN asked_shelves a ON b.book_id = a.book_id)
+)""",
+)
 GONE = "(SELECT student_id FROM students WHERE status = 'inactive')"
 sql("w2_loans_after_student_delete", f"SELECT * FROM loans WHERE student_id NOT IN {GONE}")
 sql(
