@@ -16,7 +16,7 @@ from lectern.llm.language import UNDETERMINED, fit_language, predict_language
 from lectern.llm.mixing import mix_sources
 from lectern.llm.near_copies import near_copies
 from lectern.llm.pii import find_pii
-from lectern.session import pin, scratch_path
+from lectern.session import pin, scratch_path, with_scratch
 
 LEAST_SCORE = 0.2
 
@@ -53,6 +53,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     Texts without words link to nothing, so they stay.
     """
+    with_scratch(spark)
     keyed = docs.select("*", _key(docs).alias("__key"))
     classes = pin(near_copies(keyed.select(F.col("__key").alias("doc_id"), "text")))
     dropped = classes.where("doc_id <> class_id").select("doc_id").distinct()
@@ -64,6 +65,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that hold a benchmark item, up to edits. They are told by a digest of their text."""
+    with_scratch(spark)
     digested = docs.select("*", F.md5("text").alias("__digest"))
     leaks = find_leaks(digested.select("__digest", "text"), table(spark, sf_dir, "benchmark"), doc_id="__digest")
     leaking = pin(leaks.select(F.col("doc_id").alias("__digest")).distinct())
@@ -87,6 +89,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     The place is in columns ``mix_*``; columns of those names that came in give way.
     """
+    with_scratch(spark)
     keyed = docs.select("*", _key(docs).alias("__key"))
     mix = mix_sources(keyed.drop("doc_id").withColumnRenamed("__key", "doc_id"), entropy_share=0.999)
     places = ("epoch", "block", "start_token", "tokens", "source_tokens")
@@ -109,6 +112,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, written between stages to the session's shared folder."""
+    with_scratch(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"stage-{name}")

@@ -40,8 +40,13 @@ LOOKALIKES = dict(
     )
 )
 INVISIBLE = frozenset("­​‌‍‎‏⁠﻿")
+# Other dashes and spaces that stand for the plain ones.
+LOOKALIKES |= dict.fromkeys("\u2010\u2011\u2012\u2013\u2014\u2015\u2212", "-") | dict.fromkeys("\u00a0\u2007\u202f", " ")
+# Characters that may have a plain form: dashes, spaces, look-alike alphabets, digits of other scripts,
+# superscripts, circled and full-width forms, mathematical letters.
 UNUSUAL = re.compile(
-    "[­Ͱ-ϿЀ-ԯ​-‏⁠⁰-₟①-⓿﻿！-～"
+    "[\u00a0\u00ad\u0370-\u03ff\u0400-\u052f\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u2007\u200b-\u200f"
+    "\u2010-\u2015\u2024\u202f\u2060\u2070-\u209f\u2212\u2460-\u24ff\ufe50-\ufe6b\ufeff\uff01-\uff5e"
     "\U0001d400-\U0001d7ff]"
 )
 
@@ -68,12 +73,12 @@ SPELLED_IP = re.compile(
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,2}", r"\s{0,2}[\])}>]\s{0,3}"
 _AT, _DOT = r"(?:at|arroba|arobase|@)", r"(?:dot|punkt|point|punto|\.)"
 BRACKETED = re.compile(rf"(?i)(?<=[a-z0-9]){_OPEN}(?:(?P<at>{_AT})|(?P<dot>{_DOT})){_CLOSE}(?=[a-z0-9])")
-_SPOKEN_DOT = r"(?:\s{1,2}(?:dot|punkt|point|punto)\s{1,2}|\.)"
+_SPOKEN_DOT = r"(?:\s{1,2}(?:dot|punkt|point|punto|\.)\s{1,2}|\.)"
 SPOKEN = re.compile(
-    rf"(?i)(?<![\w.%+-])[a-z0-9_%+-]+(?:{_SPOKEN_DOT}[a-z0-9_%+-]+)*+(?P<at>\s{{1,2}}(?:at|arroba|arobase)\s{{1,2}}|@)"
+    rf"(?i)(?<![\w.%+-])[a-z0-9_%+-]+(?:{_SPOKEN_DOT}[a-z0-9_%+-]+)*+(?P<at>\s{{1,2}}(?:at|arroba|arobase|@)\s{{1,2}}|@)"
     rf"[a-z0-9-]+(?:{_SPOKEN_DOT}[a-z0-9-]+)+"
 )
-SPOKEN_PART = re.compile(r"(?i)\s{1,2}(?:(at|arroba|arobase)|dot|punkt|point|punto)\s{1,2}")
+SPOKEN_PART = re.compile(r"(?i)\s{1,2}(?:(at|arroba|arobase|@)|dot|punkt|point|punto|\.)\s{1,2}")
 BRACKETED_HINT = re.compile(rf"(?i)[\[({{<]\s{{0,2}}(?:{_AT}|{_DOT}){_CLOSE}")
 SPOKEN_HINTS = ("dot", "punkt", "point", "punto")
 
@@ -150,7 +155,9 @@ class Rewritten:
 def plain_characters(text: str) -> Iterable[tuple[int, int, str]]:
     for m in UNUSUAL.finditer(text):
         c = m[0]
-        new = "" if c in INVISIBLE else LOOKALIKES.get(c) or unicodedata.normalize("NFKC", c)
+        digit = unicodedata.decimal(c, None)
+        plain = LOOKALIKES.get(c) or (unicodedata.normalize("NFKC", c) if digit is None else str(digit))
+        new = "" if c in INVISIBLE else plain
         if new != c and new.isascii():
             yield m.start(), m.end(), new
 
@@ -163,7 +170,7 @@ def bracketed_signs(text: str) -> Iterable[tuple[int, int, str]]:
 def spoken_signs(text: str) -> Iterable[tuple[int, int, str]]:
     """Spelled "at" and "dot" where they form a whole address, with at least one of them spelled."""
     for m in SPOKEN.finditer(text):
-        if m["at"] == "@" or "." not in m[0] or SPOKEN_PART.search(m[0], m.end("at") - m.start()):
+        if m["at"].strip() == "@" or "." not in m[0] or SPOKEN_PART.search(m[0], m.end("at") - m.start()):
             for part in SPOKEN_PART.finditer(m[0]):
                 yield m.start() + part.start(), m.start() + part.end(), "@" if part[1] else "."
 
@@ -192,6 +199,8 @@ def may_be_disguised(text: str) -> bool:
         return True
     if any(c in text for c in "[({<") and BRACKETED_HINT.search(text):
         return True
+    if " @ " in text:
+        return True
     words = text.lower().replace("-", " ").replace(",", " ").replace(".", " ").replace("/", " ").split()
     if any(w in words for w in SPOKEN_HINTS):
         return True

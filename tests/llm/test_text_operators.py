@@ -86,13 +86,17 @@ def test_plain_spans_equal_the_patterns():
         ("call plus four four two zero seven nine four six zero nine", "phone", "plus four four two zero seven nine four six zero nine"),
         ("at one nine two dot one six eight dot zero dot one", "ip", "one nine two dot one six eight dot zero dot one"),
         ("192[.]168[.]0[.]1", "ip", "192[.]168[.]0[.]1"),
+        ("to john @ example . com today", "email", "john @ example . com"),
+        ("card 4111\u20131111\u20131111\u20131111", "card", "4111\u20131111\u20131111\u20131111"),
+        ("tel +1\u00a0555\u00a0010\u00a09999 x", "phone", "+1\u00a0555\u00a0010\u00a09999"),
+        ("ip \u0661\u0669\u0662.\u0661\u0666\u0668.\u0660.\u0661", "ip", "\u0661\u0669\u0662.\u0661\u0666\u0668.\u0660.\u0661"),
     ],
 )
 def test_disguised_spans_map_back(text, kind, source):
     assert [(k, text[a:b], plain) for k, a, b, plain in pii.find_all(text)] == [(kind, source, False)]
 
 
-@pytest.mark.parametrize("text", ["he is at home. The dot com era", "one two three go", "john at example.com", "a 12 [at] b"])
+@pytest.mark.parametrize("text", ["he is at home. The dot com era", "one two three go", "john at example.com", "a 12 [at] b", "a - b . c @ d", "il dit\u00a0: 5\u00a0000"])
 def test_clean_texts_have_no_spans(text):
     assert pii.find_all(text) == []
 
