@@ -4,10 +4,12 @@ Every token is predicted from the words on both of its sides by a small network
 the window, one hidden layer, and a softmax in two levels (group, then word in the group). A document's
 score is the sum of its tokens' conditional log probabilities.
 
-The vocabulary comes from word counts over all documents; other words share hashed places. Training
-runs where the documents are: in each round every task starts from the same network, trains on a fixed
-share of the positions of all its documents, and Spark averages the networks by tokens seen. So what
-training reads and sends grows with the corpus, while the driver holds one network.
+The vocabulary comes from word counts over all documents; other words share hashed places, and the
+probability of such a word is that of its place times the word's share of the place's count. The counts
+of these words never leave Spark: they reach the scores by a join. Training runs where the documents
+are: the positions of all documents are dealt out over the rounds, in each round every task starts from
+the same network and trains on the round's positions, and Spark averages the networks by tokens seen.
+So what training reads and sends grows with the corpus, while the driver holds one network.
 """
 
 from __future__ import annotations
@@ -19,20 +21,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.columns import Batches, arrow_map, slices
+from lectern.session import pin
 
 SIDE = 2  # words on each side
-GROUP = 64  # places per group
+GROUP, WIDE_GROUP, WIDE = 64, 256, 1 << 13  # places per group, below and from so many places
 EMBEDDING, HIDDEN = 16, 32
 PIECE = 1 << 14  # parameters per row when networks travel
 FLUSH = 500_000
 PAD = 0
 
 
+def group_width(size: int) -> int:
+    return GROUP if size < WIDE else WIDE_GROUP
+
+
 def tokens(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
@@ -46,7 +54,8 @@ class Vocabulary:
 
     @property
     def size(self) -> int:
-        return -(-(1 + len(self.words) + self.shared) // GROUP) * GROUP
+        least = 1 + len(self.words) + self.shared
+        return -(-least // group_width(least)) * group_width(least)
 
     def lookup(self) -> Places:
         return Places(self)
@@ -68,6 +77,17 @@ class Places(dict):
         return place
 
 
+class Hashes(dict):
+    """Spark's xxhash64 by word, worked out when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > FLUSH:
+            self.clear()
+        value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+        self[word] = value = value - (1 << 64) if value >> 63 else value
+        return value
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """``word`` and ``n`` over all texts."""
 
@@ -88,10 +108,11 @@ class Network:
     """Parameters in one float32 vector, with views by name."""
 
     def __init__(self, size: int, values: np.ndarray | None = None):
-        groups = size // GROUP
+        self.width = width = group_width(size)
+        groups = size // width
         shapes = {
             "embedding": (size, EMBEDDING), "hidden": (2 * SIDE * EMBEDDING, HIDDEN), "hidden_bias": (HIDDEN,),
-            "group": (HIDDEN, groups), "group_bias": (groups,), "word": (groups, HIDDEN, GROUP), "word_bias": (groups, GROUP),
+            "group": (HIDDEN, groups), "group_bias": (groups,), "word": (groups, HIDDEN, width), "word_bias": (groups, width),
         }
         total = sum(int(np.prod(s)) for s in shapes.values())
         if values is None:
@@ -108,7 +129,7 @@ class Network:
 
     def log_probabilities(self, windows: np.ndarray, targets: np.ndarray) -> np.ndarray:
         _, hidden = self.forward(windows)
-        group, place = targets // GROUP, targets % GROUP
+        group, place = targets // self.width, targets % self.width
         scores = hidden @ self.view["group"] + self.view["group_bias"]
         out = scores[np.arange(len(targets)), group] - _log_sum(scores)
         for g, rows in _by_group(group):
@@ -121,7 +142,7 @@ class Network:
         n = len(targets)
         out = Network(len(self.view["embedding"]), np.zeros_like(self.values))
         inputs, hidden = self.forward(windows)
-        group, place = targets // GROUP, targets % GROUP
+        group, place = targets // self.width, targets % self.width
         error = _softmax(hidden @ self.view["group"] + self.view["group_bias"])
         error[np.arange(n), group] -= 1
         out.view["group"] += hidden.T @ error
@@ -136,7 +157,11 @@ class Network:
         back *= 1 - hidden * hidden
         out.view["hidden"] += inputs.T @ back
         out.view["hidden_bias"] += back.sum(axis=0)
-        np.add.at(out.view["embedding"], windows.ravel(), (back @ self.view["hidden"].T).reshape(-1, EMBEDDING))
+        order = np.argsort(windows, axis=None, kind="stable")
+        place = windows.ravel()[order]
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        parts = (back @ self.view["hidden"].T).reshape(-1, EMBEDDING)[order]
+        out.view["embedding"][place[first]] = np.add.reduceat(parts, first)
         out.values /= n
         return out.values
 
@@ -175,8 +200,21 @@ def lay_out(texts: Iterable[str | None], lookup: Places) -> tuple[np.ndarray, np
     return places, np.flatnonzero(places != PAD), np.repeat(np.arange(len(lengths)), lengths)
 
 
+def drawn_in(number: int, share: float, texts: list[str | None], owner: np.ndarray) -> np.ndarray:
+    """Which positions train in a round: a stretch of length ``share`` of a circle, each round the next one.
+
+    A position's point on the circle follows from its text and its place there, whatever task reads it, so
+    rounds with ``share`` 1 / rounds are disjoint and together take every position.
+    """
+    offsets = np.array([zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts], dtype=np.int64)
+    index = np.arange(len(owner)) - np.searchsorted(owner, owner, side="left")
+    points = (offsets[owner] + index * 2654435769) % (1 << 32)
+    edges = [round(share * k * (1 << 32)) for k in (number, number + 1)]
+    return (points - edges[0]) % (1 << 32) < edges[1] - edges[0]
+
+
 def train(
-    docs: DataFrame, vocabulary: Vocabulary, network: Network, rounds: int, share: float, batch_size: int = 4096, rate: float = 0.02
+    docs: DataFrame, vocabulary: Vocabulary, network: Network, rounds: int, share: float, batch_size: int = 16384, rate: float = 0.02
 ) -> Network:
     size = vocabulary.size
 
@@ -191,8 +229,9 @@ def train(
             seen = 0
             for whole in batches:
                 for batch in slices(whole, chars=2_000_000):
-                    places, at_tokens, _ = lay_out(batch.column("text").to_pylist(), lookup)
-                    drawn = at_tokens[rng.random(len(at_tokens)) < share]
+                    texts = batch.column("text").to_pylist()
+                    places, at_tokens, owner = lay_out(texts, lookup)
+                    drawn = at_tokens[drawn_in(number, share, texts, owner)]
                     rng.shuffle(drawn)
                     for at in range(0, len(drawn), batch_size):
                         rows = drawn[at : at + batch_size]
@@ -206,23 +245,24 @@ def train(
                     "piece": list(pieces),
                     "part": [TaskContext.get().partitionId() % 64] * len(pieces),
                     "weight": [float(seen)] * len(pieces),
-                    "total": [(local.values[p : p + PIECE].astype(np.float64) * seen).tobytes() for p in pieces],
+                    "mean": [local.values[p : p + PIECE].tobytes() for p in pieces],
                 }
 
         def add(group: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(t) for t in group["total"])
+            weight = group["weight"].sum()
+            mean = sum(np.frombuffer(m, dtype=np.float32) * (w / weight) for m, w in zip(group["mean"], group["weight"], strict=True))
             first = group.iloc[0]
             return pd.DataFrame(
-                {"piece": [first["piece"]], "part": [first["part"]], "weight": [group["weight"].sum()], "total": [total.tobytes()]}
+                {"piece": [first["piece"]], "part": [first["part"]], "weight": [weight], "mean": [mean.astype(np.float32).tobytes()]}
             )
 
-        schema = "piece int, part int, weight double, total binary"
+        schema = "piece int, part int, weight double, mean binary"
         trained = arrow_map(frame, learn, schema)
         # In two steps, so that no group holds the networks of more than a share of the tasks.
         summed = trained.groupBy("piece", "part").applyInPandas(add, schema).groupBy("piece").applyInPandas(add, schema)
         values = initial.copy()
         for r in summed.collect():
-            values[r["piece"] : r["piece"] + PIECE] = np.frombuffer(r["total"]) / r["weight"]
+            values[r["piece"] : r["piece"] + PIECE] = np.frombuffer(r["mean"], dtype=np.float32)
         return Network(size, values)
 
     for number in range(rounds):
@@ -234,41 +274,71 @@ def score_documents(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
-    words: int = 1791,
+    words: int = 32_000,
     shared: int = 256,
     rounds: int = 2,
-    share: float = 0.05,
-    batch_size: int = 4096,
+    share: float | None = None,
+    batch_size: int = 16384,
+    least_count: int = 5,
 ) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``pll`` (sum of log probabilities) and ``pll_per_token`` for every row.
 
-    Tokens are lower-cased words between white space. The ``words`` most frequent ones (ties in order)
-    have places of their own, all others share ``shared`` places. ``share`` of the positions of every
-    document train in each of ``rounds`` rounds. Null and empty texts have 0 tokens, score 0 and null
-    per token. Repeated rows count as text of their own and score alike.
+    Tokens are lower-cased words between white space. Words that occur ``least_count`` times have places of
+    their own, but at most the ``words`` most frequent ones (ties in order), since the driver holds the
+    network. All others share ``shared`` places; the probability of such a word is its place's, times its
+    count over the count of the place's words. Every position trains in one of ``rounds`` rounds; with a
+    ``share`` named, each round takes the next such share of the positions. Null and empty texts have 0
+    tokens, score 0 and null per token. Repeated rows count as text of their own and score alike.
     """
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     texts = rows.select("text")
-    frequent = count_words(texts).orderBy(F.desc("n"), "word").limit(words).collect()
+    counts = pin(count_words(texts))
+    frequent = counts.where(F.col("n") >= least_count).orderBy(F.desc("n"), "word").limit(words).collect()
     vocabulary = Vocabulary({r["word"]: i + 1 for i, r in enumerate(frequent)}, shared)
+    own = len(vocabulary.words)
+    # What the places have in common: the counts of all words less those with places of their own.
+    in_place = np.zeros(vocabulary.size)
+    for r in counts.groupBy((F.crc32(F.col("word").cast("binary")) % shared).alias("place")).agg(F.sum("n").alias("n")).collect():
+        in_place[1 + own + r["place"]] = r["n"]
+    for r in frequent:
+        in_place[1 + own + zlib.crc32(r["word"].encode("utf-8", "surrogatepass")) % shared] -= r["n"]
+    shift = -np.log(np.maximum(in_place, 1))
     network = Network(vocabulary.size)
-    if frequent:
-        network = train(texts, vocabulary, network, rounds, share, batch_size)
+    if in_place.any() or frequent:
+        network = train(texts, vocabulary, network, rounds, 1 / rounds if share is None else share, batch_size)
     values = network.values
 
     def score(batches: Batches) -> Iterable[dict]:
-        trained, lookup = Network(vocabulary.size, values), vocabulary.lookup()
+        trained, lookup, hashes = Network(vocabulary.size, values), vocabulary.lookup(), Hashes()
+        row = TaskContext.get().partitionId() << 33
         for whole in batches:
             for batch in slices(whole, chars=1_000_000):
-                places, at_tokens, owner = lay_out(batch.column("text").to_pylist(), lookup)
+                lines = batch.column("text").to_pylist()
+                places, at_tokens, owner = lay_out(lines, lookup)
                 total = np.zeros(batch.num_rows)
                 for start in range(0, len(at_tokens), 16384):
                     rows = at_tokens[start : start + 16384]
-                    found = trained.log_probabilities(places[rows[:, None] + OFFSETS], places[rows])
+                    targets = places[rows]
+                    found = trained.log_probabilities(places[rows[:, None] + OFFSETS], targets) + shift[targets]
                     total += np.bincount(owner[start : start + 16384], found, batch.num_rows)
-                n = np.bincount(owner, minlength=batch.num_rows)
-                mean = [t / c if c else None for t, c in zip(total.tolist(), n.tolist(), strict=True)]
-                yield {"doc_id": batch.column("doc_id"), "n_tokens": n, "pll": total, "pll_per_token": mean}
+                yield {
+                    "row": np.arange(row, row + batch.num_rows),
+                    "doc_id": batch.column("doc_id"),
+                    "n_tokens": np.bincount(owner, minlength=batch.num_rows),
+                    "pll": total,
+                    "hashed": [[hashes[w] for w in tokens(t) if lookup[w] > own] for t in lines],
+                }
+                row += batch.num_rows
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    return arrow_map(rows, score, f"doc_id {id_type}, n_tokens bigint, pll double, pll_per_token double")
+    schema = f"row bigint, doc_id {id_type}, n_tokens bigint, pll double, hashed array<bigint>"
+    scored = pin(arrow_map(rows, score, schema))
+    # Words that occur once add log 1.
+    logs = counts.where("n > 1").select(F.xxhash64("word").alias("word"), F.log("n").alias("log_n"))
+    named = scored.select("row", F.explode("hashed").alias("word")).join(logs, "word").groupBy("row").agg(F.sum("log_n").alias("log_n"))
+    pll = F.col("pll") + F.coalesce("log_n", F.lit(0.0))
+    return (
+        scored.drop("hashed")
+        .join(named, "row", "left")
+        .select("doc_id", "n_tokens", pll.alias("pll"), F.when(F.col("n_tokens") > 0, pll / F.col("n_tokens")).alias("pll_per_token"))
+    )

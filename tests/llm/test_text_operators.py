@@ -321,3 +321,19 @@ def test_pseudo_likelihood_prefers_the_corpus(spark):
     assert by_id[501].n_tokens == 0 and by_id[502].pll == 0 and by_id[502].pll_per_token is None
     assert abs(by_id[None].pll - by_id[0].pll) < 1e-3
     assert language_model.score_documents(docs.where("false")).count() == 0
+
+
+def test_hashed_words_score_by_their_own_counts(spark):
+    rows = [(i, "often seldom" if i == 0 else "often usual" if i < 51 else "often") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r.pll for r in language_model.score_documents(docs, words=1, shared=1).collect()}
+    assert abs(found[1] - found[0] - np.log(50)) < 1e-3
+
+
+def test_every_position_trains_in_one_round():
+    texts = ["a", "", None, "a b c", "x " * 1001, "one two"]
+    owner = np.repeat(np.arange(len(texts)), [len(language_model.tokens(t)) for t in texts])
+    for rounds in (1, 2, 3):
+        drawn = [language_model.drawn_in(k, 1 / rounds, texts, owner) for k in range(rounds)]
+        assert (np.sum(drawn, axis=0) == 1).all()
+        assert all(abs(d.mean() - 1 / rounds) < 0.02 for d in drawn)
