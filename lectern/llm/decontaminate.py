@@ -6,8 +6,10 @@ step again after an edit, so they differ in few places of the embedding. A repet
 walk and a sample of its places; windows whose sampled characters agree meet. Windows start at every
 word of a document and of an item, so edits in one part of an item leave other windows alone. Edited
 copies of the items themselves, at the highest edit share, tell how many repetitions the target recall
-takes. Where a window of a document meets one of an item, the item-sized stretch around it is compared
-by exact edit distance.
+takes, by classes of items of about the same length and number of windows. Classes that do not reach it,
+and items shorter than a window, are searched exactly: of an item cut into one piece more than it may
+have edits, a piece is left as it was, so documents are searched at every character for the pieces.
+Where a window or piece meets, the item-sized stretch around it is compared by exact edit distance.
 
 Texts are compared in lower case with single spaces. Items go through the tasks' memory in chunks of
 bounded size, one pass over the documents each; no document moves.
@@ -25,10 +27,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm.columns import Batches, arrow_map, codepoints, mixed, slices
 
-# (steps of the walk, sampled places) for items of at least that many characters; shorter items never count.
-WINDOWS = ((36, 16), (12, 8))
-SHORTEST = WINDOWS[-1][0]
-PAD = WINDOWS[0][0]
+STEPS, SAMPLED = 36, 16  # steps of the walk, sampled places
+PAD = STEPS
 GATE_BITS = 20
 
 
@@ -49,6 +49,11 @@ class Walk:
         moves = rng.integers(0, 2, size=(steps, 256), dtype=np.int64)
         return Walk(moves, np.sort(rng.choice(steps, size=sampled, replace=False)))
 
+    @staticmethod
+    def straight(steps: int) -> Walk:
+        """Every character, in order."""
+        return Walk(np.ones((steps, 256), dtype=np.int64), np.arange(steps))
+
     def stages(self) -> list[int]:
         """After how many sampled places the windows met so far are told from the rest."""
         n = len(self.places)
@@ -114,18 +119,38 @@ class Probe:
         return near[which], low[which] + within
 
 
-def build_probe(walk: Walk, items: list[str], steps: int) -> Probe:
-    symbols, begins, starts, owner = lay_out(items)
-    offsets = starts - begins[owner]
-    lengths = np.array([len(t) for t in items], dtype=np.int64)
-    whole = offsets + steps <= lengths[owner]
-    starts, owner, offsets = starts[whole], owner[whole], offsets[whole]
-    _, stages = walk.keys(symbols, starts)
+def build_probe(walk: Walk, items: list[str], offsets: list[list[int]], known: np.ndarray) -> Probe:
+    """Windows of the items of numbers ``known`` at their ``offsets``."""
+    symbols, begins, _, _ = lay_out([items[i] for i in known])
+    counts = [len(offsets[i]) for i in known]
+    owner = np.repeat(known, counts)
+    at = np.array([o for i in known for o in offsets[i]], dtype=np.int64)
+    _, stages = walk.keys(symbols, np.repeat(begins, counts) + at)
     order = np.argsort(stages[-1], kind="stable")
     gates = [np.zeros(1 << GATE_BITS, dtype=bool) for _ in stages]
     for gate, keys in zip(gates, stages, strict=True):
         gate[gate_slot(keys)] = True
-    return Probe(walk, gates, stages[-1][order], owner[order], offsets[order])
+    return Probe(walk, gates, stages[-1][order], owner[order], at[order])
+
+
+def window_offsets(item: str) -> list[int]:
+    return [i for i in range(len(item) - STEPS + 1) if i == 0 or item[i - 1] == " "]
+
+
+def pieces(item: str, edit_share: float) -> tuple[int, list[int]]:
+    """Length and offsets of one piece more than the item may have edits."""
+    n = int(edit_share * len(item)) + 1
+    size = len(item) // n
+    return min(size, STEPS), [k * size for k in range(n)]
+
+
+def exact_probes(items: list[str], known: Iterable[int], edit_share: float) -> list[Probe]:
+    by_length: dict[int, list[int]] = {}
+    cut = [pieces(t, edit_share) for t in items]
+    for i in known:
+        by_length.setdefault(cut[i][0], []).append(i)
+    offsets = [o for _, o in cut]
+    return [build_probe(Walk.straight(n), items, offsets, np.array(which)) for n, which in sorted(by_length.items())]
 
 
 def edited(text: str, edits: int, rng: np.random.Generator) -> str:
@@ -137,19 +162,35 @@ def edited(text: str, edits: int, rng: np.random.Generator) -> str:
     return "".join(chars)
 
 
-def probes_for(items: list[str], steps: int, sampled: int, edit_share: float, target: float, most: int) -> list[Probe]:
-    """As many repetitions as find the target share of edited items, or ``most``."""
+def probes_for(items: list[str], edit_share: float, target: float, most: int) -> tuple[list[Probe], list[int]]:
+    """Repetitions that find the target share of edited items of every class, and the items of the classes
+    that ``most`` repetitions do not suffice for."""
     rng = np.random.default_rng(5)
-    tried = [int(i) for i in rng.permutation(len(items))[:200] for _ in range(4)]
+    offsets = [window_offsets(t) for t in items]
+    classes: dict[tuple[int, int], list[int]] = {}
+    for i, t in enumerate(items):
+        if offsets[i]:
+            classes.setdefault((round(3 * np.log2(len(t))), len(offsets[i]).bit_length()), []).append(i)
+    names, tried, group = sorted(classes), [], []
+    for c, name in enumerate(names):
+        drawn = rng.permutation(classes[name])[:200]
+        tried += np.repeat(drawn, max(4, -(-400 // len(drawn)))).tolist()
+        group += [c] * (len(tried) - len(group))
     copies = [plain(edited(items[i], int(edit_share * len(items[i])), rng)) for i in tried]
     symbols, _, starts, owner = lay_out(copies)
-    missed, out = np.ones(len(tried), dtype=bool), []
-    while len(out) < most and missed.mean() > 1 - target:
-        out.append(build_probe(Walk.random(len(out), steps, sampled), items, steps))
-        window, at = out[-1].meet(symbols, starts)
-        right = out[-1].items[at] == np.array(tried)[owner[window]]
-        missed[owner[window[right]]] = False
-    return out
+    missed, group, wanted = np.ones(len(tried), dtype=bool), np.array(group, dtype=np.int64), np.array(tried)
+    walks, took = [], np.zeros(len(names), dtype=np.int64)
+    every = np.array(sorted(i for which in classes.values() for i in which), dtype=np.int64)
+    while len(walks) < most and (took == 0).any():
+        walks.append(Walk.random(len(walks), STEPS, SAMPLED))
+        probe = build_probe(walks[-1], items, offsets, every)
+        window, at = probe.meet(symbols, starts)
+        missed[owner[window[probe.items[at] == wanted[owner[window]]]]] = False
+        share = np.bincount(group, missed) / np.bincount(group)
+        took[(took == 0) & (share <= 1 - target)] = len(walks)
+    sure = np.array(sorted(i for name, n in zip(names, took, strict=True) if n for i in classes[name]), dtype=np.int64)
+    rest = sorted(set(range(len(items))) - set(sure.tolist()))
+    return [build_probe(w, items, offsets, sure) for w in walks[: max(took, default=0)]], rest
 
 
 def least_edits(item: str, stretch: str) -> int:
@@ -187,8 +228,8 @@ def find_leaks(
 ) -> DataFrame:
     """``doc_id``, ``item_id`` and ``edits``: items found in documents within ``edit_share`` of their length.
 
-    One row per row of ``docs`` and item, with the smallest distance seen. Items of fewer than 12
-    characters never count, nor do null texts on either side; items with equal texts are each found.
+    One row per row of ``docs`` and item, with the smallest distance seen. Null and blank texts never
+    count on either side; items with equal texts are each found.
     Repeated documents give repeated rows; an item id repeated with other texts counts for each text.
     Items are read to the driver by chunks of about ``chunk_chars`` characters (one item at least).
     """
@@ -202,18 +243,15 @@ def find_leaks(
     found = []
     for chunk in range(chunks):
         part = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == chunk).collect()
-        known = [(r.item_id, plain(r.text)) for r in part]
-        upper = None
-        for steps, sampled in WINDOWS:
-            group = [(i, t) for i, t in known if len(t) >= steps and (upper is None or len(t) < upper)]
-            upper = steps
-            if group:
-                probes = probes_for([t for _, t in group], steps, sampled, edit_share, target, most_repetitions)
-                found.append(_scan(rows, group, probes, edit_share, schema))
+        known = [(r.item_id, t) for r in part if (t := plain(r.text))]
+        if known:
+            texts = [t for _, t in known]
+            probes, rest = probes_for(texts, edit_share, target, most_repetitions)
+            found.append(_scan(rows, known, probes, exact_probes(texts, rest, edit_share), edit_share, schema))
     return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], schema)
 
 
-def _scan(rows: DataFrame, group: list[tuple], probes: list[Probe], edit_share: float, schema: str) -> DataFrame:
+def _scan(rows: DataFrame, group: list[tuple], probes: list[Probe], exact: list[Probe], edit_share: float, schema: str) -> DataFrame:
     def scan(batches: Batches) -> Iterable[dict]:
         for whole in batches:
             for batch in slices(whole, chars=1_000_000):
@@ -221,7 +259,11 @@ def _scan(rows: DataFrame, group: list[tuple], probes: list[Probe], edit_share:
                 symbols, begins, starts, owner = lay_out(texts)
                 tried: set[tuple[int, int, int]] = set()
                 best: dict[tuple[int, int], int] = {}
-                for probe in probes:
+                lengths = [len(t) if exact else 0 for t in texts]
+                holders = np.repeat(np.arange(len(texts)), lengths)
+                places = begins[holders] + np.arange(len(holders)) - np.searchsorted(holders, holders)
+                turns = [(p, starts, owner) for p in probes] + [(p, places, holders) for p in exact]
+                for probe, starts, owner in turns:
                     window, at = probe.meet(symbols, starts)
                     for w, a in zip(window.tolist(), at.tolist(), strict=True):
                         doc, item = int(owner[w]), int(probe.items[a])

@@ -337,3 +337,17 @@ def test_every_position_trains_in_one_round():
         drawn = [language_model.drawn_in(k, 1 / rounds, texts, owner) for k in range(rounds)]
         assert (np.sum(drawn, axis=0) == 1).all()
         assert all(abs(d.mean() - 1 / rounds) < 0.02 for d in drawn)
+
+
+@pytest.mark.parametrize("share", [0.08, 0.15])
+def test_short_items_are_all_found(spark, share):
+    rng, make = random.Random(7), np.random.default_rng(7)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    lengths = [6, 11, 12, 20, 36, 40, 50, 60]
+    items = [(n * 100 + i, word(n) if i % 5 == 0 else " ".join(word(5) for _ in range(n))[:n].strip()) for n in lengths for i in range(40)]
+    leaks = [(i, decontaminate.plain(decontaminate.edited(t, int(share * len(t)), make))) for i, t in items]
+    docs = spark.createDataFrame([(i, f"{word(9)} {t} {word(9)}") for i, t in leaks], "doc_id bigint, text string")
+    found = decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    got = {r.doc_id for r in found if r.doc_id == r.item_id}
+    whole = {i for (i, t), (_, e) in zip(items, leaks, strict=True) if decontaminate.least_edits(t, e) <= int(0.15 * len(t))}
+    assert len(whole) == len(items) and got == whole
