@@ -80,6 +80,7 @@ SPOKEN = re.compile(
 )
 SPOKEN_PART = re.compile(r"(?i)\s{1,2}(?:(at|arroba|arobase|@)|dot|punkt|point|punto|\.)\s{1,2}")
 BRACKETED_HINT = re.compile(rf"(?i)[\[({{<]\s{{0,2}}(?:{_AT}|{_DOT}){_CLOSE}")
+SPACED_SIGN = re.compile(r"\s@\s|@\S+\s{1,2}\.\s")
 SPOKEN_HINTS = ("dot", "punkt", "point", "punto")
 
 
@@ -199,12 +200,13 @@ def may_be_disguised(text: str) -> bool:
         return True
     if any(c in text for c in "[({<") and BRACKETED_HINT.search(text):
         return True
-    if " @ " in text:
+    if SPACED_SIGN.search(text):
         return True
     words = text.lower().replace("-", " ").replace(",", " ").replace(".", " ").replace("/", " ").split()
     if any(w in words for w in SPOKEN_HINTS):
         return True
-    return b"\1\1\1" in bytes(map(SPELLED.__contains__, words))
+    # Of the seven parts of a run, the first and the last may touch other characters.
+    return b"\1\1\1\1\1" in bytes(w in SPELLED or w.isdigit() for w in words) and bool(SPELLED_WORD.search(text))
 
 
 def disguised(text: str, plain: list[Span]) -> list[Span]:

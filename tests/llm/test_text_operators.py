@@ -351,3 +351,15 @@ def test_short_items_are_all_found(spark, share):
     got = {r.doc_id for r in found if r.doc_id == r.item_id}
     whole = {i for (i, t), (_, e) in zip(items, leaks, strict=True) if decontaminate.least_edits(t, e) <= int(0.15 * len(t))}
     assert len(whole) == len(items) and got == whole
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "source"),
+    [
+        ("call plus 4 four 2 zero 7 nine 4 six 0 nine now", "phone", "plus 4 four 2 zero 7 nine 4 six 0 nine"),
+        ("to john\t@\texample.com", "email", "john\t@\texample.com"),
+        ("to john@example . com", "email", "john@example . com"),
+    ],
+)
+def test_disguises_need_no_other_hint(text, kind, source):
+    assert [(k, text[a:b]) for k, a, b, _ in pii.find_all(text)] == [(kind, source)]
