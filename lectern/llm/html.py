@@ -7,8 +7,9 @@ become optional, texts that differ become slots. Aligning two wrappers works the
 infer wrappers of what they have read and Spark merges them by host in two steps; only wrappers move,
 never the pages of a host.
 
-From the wrapper come the host's constant texts outside articles (notices, slogans) and, for pages
-without an article element, the place that holds most slot text. Parts whose element or class names a
+From the wrapper come, for pages without an article element, the host's constant texts by their places
+(notices, slogans) and the region around the fullest slot text. Pages with an article element are read
+by that element, without the wrapper. Parts whose element or class names a
 role other than article text (menus, headers, forms, adverts, comments, ...) never count.
 """
 
@@ -235,34 +236,54 @@ def align(a: list, b: list, new_page: bool = True) -> list:
 
 
 def reading(pages: int, wrapper: list) -> dict:
-    """What extraction needs of a wrapper: constant texts outside articles, and the fullest place."""
-    constants, weight = set(), {}
+    """What extraction needs of a wrapper: constant texts outside articles by place, and the region of the article.
 
-    def walk(nodes: list, path: Path, inside: bool) -> None:
-        for label, _, _, seen, chars, inner in nodes:
+    A constant says how many of its texts a page has there, 0 for any number. The region starts around
+    the fullest slot texts and grows while slots stand beside it.
+    """
+    constants: dict[tuple[Path, str], int] = {}
+    weight: dict[Path, int] = {}
+
+    def walk(nodes: list, path: Path, inside: bool, many: bool) -> None:
+        for label, _, repeated, seen, chars, inner in nodes:
+            several = many or repeated
             if label == "#":
                 if not inside and inner is not None and seen >= 3:
-                    constants.add(inner)
+                    known = constants.get((path, inner))
+                    constants[path, inner] = 0 if several or known == 0 else (known or 0) + 1
                 if inner is None or pages < 3:
                     weight[path] = weight.get(path, 0) + chars
             elif label.startswith("("):
-                walk(inner, path, inside)
+                walk(inner, path, inside, several)
             else:
-                walk(inner, (*path, label), inside or label == "article")
+                walk(inner, (*path, label), inside or label == "article", several)
 
-    walk(wrapper, (), False)
-    full = max(sorted(weight), key=weight.get)[:-1] if weight else ()
-    return {"constants": sorted(constants) if weight else [], "place": list(full)}
+    walk(wrapper, (), False, False)
+    below: dict[Path, int] = {}
+    for path, chars in weight.items():
+        for n in range(len(path) + 1):
+            below[path[:n]] = below.get(path[:n], 0) + chars
+    place = max(sorted(weight), key=weight.get)[:-1] if weight else ()
+    while place and below[place[:-1]] > below[place]:
+        place = place[:-1]
+    held = [[list(path), text, n] for (path, text), n in sorted(constants.items())]
+    return {"constants": held if weight else [], "place": list(place)}
 
 
 def main_text(page: str | None, rule: dict) -> list[str]:
-    """The article's blocks. Without an article element: what varies at the host's fullest place."""
+    """The article's blocks. Without an article element: what varies in the host's region of the article."""
     found = [(path, text) for path, off, text in blocks(parse(page)) if not off]
     article = [text for path, text in found if "article" in path]
     if article:
         return article
-    place, constants = tuple(rule["place"]), set(rule["constants"])
-    rest = [(path, text) for path, text in found if text not in constants]
+    place = tuple(rule["place"])
+    left = {(tuple(path), text): n or len(found) for path, text, n in rule["constants"]}
+    rest = []
+    for path, text in found:
+        if left.get((path, text), 0):
+            left[path, text] -= 1
+        else:
+            rest.append((path, text))
     return [text for path, text in rest if path[: len(place)] == place] or [text for _, text in rest]
 
 

@@ -363,3 +363,24 @@ def test_short_items_are_all_found(spark, share):
 )
 def test_disguises_need_no_other_hint(text, kind, source):
     assert [(k, text[a:b]) for k, a, b, _ in pii.find_all(text)] == [(kind, source)]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div class=content><h2>H{0}</h2><ul><li>a{0}<li>b{0}</ul></div>", "H{0}\na{0}\nb{0}"),
+        ("<div class=x><h1>T{0}</h1><div class=body><p>long text {0}<p>more {0}</div></div>", "T{0}\nlong text {0}\nmore {0}"),
+        ("<div class=x><p>p{0}<blockquote>a much longer one {0}</blockquote></div>", "p{0}\na much longer one {0}"),
+        ("<div class=x><section class=a><p>one {0}</section><section class=b><p>other {0}</section></div>", "one {0}\nother {0}"),
+    ],
+)
+def test_everything_of_the_article_stays(page, text):
+    wrapper = None
+    whole = "<html><body><div class=top>Slogan</div>" + page
+    for i in range(5):
+        new = html.as_wrapper(html.parse(whole.format(i)))
+        wrapper = new if wrapper is None else html.align(wrapper, new)
+    rule = html.reading(5, wrapper)
+    assert "\n".join(html.main_text(whole.format(3), rule)) == text.format(3)
+    other = html.main_text(whole.format(3).replace("</h2>", "</h2><p>Slogan"), rule)
+    assert ("Slogan" in other) == ("</h2>" in page)
