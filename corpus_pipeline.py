@@ -32,6 +32,12 @@ def _key(docs: DataFrame) -> Column:
     return F.coalesce(docs["doc_id"], F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
 
 
+def _one_per_key(keyed: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``keyed`` with one row of each key in ``repeated``; rows of other keys are not moved."""
+    first = keyed.join(repeated, "__key", "left_semi").dropDuplicates(["__key"])
+    return keyed.join(repeated, "__key", "left_anti").unionByName(first)
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go whose language cannot be told: no letters, or hardly an n-gram any language knows.
 
@@ -51,16 +57,22 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id stays of each class of near copies; of repeated rows one stays.
 
-    Texts without words link to nothing, so they stay.
+    A document is an id with a text: texts that share an id are judged each for itself. Texts without
+    words link to nothing, so they stay.
     """
     with_scratch(spark)
-    keyed = docs.select("*", _key(docs).alias("__key"))
-    classes = pin(near_copies(keyed.select(F.col("__key").alias("doc_id"), "text")))
-    dropped = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    repeated = pin(classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    once = keyed.join(dropped.union(repeated).withColumnRenamed("doc_id", "__key"), "__key", "left_anti")
-    first = keyed.join(repeated.withColumnRenamed("doc_id", "__key"), "__key", "left_semi").dropDuplicates(["__key"])
-    return once.select(*docs.columns).unionByName(first.select(*docs.columns))
+    keyed = docs.select("*", _key(docs).alias("__id")).withColumn("__key", F.xxhash64("__id", F.coalesce("text", F.lit(""))))
+    found = near_copies(keyed.select(F.col("__key").alias("doc_id"), "text"))
+    classes = pin(found.groupBy(F.col("doc_id").alias("__key")).agg(F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("rows")))
+    repeated = pin(classes.where("rows > 1").select("__key"))
+    shared = pin(classes.groupBy("class_id").count().where("count > 1").select("class_id"))
+    # Only in classes of several documents does it matter which id is the smallest.
+    several = pin(classes.join(shared, "class_id", "left_semi").select("__key", "class_id"))
+    named = _one_per_key(keyed.select("__key", "__id"), repeated).join(several, "__key")
+    stays = named.groupBy("class_id").agg(F.min(F.struct("__id", "__key"))["__key"].alias("__key")).select("__key")
+    dropped = pin(several.select("__key").join(stays, "__key", "left_anti"))
+    kept = keyed.join(dropped, "__key", "left_anti")
+    return _one_per_key(kept, repeated).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,12 +102,15 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     The place is in columns ``mix_*``; columns of those names that came in give way.
     """
     with_scratch(spark)
-    keyed = docs.select("*", _key(docs).alias("__key"))
+    # Rows of one key are equal in every column, so any of them stands for all that the mix took.
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    keyed = docs.select("*", F.xxhash64(*plain, *[c.isNull() for c in plain]).alias("__key"))
     mix = mix_sources(keyed.drop("doc_id").withColumnRenamed("__key", "doc_id"), entropy_share=0.999)
     places = ("epoch", "block", "start_token", "tokens", "source_tokens")
     mix = pin(mix.select(F.col("doc_id").alias("__key"), *[F.col(c).alias(f"mix_{c}") for c in places]))
+    repeated = pin(keyed.groupBy("__key").count().where("count > 1").select("__key"))
     clashing = [c for c in docs.columns if c.lower() in {f"mix_{p}" for p in places}]
-    return keyed.drop(*clashing).join(mix, "__key").drop("__key")
+    return _one_per_key(keyed.drop(*clashing), repeated).join(mix, "__key").drop("__key")
 
 
 STAGES = [

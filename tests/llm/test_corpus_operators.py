@@ -196,3 +196,17 @@ def test_pipeline_over_nothing(spark, tmp_path):
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert pii.find_pii(docs).count() == 0
+
+
+def test_pipeline_rows_that_share_an_id_stay_apart(spark):
+    rng = random.Random(3)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    one, two, three, four = (say(60) for _ in range(4))
+    rows = [(1, one), (2, one + " fin"), (2, two), (3, three), (3, four), (4, two + " end"), (4, "own words"), (4, "own words"), (5, ""), (6, "")]
+    docs = spark.createDataFrame([(i, t, "s", len(t)) for i, t in rows], "doc_id bigint, text string, source string, n_chars bigint")
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, "")
+    expected = [(1, one), (2, two), (3, three), (3, four), (4, "own words"), (5, ""), (6, "")]
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted(expected)
+    twice = docs.where("doc_id in (3, 4)").union(docs.where("doc_id = 3"))
+    mixed = corpus_pipeline.mix_to_weights(spark, twice, "").where("mix_epoch = 0").collect()
+    assert sorted((r.doc_id, r.text) for r in mixed) == sorted((r.doc_id, r.text) for r in twice.collect())
