@@ -223,7 +223,7 @@ def find_leaks(
     item_text: str = "text",
     edit_share: float = 0.15,
     target: float = 0.99,
-    most_repetitions: int = 8,
+    most_repetitions: int = 32,
     chunk_chars: int = 4_000_000,
 ) -> DataFrame:
     """``doc_id``, ``item_id`` and ``edits``: items found in documents within ``edit_share`` of their length.
