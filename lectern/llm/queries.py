@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from lectern.llm.decontaminate import find_leaks
 from lectern.llm.html import extract_main_text
 from lectern.llm.language import fit_language, predict_language
 from lectern.llm.language_model import score_documents
+from lectern.llm.manifest import build_manifest, leaf
 from lectern.llm.mixing import mix_sources
 from lectern.llm.near_copies import near_copies
 from lectern.llm.neighbours import nearest
@@ -92,6 +95,21 @@ def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks")
 
 
+def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, subroot, root, proof and the root after tampering of every document.
+
+    Tampering lower-cases the text's A to Z in each document whose id's checksum five divides.
+    """
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    docs = table(spark, folder, "documents").select(*fields)
+    plain = leaf([F.col(c) for c in fields])
+    lowered = leaf([*[F.col(c) for c in fields[:-1]], F.translate("text", ascii_uppercase, ascii_lowercase)])
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    leaves = docs.select("doc_id", "source", plain.alias("leaf"), F.when(tampered, lowered).alias("changed"))
+    found = build_manifest(leaves).versions().withColumnRenamed("proof", "proof_sha256")
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_near_copies": op2_near_copies,
@@ -103,6 +121,7 @@ QUERIES = {
     "op8_chat_windows": op8_chat_windows,
     "op9_source_mix": op9_source_mix,
     "op10_language_id": op10_language_id,
+    "op12_manifest": op12_manifest,
 }
 
 OP2_SQL = r"""
