@@ -60,3 +60,30 @@ def mixed(values: np.ndarray) -> np.ndarray:
         x ^= x >> np.uint64(shift)
         x *= np.uint64(factor)
     return x ^ (x >> np.uint64(31))
+
+
+def text_runs(texts: list[str], chars: int = 1 << 18, overlap: int = 0) -> Iterator[tuple[list[int], list[str], bool, bool]]:
+    """``texts`` in runs of about ``chars`` characters: row numbers, pieces, and whether a run begins and
+    ends its texts.
+
+    Short texts share a run. A longer one comes as pieces of its own, in order, of which each starts
+    with the last ``overlap`` characters of the one before. So no array over a run grows with a text.
+    """
+    rows: list[int] = []
+    pieces: list[str] = []
+    held = 0
+    for row, text in enumerate(texts):
+        if rows and held + len(text) > chars:
+            yield rows, pieces, True, True
+            rows, pieces, held = [], [], 0
+        if len(text) <= chars:
+            rows.append(row)
+            pieces.append(text)
+            # Framing costs a few places a text, so empty texts count too.
+            held += len(text) + 4
+            continue
+        for start in range(0, len(text) - overlap, chars):
+            end = min(len(text), start + chars + overlap)
+            yield [row], [text[start:end]], start == 0, end == len(text)
+    if rows:
+        yield rows, pieces, True, True

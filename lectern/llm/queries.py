@@ -18,6 +18,7 @@ from lectern.llm.mixing import mix_sources
 from lectern.llm.near_copies import near_copies
 from lectern.llm.neighbours import nearest
 from lectern.llm.pii import KINDS, find_pii
+from lectern.llm.quality import fit_model, judge_quality
 from lectern.llm.toxicity import fit_chain, predict_chain
 
 
@@ -110,6 +111,15 @@ def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule counts of every document, and whether it passes them and its language's perplexity band."""
+    docs = table(spark, folder, "documents")
+    found = judge_quality(docs, fit_model(docs))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "surprise"
+    )
+
+
 QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_near_copies": op2_near_copies,
@@ -122,6 +132,7 @@ QUERIES = {
     "op9_source_mix": op9_source_mix,
     "op10_language_id": op10_language_id,
     "op12_manifest": op12_manifest,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 OP2_SQL = r"""
