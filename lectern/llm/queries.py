@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern.llm.chat import digest_windows, format_conversations
 from lectern.llm.columns import table
 from lectern.llm.decontaminate import find_leaks
+from lectern.llm.hard_negatives import hard_negatives
 from lectern.llm.html import extract_main_text
 from lectern.llm.language import fit_language, predict_language
 from lectern.llm.language_model import score_documents
@@ -96,6 +97,13 @@ def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks")
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector. Every seventh vector carries the next label instead of its own."""
+    rows = table(spark, folder, "embeddings")
+    other = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows, F.col("id") % 50 == 0, label=other)
+
+
 def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Leaf, subroot, root, proof and the root after tampering of every document.
 
@@ -131,6 +139,7 @@ QUERIES = {
     "op8_chat_windows": op8_chat_windows,
     "op9_source_mix": op9_source_mix,
     "op10_language_id": op10_language_id,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_manifest": op12_manifest,
     "op13_quality_rules": op13_quality_rules,
 }
@@ -226,4 +235,170 @@ SELECT doc_id, source, epoch::BIGINT AS epoch, block, (stop - tokens)::BIGINT AS
 FROM e WHERE stop <= source_tokens
 """
 
-ORACLES: dict[str, str] = {"op2_near_copies": OP2_SQL, "op9_source_mix": OP9_SQL}
+OP11_SQL = r"""
+WITH r AS (
+    SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.id AS anchor_id, b.id, a.label = b.label AS alike, list_inner_product(a.v, b.v)::BIGINT AS score
+    FROM r a JOIN r b ON a.id <> b.id AND len(a.v) = len(b.v) WHERE a.id % 50 = 0
+), p AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE alike
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, positive_score, s.id AS negative_id, s.score AS negative_score,
+       (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id))::INTEGER AS rank
+FROM p JOIN s USING (anchor_id)
+WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) <= 3
+"""
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, coalesce('=' || source, '') AS key, source, lang, n_chars, text,
+           -- The checksum of the id's digits, bit by bit.
+           list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+               string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+               lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)) AS register
+    FROM documents
+), tampered AS (
+    SELECT *, CASE WHEN xor(register, 4294967295) % 5 = 0
+                   THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS after
+    FROM d
+), leaf AS (
+    SELECT doc_id, key,
+           sha256(a || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS leaf,
+           sha256(a || coalesce(strlen(after)::VARCHAR || ':' || after, '-')) AS changed
+    FROM (SELECT *, coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id, '-')
+                 || coalesce(strlen(source)::VARCHAR || ':' || source, '-')
+                 || coalesce(strlen(lang)::VARCHAR || ':' || lang, '-')
+                 || coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars, '-') AS a
+          FROM tampered)
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaf
+), node(level, key, pos, h) AS (
+    SELECT 0, key, pos, leaf FROM placed
+    UNION ALL
+    SELECT level + 1, key, pos // 16, sha256(string_agg(h, '' ORDER BY pos))
+    FROM (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM node) WHERE n > 1 GROUP BY level, key, pos // 16
+), sub AS (
+    SELECT key, arg_max(h, level) AS subroot, row_number() OVER (ORDER BY encode(key)) - 1 AS place FROM node GROUP BY key
+), upper_node(level, pos, h) AS (
+    SELECT 0, place, subroot FROM sub
+    UNION ALL
+    SELECT level + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos))
+    FROM (SELECT *, count(*) OVER () AS n FROM upper_node) WHERE n > 1 GROUP BY level, pos // 16
+), run AS (
+    SELECT level, key, pos // 16 AS run, list(h ORDER BY pos) AS hs FROM node
+    WHERE level < (SELECT max(level) FROM node m WHERE m.key = node.key) GROUP BY ALL
+), upper_run AS (
+    SELECT level, pos // 16 AS run, list(h ORDER BY pos) AS hs FROM upper_node
+    WHERE level < (SELECT max(level) FROM upper_node) GROUP BY ALL
+), fold(doc_id, key, pos, level, spot, h, proof) AS (
+    SELECT doc_id, key, pos, 0, pos, changed, '' FROM placed
+    UNION ALL
+    SELECT doc_id, key, pos, fold.level + 1, spot // 16,
+           sha256(array_to_string(hs[:spot % 16] || [h] || hs[spot % 16 + 2:], '')),
+           proof || array_to_string(hs[:spot % 16] || hs[spot % 16 + 2:], '')
+    FROM fold JOIN run USING (level, key) WHERE run.run = spot // 16
+), folded AS (
+    SELECT doc_id, key, pos, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM fold GROUP BY doc_id, key, pos
+), upper_fold(doc_id, key, pos, level, spot, h, proof) AS (
+    SELECT doc_id, key, pos, 0, place, h, proof FROM folded JOIN sub USING (key)
+    UNION ALL
+    SELECT doc_id, key, pos, f.level + 1, spot // 16,
+           sha256(array_to_string(hs[:spot % 16] || [h] || hs[spot % 16 + 2:], '')),
+           proof || array_to_string(hs[:spot % 16] || hs[spot % 16 + 2:], '')
+    FROM upper_fold f JOIN upper_run r ON r.level = f.level AND r.run = spot // 16
+), ended AS (
+    SELECT key, pos, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM upper_fold GROUP BY key, pos
+), top AS (SELECT arg_max(h, level) AS root FROM upper_node)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM placed JOIN sub USING (key) JOIN ended USING (key, pos) CROSS JOIN top
+"""
+
+# Per text: words, lines and symbols; then orders one to four of the model, whose counts are those of
+# n-grams with each start; the mean of the logarithms; and the languages' bands.
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS lang, coalesce(text, '') AS t FROM documents
+), w AS (
+    SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d
+), window3 AS (
+    SELECT r, i, w[i:i+2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)
+), repeated AS (
+    SELECT r, count(DISTINCT i + o) AS n_repeat_words
+    FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM window3), range(3) o(o) WHERE n > 1 GROUP BY r
+), dup AS (
+    SELECT r, count(*) - count(DISTINCT l) AS n_dup_lines
+    FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r
+), rules AS (
+    SELECT d.r, doc_id, lang, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars,
+           len(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+           coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+    FROM d JOIN w USING (r) LEFT JOIN repeated USING (r) LEFT JOIN dup USING (r)
+), point AS (
+    SELECT r, i, unicode(s) AS c
+    FROM (SELECT r, unnest(range(len(s))) AS i, unnest(string_split(s, '')) AS s
+          FROM (SELECT r, regexp_replace(t || ' ', '[\x20\x09-\x0D]+', ' ', 'g') AS s FROM d))
+), sym AS (
+    SELECT r, i, CASE WHEN c = 32 THEN 0 WHEN c BETWEEN 97 AND 122 THEN c - 96 WHEN c BETWEEN 65 AND 90 THEN c - 64
+                      WHEN c BETWEEN 48 AND 57 THEN 27 WHEN c < 128 THEN 28 + c % 16 ELSE 44 + c % 20 END AS s
+    FROM point
+), solid AS (
+    -- A text that begins with white space has its first gap among the three in front.
+    SELECT r, i, s FROM sym WHERE NOT (i = 0 AND s = 0)
+), gram AS (
+    SELECT r, coalesce(lag(s, 3) OVER o, 0) * 262144 + coalesce(lag(s, 2) OVER o, 0) * 4096
+              + coalesce(lag(s) OVER o, 0) * 64 + s AS g
+    FROM solid WINDOW o AS (PARTITION BY r ORDER BY i)
+), c4 AS (SELECT g, count(*)::DOUBLE AS n FROM gram GROUP BY g
+), c3 AS (SELECT g % 262144 AS g, count(*)::DOUBLE AS n FROM c4 GROUP BY ALL
+), c2 AS (SELECT g % 4096 AS g, count(*)::DOUBLE AS n FROM c3 GROUP BY ALL
+), c1 AS (SELECT g % 64 AS g, count(*)::DOUBLE AS n FROM c2 GROUP BY ALL
+), every AS (
+    SELECT 1 AS k, * FROM c1 UNION ALL SELECT 2, * FROM c2 UNION ALL SELECT 3, * FROM c3 UNION ALL SELECT 4, * FROM c4
+), few AS (
+    SELECT k, (count(*) FILTER (n = 1))::DOUBLE AS n1, (count(*) FILTER (n = 2))::DOUBLE AS n2,
+           (count(*) FILTER (n = 3))::DOUBLE AS n3, (count(*) FILTER (n = 4))::DOUBLE AS n4
+    FROM every GROUP BY k
+), raw_cut AS (
+    SELECT k, 1 - 2 * y * n2 / nullif(n1, 0) AS a, 2 - 3 * y * n3 / nullif(n2, 0) AS b, 3 - 4 * y * n4 / nullif(n3, 0) AS c
+    FROM (SELECT *, CASE WHEN n1 > 0 AND n2 > 0 THEN n1 / (n1 + 2 * n2) END AS y FROM few)
+), cut AS (
+    SELECT k, CASE WHEN a > 0 AND a < 1 THEN a ELSE 0.5 END AS a, CASE WHEN b > 0 AND b < 2 THEN b ELSE 0.75 END AS b,
+           CASE WHEN c > 0 AND c < 3 THEN c ELSE 0.75 END AS c
+    FROM raw_cut
+), own AS (
+    SELECT k, g, (n - x) / sum(n) OVER o AS own, sum(x) OVER o / sum(n) OVER o AS back
+    FROM (SELECT k, g, n, CASE n WHEN 1 THEN a WHEN 2 THEN b ELSE c END AS x FROM every JOIN cut USING (k))
+    WINDOW o AS (PARTITION BY k, g // 64)
+), p1 AS (SELECT g, own + back / 64 AS p FROM own WHERE k = 1
+), p2 AS (SELECT o.g, own + back * p AS p FROM own o JOIN p1 ON o.g % 64 = p1.g WHERE k = 2
+), p3 AS (SELECT o.g, own + back * p AS p FROM own o JOIN p2 ON o.g % 4096 = p2.g WHERE k = 3
+), p4 AS (SELECT o.g, own + back * p AS p FROM own o JOIN p3 ON o.g % 262144 = p3.g WHERE k = 4
+), scored AS (
+    SELECT rules.*, CASE WHEN n_words > 0 THEN m END AS surprise,
+           n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+    FROM rules LEFT JOIN (
+        SELECT r, round(1000 * sum(-ln(p)) / count(*))::BIGINT AS m FROM gram JOIN p4 USING (g) GROUP BY r) USING (r)
+), deciles AS (
+    SELECT lang, quantile_disc(surprise, 0.1) AS d1, quantile_disc(surprise, 0.5) AS d5, quantile_disc(surprise, 0.9) AS d9
+    FROM scored WHERE surprise IS NOT NULL GROUP BY lang
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, surprise,
+       NOT base_failed AND coalesce(surprise BETWEEN d5 - greatest(3.0 * (d5 - d1), 120)
+                                             AND d5 + greatest(3.0 * (d9 - d5), 120), false) AS kept
+FROM scored LEFT JOIN deciles USING (lang)
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_near_copies": OP2_SQL,
+    "op9_source_mix": OP9_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_manifest": OP12_SQL,
+    "op13_quality_rules": OP13_SQL,
+}
