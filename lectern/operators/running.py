@@ -7,7 +7,7 @@ before it. One group may span many slices, so the largest unit of work is a slic
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,8 +26,28 @@ def running_total(
 
     ``order`` must be unique and group columns not null.
     """
+    return _running(df, group, order, weight.cast("long"), name, F.sum, lambda a, b: a + b, 0)
+
+
+def running_max(
+    df: DataFrame, group: Sequence[str], order: str, value: Column, name: str
+) -> DataFrame:
+    """Adds ``name``: the largest ``value`` of the group's rows up to and including this one, or null."""
+    return _running(df, group, order, value, name, F.max, F.greatest, None)
+
+
+def _running(
+    df: DataFrame,
+    group: Sequence[str],
+    order: str,
+    value: Column,
+    name: str,
+    total: Callable[[Column], Column],
+    combine: Callable[[Column, Column], Column],
+    start: int | None,
+) -> DataFrame:
     group = list(group)
-    weighed = df.withColumns({"_weight": weight.cast("long")})
+    weighed = df.withColumns({"_weight": value})
     # The slice number depends on sampled range bounds, so it is written down before use.
     sliced = pin(
         weighed.repartitionByRange(*group, order).withColumn("_slice", F.spark_partition_id())
@@ -39,19 +59,19 @@ def running_total(
     )
     before = (
         sliced.groupBy(*group, "_slice")
-        .agg(F.sum("_weight").alias("_slice_total"))
-        .withColumn("_before", F.coalesce(F.sum("_slice_total").over(earlier), F.lit(0)))
+        .agg(total("_weight").alias("_slice_total"))
+        .withColumn("_before", F.coalesce(total("_slice_total").over(earlier), F.lit(start)))
         .drop("_slice_total")
     )
     return (
         sliced.withColumn(
             "_within",
-            F.sum("_weight").over(
+            total("_weight").over(
                 in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
             ),
         )
         .join(before, [*group, "_slice"])
-        .withColumn(name, F.col("_before") + F.col("_within"))
+        .withColumn(name, combine(F.col("_before"), F.col("_within")))
         .select(*df.columns, name)
     )
 
