@@ -19,7 +19,7 @@ from lectern.functions.documents import row_json, value_json
 from lectern.operators import changes, circulation, ingest, lookup, quality, shelving
 from lectern.plans import listings, reports, sql_functions, views
 from lectern.schemas import AUDIT_LOG
-from lectern.session import scratch_path
+from lectern.session import pin, scratch_path
 from lectern.sources import star, star_batches
 from lectern.sources.collection import Collection
 from lectern.sources.loader import read_table
@@ -573,10 +573,17 @@ over_tables("cdc2_overdue_audit", lambda t: circulation.overdue_audit(t.loans, A
 def _loan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = star.read_star(spark, sf_dir)
     root = scratch_path(spark, "loan-stream")
-    star_batches.loan_events(tables).write.parquet(f"{root}/events")
+    events = pin(star_batches.loan_events(tables))
+    # Four files, one micro-batch each; the cuts fall inside the lives of loans.
+    last = events.agg(F.max("seq")).first()[0] or 0
+    cuts = [last * i // 4 // 4 * 4 + 1 for i in range(1, 4)]
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = events.where(F.lit(True) if low is None else F.col("seq") > low)
+        part = part.where(F.lit(True) if high is None else F.col("seq") <= high)
+        part.coalesce(1).write.mode("append").parquet(f"{root}/events")
     base, _ = star_batches.replayed(tables)
     ledger = Ledger.start(f"{root}/ledger", base.with_tables(loans=base.loans.where("false")))
-    run_loan_events(spark, f"{root}/events", ledger, AS_OF, MOMENT).awaitTermination()
+    run_loan_events(spark, f"{root}/events", ledger, AS_OF, MOMENT, files_per_batch=1).awaitTermination()
     return ledger.current().loans.select(
         "loan_id",
         "book_id",

@@ -1485,6 +1485,48 @@ sql(
 
 # Streams
 
+# Each loan is decided on what the accepted loans before it left behind. A loan's own events follow it
+# before the next loan comes, so by then a returned one has given back its book and its place, and a
+# lost one its place. Undecided loans before it that would keep something leave a loan undecided for
+# another round. ``ONE_BY_ONE`` says the same row by row; a test compares the two.
+LENT = """
+lent AS (
+  SELECT 0 AS round, r.seq, r.book_id, r.student_id, l.loan_status <> 'returned' AS keeps_book,
+         l.loan_status NOT IN ('returned', 'lost') AS keeps_place, CAST(NULL AS BOOLEAN) AS accepted
+  FROM requests r JOIN loans l ON l.loan_id = r.seq
+  WHERE r.book_status = 'available' AND r.student_status = 'active' AND r.broken IS NULL
+  UNION ALL
+  SELECT round + 1, seq, book_id, student_id, keeps_book, keeps_place,
+         CASE WHEN accepted IS NOT NULL THEN accepted
+              WHEN taken > 0 OR held >= 5 THEN false
+              WHEN unsure = 0 AND held + waiting < 5 THEN true END
+  FROM (
+    SELECT *, COUNT(*) FILTER (accepted AND keeps_book) OVER by_book AS taken,
+           COUNT(*) FILTER (accepted IS NULL AND keeps_book) OVER by_book AS unsure,
+           COUNT(*) FILTER (accepted AND keeps_place) OVER by_student AS held,
+           COUNT(*) FILTER (accepted IS NULL AND keeps_place) OVER by_student AS waiting,
+           COUNT(*) FILTER (accepted IS NULL) OVER () AS undecided
+    FROM lent
+    WINDOW by_book AS (PARTITION BY book_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+           by_student AS (PARTITION BY student_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  WHERE undecided > 0
+)"""
+ONE_BY_ONE = """
+numbered AS (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM requests),
+decided(n, seq, book_id, student_id, keeps_book, keeps_place, accepted) USING KEY (n) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), false, false, false
+  UNION
+  SELECT n, r.seq, r.book_id, r.student_id, fine AND loan_status <> 'returned',
+         fine AND loan_status NOT IN ('returned', 'lost'), fine
+  FROM (SELECT *, COALESCE(book_status = 'available' AND student_status = 'active' AND broken IS NULL
+                           AND taken = 0 AND held < 5, false) AS fine
+        FROM (SELECT q.n, q.seq, q.book_id, q.student_id, q.book_status, q.student_status, q.broken,
+                     COUNT(*) FILTER (d.keeps_book AND d.book_id = q.book_id) AS taken,
+                     COUNT(*) FILTER (d.keeps_place AND d.student_id = q.student_id) AS held
+              FROM numbered q JOIN decided p ON q.n = p.n + 1 CROSS JOIN recurring.decided d GROUP BY ALL)) r
+  JOIN loans l ON l.loan_id = r.seq
+)"""
+REQUESTS = admission("true").split("rounds AS (")[0].rstrip().rstrip(",")
 sql(
     "st1_loan_events",
     """
@@ -1494,9 +1536,11 @@ sql(
            CASE WHEN l.renewal_count > 0 THEN 1 ELSE 0 END AS renewal_count,
            l.estimated_return_date + CASE WHEN l.renewal_count > 0 THEN 7 ELSE 0 END
              AS estimated_return_date
-    FROM loans l JOIN admission a ON l.loan_id = a.seq WHERE a.reason IS NULL
+    FROM loans l JOIN lent a ON l.loan_id = a.seq
+    WHERE a.accepted AND a.round = (SELECT MAX(round) FROM lent)
     """,
-    admission("true"),
+    REQUESTS,
+    LENT,
 )
 sql(
     "st2_shelf_counts",

@@ -5,10 +5,13 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from conftest import AS_OF, day, frame, rows
+from conftest import AS_OF, SMALL, day, frame, rows
 from lectern import schemas as S
 from lectern.sources.collection import Collection
 from lectern.streaming.loan_events import apply_events
+from oracle import statements
+from oracle.prelude import statement
+from tools.compare import connect
 
 MOMENT = datetime(2024, 12, 10, 8, 0, 0)
 OPEN = ("active", "overdue")
@@ -120,12 +123,12 @@ def made_up(seed, n, n_books, n_students, hot):
     return books, students, loans, events
 
 
-@pytest.mark.parametrize("seed,books,students,hot", [(1, 6, 5, 0.3), (2, 25, 4, 0.33), (3, 3, 12, 0.0), (4, 40, 9, 0.1)])
+@pytest.mark.parametrize("seed,books,students,hot", [(1, 6, 5, 0.3), (2, 25, 4, 0.33), (3, 3, 12, 0.0)])
 def test_any_cut_equals_one_by_one(spark, seed, books, students, hot):
-    books, students, loans, events = made_up(seed, 120, books, students, hot)
+    books, students, loans, events = made_up(seed, 70, books, students, hot)
     loop = OneByOne(books, students, loans)
     loop.run(events)
-    for parts in (1, 2, 4) if seed < 3 else (1,):
+    for parts in (1, 3) if seed == 1 else (1,):
         state = Collection(
             students=frame(spark, S.STUDENTS, students), shelves=frame(spark, S.SHELVES, []),
             books=frame(spark, S.BOOKS, books), loans=frame(spark, S.LOANS, loans),
@@ -162,3 +165,13 @@ def test_requests_without_keys_are_refused(spark, seed):
     assert dict(rows(out.result, "seq", "reason")) == {
         1: "loan_id_missing", 2: "book_not_found", 3: "student_not_found", 4: "loan_not_found",
     }
+
+
+def test_statement_in_rounds_equals_the_one_row_by_row():
+    """The statement the stream is compared with decides in rounds, since that is fast enough for large tables."""
+    connection = connect(SMALL)
+    last = "round = (SELECT MAX(round) FROM lent)"
+    rounds = statement(f"SELECT seq FROM lent WHERE accepted AND {last} ORDER BY seq", statements.REQUESTS, statements.LENT)
+    one_by_one = statement("SELECT seq FROM decided WHERE accepted ORDER BY seq", statements.REQUESTS, statements.ONE_BY_ONE)
+    found = connection.execute(rounds).fetchall()
+    assert found == connection.execute(one_by_one).fetchall() and len(found) > 100
