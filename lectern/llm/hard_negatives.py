@@ -116,18 +116,23 @@ def _same_length(rows: pa.Table, anchors: pa.Table, chunk: int) -> Iterable[tupl
             yield part, ids[at], found, alike, anchor_ids[part][:, None] == ids[at][None, :]
 
 
-def _meet(rows: DataFrame, anchors: DataFrame, shard: int, block: int, work: Callable, schema: str) -> DataFrame:
-    """``work`` on every pair of a shard of rows and a block of anchors of one bucket."""
+def _by_bucket(rows: DataFrame, anchors: DataFrame, shard: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both with the numbers of ``shards`` and ``blocks`` of their bucket; buckets without anchors are left out."""
 
     def counted(frame: DataFrame, most: int, name: str) -> DataFrame:
         return frame.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
 
     # One row per bucket, of which there is one per ``shard`` rows.
     cuts = pin(counted(rows, shard, "shards").join(counted(anchors, block, "blocks"), "bucket"))
+    return rows.join(cuts, "bucket"), anchors.join(cuts, "bucket")
+
+
+def _meet(rows: DataFrame, anchors: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """``work`` on every pair of a shard of rows and a block of anchors of one bucket."""
     part = lambda of: F.pmod(F.xxhash64("id", "vector"), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    left = rows.join(cuts, "bucket").withColumn("shard", part("shards")).withColumn("block", every("blocks"))
-    right = anchors.join(cuts, "bucket").withColumn("block", part("blocks")).withColumn("shard", every("shards"))
+    left = rows.withColumn("shard", part("shards")).withColumn("block", every("blocks"))
+    right = anchors.withColumn("block", part("blocks")).withColumn("shard", every("shards"))
     keys = ["bucket", "shard", "block"]
     left = left.select(*keys, "id", "label", "vector")
     # Anchors are rows themselves; columns named anew tell the two sides apart.
@@ -162,7 +167,8 @@ def hard_negatives(
     key = df[label] if isinstance(label, str) else label
     rows = pin(quantised(df, df[vec_id], df[embedding], key, steps))
     # A bucket per shard's worth of rows: many rare labels share one, a frequent one is cut.
-    buckets = max(1, -(-rows.count() // shard))
+    in_all = rows.count()
+    buckets = max(1, -(-in_all // shard))
     by_label = rows.withColumn("bucket", F.pmod(F.xxhash64("label"), F.lit(buckets)).cast("int"))
     named = F.md5(F.concat(F.col("id").cast("string").cast("binary"), F.lit(b"|"), F.col("label").cast("binary"), F.lit(b"|"), "vector"))
     anchors = pin(by_label.where(is_anchor).withColumn("anchor", named))
@@ -177,12 +183,12 @@ def hard_negatives(
             out.append((names[part[at[kept]]], ids[column[kept]], score[kept]))
         return _table(out, ("anchor", "id", "score"))
 
-    found = _meet(by_label, anchors, shard, block, nearest_alike, "anchor string, id bigint, score bigint")
+    found = _meet(*_by_bucket(by_label, anchors, shard, block), nearest_alike, "anchor string, id bigint, score bigint")
     first = Window.partitionBy("anchor").orderBy(F.desc("score"), "id")
     top = found.withColumn("place", F.row_number().over(first)).where(F.col("place") <= positives)
     # At most ``positives`` rows per anchor.
     chosen = top.groupBy("anchor").agg(F.collect_list(F.struct("score", F.col("id").alias("positive_id"))).alias("chosen"))
-    asking = pin(anchors.drop("bucket").join(chosen, "anchor").withColumn("bucket", F.lit(0)))
+    asking = pin(anchors.drop("bucket").join(chosen, "anchor"))
 
     def best_of_slots(mine: pa.Table, asked: pa.Table) -> pa.Table:
         names, out = np.array(asked.column("anchor").to_pylist(), dtype=object), []
@@ -204,9 +210,11 @@ def hard_negatives(
             out.append((names[part[at[kept]]], slot[kept], ids[column[kept]], score[kept]))
         return _table(out, ("anchor", "slot", "id", "score"))
 
-    offered = _meet(
-        rows.withColumn("bucket", F.lit(0)), asking, shard, block, best_of_slots, "anchor string, slot bigint, id bigint, score bigint"
-    )
+    # Rows of any label: one bucket, cut by the counts of all rows and anchors.
+    whole = {"bucket": 0, "shards": max(1, -(-in_all // shard)), "blocks": max(1, -(-asking.count() // block))}
+    whole = {name: F.lit(value) for name, value in whole.items()}
+    schema = "anchor string, slot bigint, id bigint, score bigint"
+    offered = _meet(rows.withColumns(whole), asking.withColumns(whole), best_of_slots, schema)
     first = Window.partitionBy("anchor", "slot").orderBy(F.desc("score"), "id")
     offered = offered.withColumn("place", F.row_number().over(first)).where(F.col("place") <= negatives)
     # At most ``positives`` times ``negatives`` rows per anchor, slot by slot from the top.

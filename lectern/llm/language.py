@@ -12,14 +12,15 @@ bounded by the thresholds: a language has at most ``1 / min(tiers)`` n-grams.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.columns import Batches, arrow_map, codepoints, mixed, narrow, slices
+from lectern.llm.columns import Batches, arrow_map, codepoints, mixed, narrow, slices, text_runs
 
 UNDETERMINED = "und"
 NGRAM = 3
@@ -29,20 +30,21 @@ PROBES = 2
 ALPHABETIC = np.array([chr(i).isalpha() for i in range(0x110000)], dtype=bool)
 
 
-def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed letter trigrams of the lower-cased texts, the text each is from, and letters per text.
+def ngrams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Packed letter trigrams of the lower-cased texts and the text each is from, run by run.
 
-    Anything but letters counts as a gap; a trigram has a letter in the middle.
+    Anything but letters counts as a gap; a trigram has a letter in the middle, so a text has as many of
+    them as letters. Runs are of about a quarter of a million characters, pieces of one text overlap by
+    two, so the arrays stay small whatever the texts are.
     """
-    folded = [(t or "").lower() for t in texts]
-    lengths = np.array([len(t) + 2 for t in folded], dtype=np.int64)
-    symbols = codepoints("".join(f" {t} " for t in folded)).astype(np.int64)
-    symbols[~ALPHABETIC[symbols]] = 0
-    owner = np.repeat(np.arange(len(folded)), lengths)
-    letters = np.bincount(owner[symbols > 0], minlength=len(folded))
-    middle = np.flatnonzero(symbols[1:-1] > 0) + 1
-    packed = (symbols[middle - 1] << 42) | (symbols[middle] << 21) | symbols[middle + 1]
-    return packed, owner[middle], letters
+    folded = [f" {(t or '').lower()} " for t in texts]
+    for rows, pieces, _, _ in text_runs(folded, overlap=NGRAM - 1):
+        symbols = codepoints("".join(pieces)).astype(np.int32)
+        symbols[~ALPHABETIC[symbols]] = 0
+        owner = np.repeat(np.array(rows, dtype=np.int32), [len(p) for p in pieces])
+        middle = np.flatnonzero(symbols[1:-1] > 0) + 1
+        wide = symbols.astype(np.int64)
+        yield (wide[middle - 1] << 42) | (wide[middle] << 21) | wide[middle + 1], owner[middle]
 
 
 @dataclass(frozen=True)
@@ -101,10 +103,14 @@ def fit_language(
         for whole in batches:
             for batch in slices(whole):
                 langs = np.array(batch.column("lang").to_pylist(), dtype=object)
-                packed, owner, _ = ngrams(batch.column("text").to_pylist())
-                for one in sorted(set(langs)):
-                    grams, counts = np.unique(packed[(langs == one)[owner]], return_counts=True)
-                    yield {"lang": [one] * len(grams), "gram": grams, "n": counts}
+                names, code = np.unique(langs, return_inverse=True)
+                counts: list[Counter] = [Counter() for _ in names]
+                for packed, owner in ngrams(batch.column("text").to_pylist()):
+                    for one in np.unique(code[owner]) if len(owner) else ():
+                        grams, n = np.unique(packed[code[owner] == one], return_counts=True)
+                        counts[one].update(dict(zip(grams.tolist(), n.tolist(), strict=True)))
+                for one, found in zip(names, counts, strict=True):
+                    yield {"lang": [one] * len(found), "gram": list(found), "n": list(found.values())}
 
     counts = (
         arrow_map(rows, count, "lang string, gram bigint, n bigint")
@@ -135,20 +141,19 @@ def predict_language(
         tiers, n_lang = filters.tiers, len(filters.languages)
         for whole in batches:
             for batch in slices(whole, "__text"):
-                packed, owner, letters = ngrams(batch.column("__text").to_pylist())
-                n = np.bincount(owner, minlength=batch.num_rows).astype(float)
-                share = np.zeros((batch.num_rows, n_lang * tiers))
-                if n_lang and len(packed):
+                n = np.zeros(batch.num_rows)
+                hits = np.zeros((batch.num_rows, n_lang * tiers))
+                for packed, owner in ngrams(batch.column("__text").to_pylist()):
+                    n += np.bincount(owner, minlength=batch.num_rows)
                     masks = filters.lookup(packed)
                     for bit in range(n_lang * tiers):
                         has = (masks[bit // 64] >> np.uint64(bit % 64)) & np.uint64(1) == 1
-                        hits = np.bincount(owner[has], minlength=batch.num_rows)
-                        chance = filters.chance[bit]
-                        share[:, bit] = (hits / np.maximum(n, 1) - chance) / (1 - chance)
+                        hits[:, bit] += np.bincount(owner[has], minlength=batch.num_rows)
+                share = (hits / np.maximum(n, 1)[:, None] - filters.chance) / (1 - filters.chance) if n_lang else hits
                 share = np.clip(share, 0, 1).reshape(batch.num_rows, n_lang, tiers)
                 total = share.sum(axis=2) if n_lang else np.zeros((batch.num_rows, 1))
                 best = np.argmax(np.round(total, 12), axis=1)
-                known = (letters > 0) & (n_lang > 0)
+                known = (n > 0) & (n_lang > 0)
                 score = share[np.arange(batch.num_rows), best, 0] if n_lang else np.zeros(batch.num_rows)
                 names = [filters.languages[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)]
                 found = {c: batch.column(c) for c in kept} | ({text: batch.column("__text")} if text in keep else {})

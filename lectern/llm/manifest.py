@@ -70,8 +70,8 @@ def _siblings(path: Column) -> Column:
 
 def _shared_path(at: Column) -> Column:
     """What the leaves below node ``at`` of ``level1`` share of their paths inside the row."""
-    steps = F.array(_step(F.col("level1"), at), _step(F.col("level2"), F.floor(at / FAN).cast("int")))
-    return F.slice(steps, F.lit(1), F.greatest(F.col("levels") - 1, F.lit(0)))
+    steps = [_step(F.col(f"level{k}"), F.floor(at / FAN ** (k - 1)).cast("int")) for k in range(1, LEVELS)]
+    return F.slice(F.array(*steps).cast(PATH), F.lit(1), F.greatest(F.col("levels") - 1, F.lit(0)))
 
 
 def _inside(member: Column) -> Column:
