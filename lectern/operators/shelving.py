@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from lectern.functions import capacity
 from lectern.operators.changes import touched
 from lectern.operators.lookup import by_key
 from lectern.operators.quality import first_broken, strict_rules
-from lectern.operators.running import running_total
+from lectern.operators.running import running_max, running_total
 from lectern.plans.views import physical_books, shelf_sizes
 from lectern.session import apart, pin
 from lectern.sources.collection import Collection
@@ -59,14 +60,97 @@ def place_books(tables: Collection, placements: DataFrame, as_of: date) -> DataF
     )
 
 
+_SIDE = 2**32
+
+
+def _bounds(open_moves: DataFrame, accepted: DataFrame | None) -> DataFrame:
+    """Adds ``_on`` (the shelf by the last accepted move before), ``_most`` and ``_least`` to open moves.
+
+    ``_most`` and ``_least`` bound how many books the wanted shelf has gained before the move: an open
+    move counts as an arrival for the one and as a departure for the other. Both are sums along the
+    shelf's line of moves, so a shelf or a book with very many moves is cut into slices.
+    """
+    if accepted is None:
+        placed = open_moves.withColumn("_on", F.col("_from"))
+    else:
+        at, none = F.col("seq") * 2, F.lit(None)
+        made = F.struct(F.col("seq").alias("seq"), F.col("shelf_id").alias("to"))
+        line = open_moves.select("book_id", "seq", at.alias("_at"), none.cast("struct<seq:bigint,to:bigint>").alias("_made"))
+        # An accepted move both asks where the book was and tells where it is from then on.
+        for asks in (True, False):
+            line = line.unionByName(
+                accepted.select(
+                    "book_id", (F.col("seq") if asks else none.cast("long")).alias("seq"), (at if asks else at + 1).alias("_at"),
+                    (none.cast("struct<seq:bigint,to:bigint>") if asks else made).alias("_made"),
+                )
+            )
+        last = running_max(line, ["book_id"], "_at", F.col("_made"), "_last")
+        last = last.where("seq is not null").select("seq", "_last")
+        on = F.when(F.col("_last").isNull(), F.col("_from")).otherwise(F.col("_last.to"))
+        placed = open_moves.unionByName(accepted).join(apart(last), "seq").withColumn("_on", on).drop("_last")
+    done, moves_on = F.col("accepted").isNotNull(), ~F.col("shelf_id").eqNullSafe(F.col("_on"))
+
+    def entry(when: Column, shelf: str, seq: Column, later: int, step: Column) -> Column:
+        return F.when(
+            when,
+            F.struct(
+                F.col(shelf).alias("shelf_id"), seq.cast("long").alias("seq"),
+                (F.col("seq") * 2 + later).alias("_at"), step.cast("long").alias("_step"),
+            ),
+        )
+
+    entries = F.array_compact(
+        F.array(
+            entry(moves_on, "shelf_id", F.lit(None), 1, F.when(done, _SIDE + 1).otherwise(_SIDE)),
+            entry(moves_on & F.col("_on").isNotNull(), "_on", F.lit(None), 1, F.when(done, -_SIDE - 1).otherwise(-1)),
+            entry(~done, "shelf_id", F.col("seq"), 0, F.lit(0)),
+        )
+    )
+    totals = running_total(placed.select(F.inline(entries)), ["shelf_id"], "_at", F.col("_step"), "_total")
+    least = F.pmod(F.col("_total") + _SIDE // 2, F.lit(_SIDE)) - _SIDE // 2
+    totals = totals.where("seq is not null").select(
+        "seq", ((F.col("_total") - least) / _SIDE).cast("long").alias("_most"), least.alias("_least")
+    )
+    return placed.where(~done).join(apart(totals), "seq")
+
+
+def _decide_moves(sound: DataFrame) -> DataFrame:
+    """``seq`` and ``accepted`` of sound moves, as if made one after another.
+
+    Per round, a move is accepted if its shelf has a place even if every open arrival before it comes
+    and no open departure does, and refused if there is none the other way round and the book cannot be
+    on that shelf already. The first open move is always decided. Rounds follow the moves that wait for
+    a place that another one leaves.
+    """
+    columns = ["seq", "book_id", "shelf_id", "_from", "_free"]
+    pending = pin(sound.select(*columns, F.lit(None).cast("boolean").alias("accepted")))
+    rounds: list[DataFrame] = []
+    accepted = None
+    while not pending.isEmpty():
+        open_ones = pin(_bounds(pending, accepted))
+        stays = F.col("shelf_id").eqNullSafe(F.col("_on"))
+        may = stays | (F.col("_free") > F.col("_least"))
+        heads = open_ones.groupBy("book_id").agg(F.min("seq").alias("seq")).select("seq", F.lit(True).alias("_head"))
+        # Up to a book's first move to a shelf that may succeed, none to that shelf does.
+        first = open_ones.where(may).groupBy("book_id", "shelf_id").agg(F.min("seq").alias("_first"))
+        judged = open_ones.join(apart(heads), "seq", "left").join(apart(first), ["book_id", "shelf_id"], "left")
+        verdict = F.when((F.col("_free") > F.col("_most")) | (stays & F.col("_head")), True).when(
+            ~may & (F.col("_first").isNull() | (F.col("seq") < F.col("_first"))), False
+        )
+        judged = pin(judged.withColumn("accepted", verdict).select(*columns, "accepted"))
+        rounds.append(judged.where("accepted is not null"))
+        pending = judged.where("accepted is null")
+        accepted = reduce(DataFrame.unionByName, rounds).where("accepted")
+    return reduce(DataFrame.unionByName, rounds, pending).select("seq", "accepted")
+
+
 def move_books(
     tables: Collection, moves: DataFrame, moment: datetime | None = None
 ) -> tuple[Collection, DataFrame]:
-    """Move physical books by ``seq, book_id, shelf_id``; returns ``(tables, result)``.
+    """Move physical books by ``seq, book_id, shelf_id``, one after another; ``(tables, result)``.
 
-    A batch moves a book at most once: the first sound move counts. Arrivals fill the free places of
-    the shelf in order; places that departures leave become free after the batch. A move to the shelf
-    the book is on needs no place.
+    A move needs a place on its shelf at its turn: those before it have taken theirs and left theirs
+    behind. A book may move several times. A move to the shelf the book is on needs no place.
     """
     books = by_key(tables.books, moves, "book_id").select(
         "book_id", "book_type", F.col("shelf_id").alias("_from"), F.lit(True).alias("_known")
@@ -79,33 +163,23 @@ def move_books(
         .when(F.col("_free").isNull(), "shelf_not_found")
     )
     checked = pin(facts.withColumn("_unsound", unsound))
-    first = (
-        checked.where(F.col("_unsound").isNull()).groupBy("book_id").agg(F.min("seq").alias("_at"))
-    )
-    checked = pin(
-        checked.join(first, "book_id", "left").withColumn(
-            "_unsound",
-            F.coalesce("_unsound", F.when(F.col("_at") < F.col("seq"), F.lit("book_moved_already"))),
-        )
-    )
-    arrives = F.col("_unsound").isNull() & ~F.col("shelf_id").eqNullSafe(F.col("_from"))
-    ranked = running_total(checked.where(arrives), ["shelf_id"], "seq", F.lit(1), "_place")
-    queued = ranked.withColumn(
-        "reason", F.when(F.col("_place") > F.col("_free"), F.lit("shelf_full"))
-    )
-    others = checked.where(~arrives).withColumn("reason", F.col("_unsound"))
-    columns = ["seq", "book_id", "shelf_id", "reason"]
-    result = (
-        queued.select(*columns)
-        .unionByName(others.select(*columns))
+    decided = _decide_moves(checked.where(F.col("_unsound").isNull()))
+    full = F.when(~F.col("accepted"), "shelf_full")
+    result = pin(
+        checked.join(apart(decided), "seq", "left")
+        .withColumn("reason", F.coalesce("_unsound", full))
+        .select("seq", "book_id", "shelf_id", "reason")
         .withColumn("accepted", F.col("reason").isNull())
     )
-    done = result.where("accepted").select("book_id", F.col("shelf_id").alias("_to"))
+    done = result.where("accepted").groupBy("book_id").agg(F.max_by("shelf_id", "seq").alias("_to"))
     moved = F.col("_to").isNotNull()
     changes = {"shelf_id": F.coalesce("_to", "shelf_id"), **touched(moved, moment)}
     after = tables.books.join(done, "book_id", "left").withColumns(changes)
     after = after.select(*tables.books.columns)
-    shelves, _ = apply_shelf_deltas(tables.shelves, shelf_deltas(tables.books, after), moment)
+    # Only the books that moved can change a shelf's count.
+    before = by_key(tables.books, done, "book_id")
+    deltas = shelf_deltas(before, by_key(after, done, "book_id"))
+    shelves, _ = apply_shelf_deltas(tables.shelves, deltas, moment)
     return tables.with_tables(books=after, shelves=shelves), result
 
 

@@ -1207,22 +1207,30 @@ checked AS (
   FROM moves m LEFT JOIN books b ON m.book_id = b.book_id
   LEFT JOIN shelves s ON m.shelf_id = s.shelf_id
 ),
-once AS (
-  SELECT c.* REPLACE (CASE WHEN unsound IS NOT NULL THEN unsound
-      WHEN seq > (SELECT MIN(d.seq) FROM checked d
-                  WHERE d.book_id = c.book_id AND d.unsound IS NULL)
-      THEN 'book_moved_already' END AS unsound)
-  FROM checked c
+line AS (
+  SELECT row_number() OVER (ORDER BY seq) AS n, seq, book_id, shelf_id, old_shelf FROM checked WHERE unsound IS NULL
 ),
-placed AS (
-  SELECT seq, row_number() OVER (PARTITION BY shelf_id ORDER BY seq) AS place
-  FROM once WHERE unsound IS NULL AND shelf_id IS DISTINCT FROM old_shelf
+-- Row by row: the free places of every shelf, and where the books moved so far are now.
+walk(n, seq, room, places, came_from, ok) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT),
+         (SELECT map_from_entries(list((CAST(shelf_id AS BIGINT), CAST(total_capacity - current_book_count AS BIGINT)))) FROM shelves),
+         CAST(MAP {} AS MAP(BIGINT, BIGINT)), CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN)
+  UNION ALL
+  SELECT n, seq,
+         CASE WHEN NOT ok OR spot IS NOT DISTINCT FROM shelf_id THEN room
+              WHEN room[spot] IS NULL THEN map_concat(room, MAP {shelf_id: room[shelf_id] - 1})
+              ELSE map_concat(room, MAP {shelf_id: room[shelf_id] - 1, spot: room[spot] + 1}) END,
+         CASE WHEN ok THEN map_concat(places, MAP {book_id: shelf_id}) ELSE places END, spot, ok
+  FROM (
+    SELECT *, spot IS NOT DISTINCT FROM shelf_id OR room[shelf_id] > 0 AS ok
+    FROM (SELECT l.n, l.seq, CAST(l.book_id AS BIGINT) AS book_id, CAST(l.shelf_id AS BIGINT) AS shelf_id, room, places,
+                 COALESCE(places[l.book_id], CAST(l.old_shelf AS BIGINT)) AS spot
+          FROM walk w JOIN line l ON l.n = w.n + 1))
 ),
 moved AS (
-  SELECT o.seq, o.book_id, o.shelf_id, o.old_shelf,
-         CASE WHEN o.unsound IS NOT NULL THEN o.unsound
-              WHEN p.place > o.free THEN 'shelf_full' END AS reason
-  FROM once o LEFT JOIN placed p ON o.seq = p.seq
+  SELECT c.seq, c.book_id, c.shelf_id, w.came_from AS old_shelf,
+         CASE WHEN c.unsound IS NOT NULL THEN c.unsound WHEN NOT w.ok THEN 'shelf_full' END AS reason
+  FROM checked c LEFT JOIN walk w ON c.seq = w.seq
 )"""
 batch_sql(
     "p2_moves_result",

@@ -431,14 +431,42 @@ def test_moves(spark, seed):
     asked = [(1, 1, 2), (2, 2, 2), (3, 1, 3), (4, 3, 1), (5, 99, 1), (6, 4, 77), (7, 5, None), (8, 6, 1)]
     after, result = shelving.move_books(tables, spark.createDataFrame(asked, S.MOVES), MOMENT)
     assert dict(rows(result, "seq", "reason")) == {
-        1: None, 2: "shelf_full", 3: "book_moved_already", 4: None, 5: "book_not_found",
+        1: None, 2: "shelf_full", 3: None, 4: None, 5: "book_not_found",
         6: "shelf_not_found", 7: "shelf_required", 8: None,
     }
-    assert dict(rows(after.shelves, "shelf_id", "current_book_count")) == {1: 5, 2: 3, 3: 2, 4: 2, 5: 2}
+    assert dict(rows(after.shelves, "shelf_id", "current_book_count")) == {1: 5, 2: 2, 3: 3, 4: 2, 5: 2}
     assert rows(after.shelves, "shelf_id", "current_book_count") == rows(
         shelving.fix_capacity_counts(after), "shelf_id", "current_book_count")
 
 
+@pytest.mark.parametrize("seed_no,hot,n_shelves", [(2, 0.3, 3)])
+def test_moves_equal_one_by_one(spark, seed_no, hot, n_shelves):
+    rng = random.Random(seed_no)
+    shelf_of = {b: rng.choice([None, *range(n_shelves)]) for b in range(14)}
+    free = {s: rng.choice([0, 0, 1, 2]) for s in range(n_shelves)}
+    count = {s: list(shelf_of.values()).count(s) for s in free}
+    books = [{"book_id": b, "book_type": "physical", "shelf_id": s} for b, s in shelf_of.items()]
+    shelves = [{"shelf_id": s, "total_capacity": count[s] + free[s], "current_book_count": count[s]} for s in free]
+    empty = Collection(frame(spark, S.STUDENTS, []), frame(spark, S.SHELVES, shelves), frame(spark, S.BOOKS, books), frame(spark, S.LOANS, []))
+    asked = [(i, 3 if rng.random() < hot else rng.randrange(14), rng.randrange(n_shelves)) for i in range(24)]
+    after, result = shelving.move_books(empty, spark.createDataFrame(rng.sample(asked, 24), S.MOVES), MOMENT)
+    reasons = {}
+    for seq, book, shelf in asked:
+        if shelf_of[book] != shelf and not free[shelf]:
+            reasons[seq] = "shelf_full"
+            continue
+        reasons[seq] = None
+        if shelf_of[book] != shelf:
+            free[shelf] -= 1
+            if shelf_of[book] is not None:
+                free[shelf_of[book]] += 1
+        shelf_of[book] = shelf
+    assert dict(rows(result, "seq", "reason")) == reasons and None in reasons.values() and "shelf_full" in reasons.values()
+    assert dict(rows(after.books, "book_id", "shelf_id")) == shelf_of
+    room = {r.shelf_id: r.total_capacity - r.current_book_count for r in after.shelves.collect()}
+    assert room == free
+
+
 def test_shelf_deltas_agree_with_a_recount(spark, seed):
     after = (
         seed.books.where("book_id <> 3")

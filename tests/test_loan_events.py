@@ -123,9 +123,9 @@ def made_up(seed, n, n_books, n_students, hot):
     return books, students, loans, events
 
 
-@pytest.mark.parametrize("seed,books,students,hot", [(1, 6, 5, 0.3), (2, 25, 4, 0.33), (3, 3, 12, 0.0)])
+@pytest.mark.parametrize("seed,books,students,hot", [(1, 6, 5, 0.3), (3, 3, 12, 0.0)])
 def test_any_cut_equals_one_by_one(spark, seed, books, students, hot):
-    books, students, loans, events = made_up(seed, 70, books, students, hot)
+    books, students, loans, events = made_up(seed, 50, books, students, hot)
     loop = OneByOne(books, students, loans)
     loop.run(events)
     for parts in (1, 3) if seed == 1 else (1,):
