@@ -16,11 +16,7 @@ LOCATION_CODE = r"^[A-Z][0-9]{1,2}\z"
 ISBN = r"^(97[89])?[0-9]{9}[0-9X]\z"
 ISBN_10 = r"^[0-9]{9}[0-9X]\z"
 ISBN_13 = r"^97[89][0-9]{9}[0-9X]\z"
-ISBN_PRINTED = (
-    r"^(?:ISBN(?:-1[03])?:? )?(?=[0-9X]{10}\z|(?=(?:[0-9]+[- ]){3})[- 0-9X]{13}\z"
-    r"|97[89][0-9]{10}\z|(?=(?:[0-9]+[- ]){4})[- 0-9]{17}\z)"
-    r"(?:97[89][- ]?)?[0-9]{1,5}[- ]?[0-9]+[- ]?[0-9]+[- ]?[0-9X]\z"
-)
+ISBN_PRINTED = r"^(?:ISBN(?:-1[03])?:? )?(?=[0-9X]{10}\z|(?=(?:[0-9]+[- ]){3})[- 0-9X]{13}\z|97[89][0-9]{10}\z|(?=(?:[0-9]+[- ]){4})[- 0-9]{17}\z)(?:97[89][- ]?)?[0-9]{1,5}[- ]?[0-9]+[- ]?[0-9]+[- ]?[0-9X]\z"
 EMAIL_LIKE = "%@%.%"
 
 
