@@ -9,7 +9,9 @@ copies of the items themselves, at the highest edit share, tell how many repetit
 takes, by classes of items of about the same length and number of windows. Classes that do not reach it,
 and items shorter than a window, are searched exactly: of an item cut into one piece more than it may
 have edits, a piece is left as it was, so documents are searched at every character for the pieces.
-Where a window or piece meets, the item-sized stretch around it is compared by exact edit distance.
+Where a window or piece meets, the item-sized stretch around it is compared by exact edit distance. An
+edit spoils at most q of the runs of q characters of an item, so stretches that hold too few of its runs
+cannot be near enough and are told apart by counting, before any distance.
 
 Texts are compared in lower case with single spaces. Items go through the tasks' memory in chunks of
 bounded size, one pass over the documents each; no document moves.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.columns import Batches, arrow_map, codepoints, mixed, slices
 
-STEPS, SAMPLED = 36, 16  # steps of the walk, sampled places
+STEPS, SAMPLED = 28, 16  # steps of the walk, sampled places
 PAD = STEPS
 GATE_BITS = 20
 
@@ -57,7 +59,7 @@ class Walk:
     def stages(self) -> list[int]:
         """After how many sampled places the windows met so far are told from the rest."""
         n = len(self.places)
-        return [*(k for k in (n * 5 // 16, n * 9 // 16) if k), n]
+        return [*(k for k in (n * 9 // 16, n * 12 // 16) if k), n]
 
     def keys(self, symbols: np.ndarray, starts: np.ndarray, gates: list[np.ndarray] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
         """Windows (indices into ``starts``) that pass all gates, and the hashes of the sampled characters
@@ -65,15 +67,23 @@ class Walk:
         window, at = np.arange(len(starts)), starts.copy()
         key = np.zeros(len(starts), dtype=np.uint64)
         taken, out, sampled, stages = 0, [], set(self.places.tolist()), self.stages()
+        # A symbol and its moves at all steps share a word, so a step looks up one thing.
+        packed = np.arange(256, dtype=np.int64) << STEPS
+        for step, moves in enumerate(self.moves):
+            packed |= moves << step
+        words = packed[symbols]
         for step in range(int(self.places[-1]) + 1):
-            here = symbols[at]
-            at += self.moves[step][here]
+            # No place lies outside, but clipping spares a copy of the places.
+            here = words.take(at, mode="clip")
+            if step in sampled:
+                key *= np.uint64(0x9E3779B97F4A7C15)
+                key += (here >> STEPS).view(np.uint64)
+                taken += 1
+            here >>= step
+            here &= 1
+            at += here
             if step not in sampled:
                 continue
-            key *= np.uint64(0x9E3779B97F4A7C15)
-            key += here
-            key ^= key >> np.uint64(31)
-            taken += 1
             if taken == stages[len(out)]:
                 out.append(mixed(key))
                 if gates:
@@ -214,6 +224,47 @@ def least_edits(item: str, stretch: str) -> int:
     return best
 
 
+RUN = 4  # characters a run that are counted for many stretches at once; one more for each of the rest
+
+
+def run_slots(symbols: np.ndarray) -> np.ndarray:
+    """A 16-bit hash of the run of ``RUN`` symbols at every place (short of the end)."""
+    n = max(0, len(symbols) - RUN + 1)
+    whole = np.zeros(n, dtype=np.uint32)
+    for i in range(RUN):
+        whole |= symbols[i : i + n].astype(np.uint32) << np.uint32(8 * i)
+    return (whole * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.int64)
+
+
+def holds_enough(slots: np.ndarray, firsts: np.ndarray, size: int, item: np.ndarray, allowed: int) -> np.ndarray:
+    """Which stretches of ``size`` places from ``firsts`` may hold ``item`` (its slots) within ``allowed`` edits.
+
+    What matches has at least ``allowed`` characters less than the item, and all of its runs but ``RUN`` an
+    edit are runs of the item. Equal slots of unequal runs only let more stretches pass.
+    """
+    least = len(item) - (RUN + 1) * allowed
+    if least <= 0 or not len(slots):
+        return np.ones(len(firsts), dtype=bool)
+    marked = np.zeros(1 << 16, dtype=bool)
+    marked[item] = True
+    enough = []
+    step = max(1, (1 << 20) // size)
+    for i in range(0, len(firsts), step):
+        places = firsts[i : i + step, None] + np.arange(size)
+        enough.append(marked[slots.take(places, mode="clip")].sum(axis=1) >= least)
+    return np.concatenate(enough) if enough else np.zeros(0, dtype=bool)
+
+
+def shares_runs(item: str, stretch: str, allowed: int) -> bool:
+    """Whether enough runs of the item are in the stretch for ``allowed`` edits."""
+    n = RUN + 1
+    least = len(item) - n + 1 - n * allowed
+    if least <= 0:
+        return True
+    held = {stretch[i : i + n] for i in range(len(stretch) - n + 1)}
+    return sum(item[i : i + n] in held for i in range(len(item) - n + 1)) >= least
+
+
 def find_leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -252,34 +303,52 @@ def find_leaks(
 
 
 def _scan(rows: DataFrame, group: list[tuple], probes: list[Probe], exact: list[Probe], edit_share: float, schema: str) -> DataFrame:
+    allowed = np.array([int(edit_share * len(t)) for _, t in group], dtype=np.int64)
+    longest = max(len(t) for _, t in group)
+    item_symbols, item_begins, _, _ = lay_out([t for _, t in group])
+
+    def cells(texts: list[str], symbols: np.ndarray, begins: np.ndarray, starts: np.ndarray, owner: np.ndarray):
+        """Distinct (item, document, cell) of all meetings, by item; neighbouring alignments share a cell."""
+        span = max(map(len, texts)) + 2 * longest + 2
+        turns = [(p, starts, owner) for p in probes]
+        if exact:
+            holders = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+            places = begins[holders] + np.arange(len(holders)) - np.searchsorted(holders, holders)
+            turns += [(p, places, holders) for p in exact]
+        met = [np.empty(0, dtype=np.int64)]
+        for probe, at, of in turns:
+            window, k = probe.meet(symbols, at)
+            item, doc = probe.items[k], of[window]
+            cell = (at[window] - begins[doc] - probe.offsets[k]) // (allowed[item] + 1)
+            met.append(np.unique((item * len(texts) + doc) * span + cell + longest + 1))
+        row, cell = np.divmod(np.unique(np.concatenate(met)), span)
+        item, doc = np.divmod(row, len(texts))
+        return item, doc, cell - longest - 1
+
     def scan(batches: Batches) -> Iterable[dict]:
         for whole in batches:
             for batch in slices(whole, chars=1_000_000):
                 texts = [plain(t) for t in batch.column("text").to_pylist()]
                 symbols, begins, starts, owner = lay_out(texts)
-                tried: set[tuple[int, int, int]] = set()
+                item, doc, cell = cells(texts, symbols, begins, starts, owner)
+                slots = run_slots(symbols) if len(item) else symbols
                 best: dict[tuple[int, int], int] = {}
-                lengths = [len(t) if exact else 0 for t in texts]
-                holders = np.repeat(np.arange(len(texts)), lengths)
-                places = begins[holders] + np.arange(len(holders)) - np.searchsorted(holders, holders)
-                turns = [(p, starts, owner) for p in probes] + [(p, places, holders) for p in exact]
-                for probe, starts, owner in turns:
-                    window, at = probe.meet(symbols, starts)
-                    for w, a in zip(window.tolist(), at.tolist(), strict=True):
-                        doc, item = int(owner[w]), int(probe.items[a])
-                        wanted = group[item][1]
-                        allowed = int(edit_share * len(wanted))
-                        start = int(starts[w] - begins[doc]) - int(probe.offsets[a])
-                        # Neighbouring alignments share a stretch of the text.
-                        cell = start // (allowed + 1)
-                        if (doc, item) in best and best[doc, item] == 0 or (doc, item, cell) in tried:
+                edges = np.flatnonzero(np.diff(item, prepend=-1, append=-1))
+                for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    i = int(item[low])
+                    wanted, most = group[i][1], int(allowed[i])
+                    begin = int(item_begins[i])
+                    its = run_slots(item_symbols[begin : begin + len(wanted)])
+                    docs, firsts = doc[low:high], cell[low:high] * (most + 1) - most
+                    near = holds_enough(slots, begins[docs] + firsts, len(wanted) + 3 * most + 1, its, most)
+                    for d, first in zip(docs[near].tolist(), firsts[near].tolist(), strict=True):
+                        if best.get((d, i)) == 0:
                             continue
-                        tried.add((doc, item, cell))
-                        first = max(0, cell * (allowed + 1) - allowed)
-                        stretch = texts[doc][first : (cell + 1) * (allowed + 1) + len(wanted) + allowed]
-                        edits = 0 if wanted in stretch else least_edits(wanted, stretch)
-                        if edits <= allowed:
-                            best[doc, item] = min(edits, best.get((doc, item), edits))
+                        stretch = texts[d][max(0, first) : first + len(wanted) + 3 * most + 1]
+                        if wanted in stretch:
+                            best[d, i] = 0
+                        elif shares_runs(wanted, stretch, most) and (edits := least_edits(wanted, stretch)) <= most:
+                            best[d, i] = min(edits, best.get((d, i), edits))
                 if best:
                     yield {
                         "doc_id": batch.column("doc_id").take([d for d, _ in best]),
