@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, cached_property, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,6 +32,7 @@ from lectern.llm.columns import Batches, arrow_map, codepoints, mixed, slices
 STEPS, SAMPLED = 28, 16  # steps of the walk, sampled places
 PAD = STEPS
 GATE_BITS = 20
+RUN_OF_STARTS = 1 << 15  # windows walked together, so that what a step touches stays in a core's cache
 
 
 def plain(text: str | None) -> str:
@@ -56,6 +57,14 @@ class Walk:
         """Every character, in order."""
         return Walk(np.ones((steps, 256), dtype=np.int64), np.arange(steps))
 
+    @cached_property
+    def packed(self) -> np.ndarray:
+        """A symbol and its moves at all steps in one word, so a step looks up one thing."""
+        words = np.arange(256, dtype=np.int64) << STEPS
+        for step, moves in enumerate(self.moves):
+            words |= moves << step
+        return words
+
     def stages(self) -> list[int]:
         """After how many sampled places the windows met so far are told from the rest."""
         n = len(self.places)
@@ -67,11 +76,7 @@ class Walk:
         window, at = np.arange(len(starts)), starts.copy()
         key = np.zeros(len(starts), dtype=np.uint64)
         taken, out, sampled, stages = 0, [], set(self.places.tolist()), self.stages()
-        # A symbol and its moves at all steps share a word, so a step looks up one thing.
-        packed = np.arange(256, dtype=np.int64) << STEPS
-        for step, moves in enumerate(self.moves):
-            packed |= moves << step
-        words = packed[symbols]
+        words = self.packed[symbols]
         for step in range(int(self.places[-1]) + 1):
             # No place lies outside, but clipping spares a copy of the places.
             here = words.take(at, mode="clip")
@@ -120,10 +125,16 @@ class Probe:
     offsets: np.ndarray
 
     def meet(self, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Indices into ``starts`` and into the item windows that have equal keys."""
-        near, stages = self.walk.keys(symbols, starts, self.gates)
-        low = np.searchsorted(self.keys, stages[-1], side="left")
-        n = np.searchsorted(self.keys, stages[-1], side="right") - low
+        """Indices into ``starts``, which ascend, and into the item windows that have equal keys."""
+        passed, last = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.uint64)]
+        for i in range(0, len(starts), RUN_OF_STARTS):
+            part = starts[i : i + RUN_OF_STARTS]
+            window, stages = self.walk.keys(symbols[part[0] : part[-1] + PAD], part - part[0], self.gates)
+            passed.append(window + i)
+            last.append(stages[-1])
+        near, keys = np.concatenate(passed), np.concatenate(last)
+        low = np.searchsorted(self.keys, keys, side="left")
+        n = np.searchsorted(self.keys, keys, side="right") - low
         which = np.repeat(np.arange(len(near)), n)
         within = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
         return near[which], low[which] + within
@@ -227,13 +238,13 @@ def least_edits(item: str, stretch: str) -> int:
 RUN = 4  # characters a run that are counted for many stretches at once; one more for each of the rest
 
 
-def run_slots(symbols: np.ndarray) -> np.ndarray:
-    """A 16-bit hash of the run of ``RUN`` symbols at every place (short of the end)."""
-    n = max(0, len(symbols) - RUN + 1)
+def run_slots(symbols: np.ndarray, run: int) -> np.ndarray:
+    """A 16-bit hash of the run of ``run`` symbols at every place (short of the end)."""
+    n = max(0, len(symbols) - run + 1)
     whole = np.zeros(n, dtype=np.uint32)
-    for i in range(RUN):
-        whole |= symbols[i : i + n].astype(np.uint32) << np.uint32(8 * i)
-    return (whole * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.int64)
+    for i in range(run):
+        whole = (whole + symbols[i : i + n]) * np.uint32(0x9E3779B1)
+    return (whole >> np.uint32(16)).astype(np.int64)
 
 
 def holds_enough(slots: np.ndarray, firsts: np.ndarray, size: int, item: np.ndarray, allowed: int) -> np.ndarray:
@@ -255,14 +266,15 @@ def holds_enough(slots: np.ndarray, firsts: np.ndarray, size: int, item: np.ndar
     return np.concatenate(enough) if enough else np.zeros(0, dtype=bool)
 
 
-def shares_runs(item: str, stretch: str, allowed: int) -> bool:
-    """Whether enough runs of the item are in the stretch for ``allowed`` edits."""
-    n = RUN + 1
-    least = len(item) - n + 1 - n * allowed
-    if least <= 0:
-        return True
-    held = {stretch[i : i + n] for i in range(len(stretch) - n + 1)}
-    return sum(item[i : i + n] in held for i in range(len(item) - n + 1)) >= least
+def shares_runs(item: np.ndarray, stretch: np.ndarray, allowed: int, marked: np.ndarray) -> bool:
+    """Whether enough of the item's longer runs are in the stretch for ``allowed`` edits, both as slots.
+
+    ``marked`` has a place for every slot, all false before and after.
+    """
+    marked[stretch] = True
+    held = np.count_nonzero(marked[item])
+    marked[stretch] = False
+    return held >= len(item) - (RUN + 1) * allowed
 
 
 def find_leaks(
@@ -326,28 +338,36 @@ def _scan(rows: DataFrame, group: list[tuple], probes: list[Probe], exact: list[
         return item, doc, cell - longest - 1
 
     def scan(batches: Batches) -> Iterable[dict]:
+        @cache
+        def item_slots(i: int) -> tuple[np.ndarray, np.ndarray]:
+            its = item_symbols[item_begins[i] : item_begins[i] + len(group[i][1])]
+            return run_slots(its, RUN), run_slots(its, RUN + 1)
+
         for whole in batches:
             for batch in slices(whole, chars=1_000_000):
                 texts = [plain(t) for t in batch.column("text").to_pylist()]
                 symbols, begins, starts, owner = lay_out(texts)
                 item, doc, cell = cells(texts, symbols, begins, starts, owner)
-                slots = run_slots(symbols) if len(item) else symbols
+                slots, longer = run_slots(symbols, RUN), run_slots(symbols, RUN + 1)
+                marked = np.zeros(1 << 16, dtype=bool)
                 best: dict[tuple[int, int], int] = {}
                 edges = np.flatnonzero(np.diff(item, prepend=-1, append=-1))
                 for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     i = int(item[low])
                     wanted, most = group[i][1], int(allowed[i])
-                    begin = int(item_begins[i])
-                    its = run_slots(item_symbols[begin : begin + len(wanted)])
+                    its, its_longer = item_slots(i)
+                    size = len(wanted) + 3 * most + 1
                     docs, firsts = doc[low:high], cell[low:high] * (most + 1) - most
-                    near = holds_enough(slots, begins[docs] + firsts, len(wanted) + 3 * most + 1, its, most)
+                    near = holds_enough(slots, begins[docs] + firsts, size, its, most)
                     for d, first in zip(docs[near].tolist(), firsts[near].tolist(), strict=True):
                         if best.get((d, i)) == 0:
                             continue
-                        stretch = texts[d][max(0, first) : first + len(wanted) + 3 * most + 1]
-                        if wanted in stretch:
-                            best[d, i] = 0
-                        elif shares_runs(wanted, stretch, most) and (edits := least_edits(wanted, stretch)) <= most:
+                        at = int(begins[d])
+                        if not shares_runs(its_longer, longer[at + max(0, first) : at + first + size], most, marked):
+                            continue
+                        stretch = texts[d][max(0, first) : first + size]
+                        edits = 0 if wanted in stretch else least_edits(wanted, stretch)
+                        if edits <= most:
                             best[d, i] = min(edits, best.get((d, i), edits))
                 if best:
                     yield {
