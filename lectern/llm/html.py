@@ -57,8 +57,12 @@ OTHER_ROLE = re.compile(
     r"copyright|legal)(?:$|[\s_-])",
     re.I,
 )
+# Names of the article's own head, and elements whose names and classes are the text's own.
+ARTICLE_HEAD = re.compile(r"\b(?:article|post|entry|story|page|chapter|section)[_-]+header\b", re.I)
+OWN_NAMES = frozenset("h1 h2 h3 h4 h5 h6 table caption thead tbody tfoot tr td th dt dd figure figcaption pre blockquote".split())
 CONTENT_ROLE = re.compile(r"(?:^|\s)main(?:$|\s)", re.I)
 LIMIT = 48  # children of an element before order among them is given up
+DEPTH = 100  # levels of structure that are told apart; the text of deeper ones counts to the last of them
 
 Path = tuple[str, ...]
 
@@ -79,7 +83,8 @@ def _labelled(name: str, attrs: str, inside_article: bool) -> tuple[str, bool]:
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             other = True
         elif key in ("class", "id", "role") and value:
-            other = other or (name not in ("html", "body", "article", "main") and bool(OTHER_ROLE.search(value)))
+            named = name not in OWN_NAMES and name not in ("html", "body", "article", "main")
+            other = other or (named and bool(OTHER_ROLE.search(ARTICLE_HEAD.sub("", value))))
             if key == "role" and CONTENT_ROLE.search(value):
                 name = "main"
             if key == "class":
@@ -90,7 +95,8 @@ def _labelled(name: str, attrs: str, inside_article: bool) -> tuple[str, bool]:
 def parse(page: str | None) -> Element:
     """Blocks and structure of a page; markup inside blocks is gone, references are decoded."""
     root = Element("", "", False)
-    stack, text = [root], []
+    # Beside every open element: whether it is off the article, whether it is in one, levels of structure.
+    stack, states, text = [root], [(False, False, 0)], []
     at = 0
 
     def flush() -> None:
@@ -103,6 +109,7 @@ def parse(page: str | None) -> Element:
         if any(e.name in BLOCK or e.other for e in stack[to:]):
             flush()
         del stack[to:]
+        del states[to:]
 
     for m in TOKEN.finditer(page or ""):
         text.append(page[at : m.start()])
@@ -132,16 +139,19 @@ def parse(page: str | None) -> Element:
                     break
         if name in VOID:
             continue
-        label, other = _labelled(name, m["attrs"], any(e.label == "article" for e in stack))
+        off, inside, depth = states[-1]
+        label, other = _labelled(name, m["attrs"], inside)
         if other and not block:
             flush()
         # Elements inside a block do not matter for the structure unless they name a role.
         element = Element(name, label, other)
-        if block or other:
+        if (block or other) and (depth < DEPTH or not off and (other or (label == "article" and not inside))):
             stack[-1].children.append(element)
+            depth += 1
         else:
             element.children = stack[-1].children
         stack.append(element)
+        states.append((off or other, inside or label == "article", depth))
     text.append((page or "")[at:])
     close(1)
     flush()
@@ -168,12 +178,16 @@ def as_wrapper(element: Element) -> list:
             children.append(["#", False, False, 1, len(child), child])
         elif not child.other:
             children.append([child.label, False, False, 1, 0, as_wrapper(child)])
-    return fold(children)
+    return bounded(fold(children))
 
 
 def combine(a: list, b: list, pages: int) -> list:
     """One node for two of the same label."""
-    inside = (a[5] if a[5] == b[5] else None) if a[0] == "#" else align(a[5], b[5], pages > max(a[3], b[3]))
+    new_page = pages > max(a[3], b[3])
+    if a[0] == "#":
+        inside = a[5] if a[5] == b[5] else None
+    else:
+        inside = any_order(a[5] + b[5], new_page) if a[0] == ANY else align(a[5], b[5], new_page)
     return [a[0], a[1] or b[1], a[2] or b[2], pages, a[4] + b[4], inside]
 
 
@@ -224,15 +238,26 @@ def align(a: list, b: list, new_page: bool = True) -> list:
         else:
             out.append([b[j][0], True, *b[j][2:]])
             j += 1
-    out = fold(out)
-    if len(out) <= LIMIT:
-        return out
-    # Too many orders: any order, as a repeated group of optional nodes, one per label.
+    return bounded(fold(out))
+
+
+ANY = "(*)"  # any order: a repeated group of optional nodes, one per label
+
+
+def any_order(nodes: list, new_page: bool) -> list:
     by_label: dict[str, list] = {}
-    for node in [x for y in out for x in (y[5] if y[0] == "(*)" else [y])]:
+    for node in [x for y in nodes for x in (y[5] if y[0] == ANY else [y])]:
         known = by_label.get(node[0])
-        by_label[node[0]] = combine(known, node, max(known[3], node[3])) if known else node
-    return [["(*)", True, True, max(x[3] for x in out), 0, [[x[0], True, True, *x[3:]] for x in by_label.values()]]]
+        pages = known and (known[3] + node[3] if new_page else max(known[3], node[3]))
+        by_label[node[0]] = combine(known, node, pages) if known else node
+    return [[x[0], True, True, *x[3:]] for x in by_label.values()]
+
+
+def bounded(nodes: list) -> list:
+    """``nodes``, or any order of them if there are too many, so that no alignment grows with a page."""
+    if len(nodes) <= LIMIT:
+        return nodes
+    return [[ANY, True, True, max(x[3] for x in nodes), 0, any_order(nodes, False)]]
 
 
 def reading(pages: int, wrapper: list) -> dict:

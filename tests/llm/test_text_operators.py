@@ -1,6 +1,7 @@
 """Language, personal data, benchmark items, pages, conversations, toxicity and scoring on small inputs."""
 
 import hashlib
+import json
 import random
 import re
 from html import unescape as decoded
@@ -384,3 +385,25 @@ def test_everything_of_the_article_stays(page, text):
     assert "\n".join(html.main_text(whole.format(3), rule)) == text.format(3)
     other = html.main_text(whole.format(3).replace("</h2>", "</h2><p>Slogan"), rule)
     assert ("Slogan" in other) == ("</h2>" in page)
+
+
+def test_deep_nesting_and_many_siblings_keep_their_text():
+    deep = "<body>" + "<div>" * 5000 + "deep text" + "</div>" * 5000 + "<p>after</p></body>"
+    off = "<body><article>" + "<div>" * 300 + "kept<div class='advert'><div>sold</div></div>" + "</div>" * 300 + "</article></body>"
+    late = "<body>" + "<div>" * 300 + "<article><p>late</p></article>" + "</div>" * 300 + "<p>aside of it</p></body>"
+    empty = {"constants": [], "place": []}
+    assert html.main_text(deep, empty) == ["deep text", "after"]
+    assert html.main_text(off, empty) == ["kept"]
+    assert html.main_text(late, empty) == ["late"]
+    broad = ["".join(f"<p class='c{(i * step) % 9973}'>t{i}</p>" for i in range(20_000)) for step in (7, 11)]
+    one, two, nested = (html.as_wrapper(html.parse(p)) for p in (*broad, deep))
+    assert json.loads(json.dumps(html.align(html.align(one, two), nested)))
+    assert len(html.main_text(broad[0], empty)) == 20_000
+
+
+def test_headings_and_tables_of_the_article_stay():
+    page = (
+        "<body><article><div class='article-header'><h1>Title</h1></div><h2 id='related-work'>Related work</h2><p>Text.</p>"
+        "<table><tr class='header'><td>cell</td></tr></table><div class='site-header'>menu</div></article></body>"
+    )
+    assert html.main_text(page, {"constants": [], "place": []}) == ["Title", "Related work", "Text.", "cell"]
