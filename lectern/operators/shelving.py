@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import date, datetime
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from lectern.functions import capacity
 from lectern.operators.changes import touched
 from lectern.operators.lookup import by_key
 from lectern.operators.quality import first_broken, strict_rules
-from lectern.operators.running import running_max, running_total
+from lectern.operators.running import number_rows, running_max, running_total
 from lectern.plans.views import physical_books, shelf_sizes
 from lectern.session import apart, pin
 from lectern.sources.collection import Collection
@@ -114,43 +116,112 @@ def _bounds(open_moves: DataFrame, accepted: DataFrame | None) -> DataFrame:
     return placed.where(~done).join(apart(totals), "seq")
 
 
-def _decide_moves(sound: DataFrame) -> DataFrame:
+def _next_run(pending: DataFrame, accepted: DataFrame | None, rows: int) -> DataFrame:
+    """The earliest open moves and the accepted ones among them, at most ``rows`` of both together.
+
+    ``_on`` and ``_room`` tell where the book was and what room the shelf had before the run. All moves
+    before the first open one are decided, so that comes from counts per book and shelf.
+    """
+    if accepted is None:
+        line = pending.withColumns({"_on": F.col("_from"), "_room": F.col("_free")})
+    else:
+        begins = pending.agg(F.min("seq")).first()[0]
+        before = accepted.where(F.col("seq") < begins).groupBy("book_id").agg(
+            F.max_by("shelf_id", "seq").alias("_last"), F.first("_from").alias("_was")
+        )
+        before = pin(before)
+        gains = before.select(
+            F.inline(F.array(
+                F.struct(F.col("_last").alias("shelf_id"), F.lit(1).alias("_step")),
+                F.struct(F.col("_was").alias("shelf_id"), F.lit(-1).alias("_step")),
+            ))
+        ).groupBy("shelf_id").agg(F.sum("_step").alias("_gain"))
+        line = pending.unionByName(accepted.where(F.col("seq") > begins))
+        line = line.join(apart(before.drop("_was")), "book_id", "left").join(apart(gains), "shelf_id", "left")
+        line = line.withColumns(
+            {"_on": F.coalesce("_last", "_from"), "_room": F.col("_free") - F.coalesce("_gain", F.lit(0))}
+        )
+    line = pin(line.select("seq", "book_id", "shelf_id", "_on", "_room", "accepted"))
+    if line.count() <= rows:
+        return line
+    return number_rows(line, "seq", "_place").where(F.col("_place") <= rows).drop("_place")
+
+
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``seq`` and ``accepted`` of the open moves of a run that comes in order."""
+    place, gained = {}, {}
+    for batch in batches:
+        seqs, verdicts = [], []
+        for seq, book, shelf, on, room, known in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
+            on = place.get(book, on)
+            moves = on != shelf
+            accepted = known or not moves or room > gained.get(shelf, 0)
+            if accepted and moves:
+                gained[shelf] = gained.get(shelf, 0) + 1
+                if on is not None:
+                    gained[on] = gained.get(on, 0) - 1
+                place[book] = shelf
+            if known is None:
+                seqs.append(seq)
+                verdicts.append(accepted)
+        yield pa.record_batch([pa.array(seqs, pa.int64()), pa.array(verdicts, pa.bool_())], ["seq", "accepted"])
+
+
+def _decide_moves(sound: DataFrame, run: int) -> DataFrame:
     """``seq`` and ``accepted`` of sound moves, as if made one after another.
 
     Per round, a move is accepted if its shelf has a place even if every open arrival before it comes
     and no open departure does, and refused if there is none the other way round and the book cannot be
-    on that shelf already. The first open move is always decided. Rounds follow the moves that wait for
-    a place that another one leaves.
+    on that shelf already. Moves that wait for a place another one leaves may form chains of any length,
+    so each round also goes through a run of the earliest open moves in one task, ``run`` rows at most.
+    Where no more than a run is open, that decides them all.
     """
     columns = ["seq", "book_id", "shelf_id", "_from", "_free"]
     pending = pin(sound.select(*columns, F.lit(None).cast("boolean").alias("accepted")))
     rounds: list[DataFrame] = []
     accepted = None
-    while not pending.isEmpty():
-        open_ones = pin(_bounds(pending, accepted))
-        stays = F.col("shelf_id").eqNullSafe(F.col("_on"))
-        may = stays | (F.col("_free") > F.col("_least"))
-        heads = open_ones.groupBy("book_id").agg(F.min("seq").alias("seq")).select("seq", F.lit(True).alias("_head"))
-        # Up to a book's first move to a shelf that may succeed, none to that shelf does.
-        first = open_ones.where(may).groupBy("book_id", "shelf_id").agg(F.min("seq").alias("_first"))
-        judged = open_ones.join(apart(heads), "seq", "left").join(apart(first), ["book_id", "shelf_id"], "left")
-        verdict = F.when((F.col("_free") > F.col("_most")) | (stays & F.col("_head")), True).when(
-            ~may & (F.col("_first").isNull() | (F.col("seq") < F.col("_first"))), False
+    while n_open := pending.count():
+        if n_open > run:
+            judged = pin(_judged(_bounds(pending, accepted)).select(*columns, "accepted"))
+            rounds.append(judged.where("accepted is not null"))
+            pending = judged.where("accepted is null")
+            accepted = reduce(DataFrame.unionByName, rounds).where("accepted")
+            if pending.isEmpty():
+                break
+        earliest = _next_run(pending, accepted, run).repartition(1).sortWithinPartitions("seq")
+        decided = pin(earliest.mapInArrow(_one_by_one, "seq long, accepted boolean"))
+        judged = pin(
+            pending.drop("accepted").join(apart(decided), "seq", "left").select(*columns, "accepted")
         )
-        judged = pin(judged.withColumn("accepted", verdict).select(*columns, "accepted"))
         rounds.append(judged.where("accepted is not null"))
         pending = judged.where("accepted is null")
         accepted = reduce(DataFrame.unionByName, rounds).where("accepted")
     return reduce(DataFrame.unionByName, rounds, pending).select("seq", "accepted")
 
 
+def _judged(bounded: DataFrame) -> DataFrame:
+    """Open moves with bounds, and the ``accepted`` that both bounds agree on, else null."""
+    open_ones = pin(bounded.drop("accepted"))
+    stays = F.col("shelf_id").eqNullSafe(F.col("_on"))
+    may = stays | (F.col("_free") > F.col("_least"))
+    heads = open_ones.groupBy("book_id").agg(F.min("seq").alias("seq")).select("seq", F.lit(True).alias("_head"))
+    # Up to a book's first move to a shelf that may succeed, none to that shelf does.
+    first = open_ones.where(may).groupBy("book_id", "shelf_id").agg(F.min("seq").alias("_first"))
+    judged = open_ones.join(apart(heads), "seq", "left").join(apart(first), ["book_id", "shelf_id"], "left")
+    verdict = F.when((F.col("_free") > F.col("_most")) | (stays & F.col("_head")), True).when(
+        ~may & (F.col("_first").isNull() | (F.col("seq") < F.col("_first"))), False
+    )
+    return judged.withColumn("accepted", verdict)
+
+
 def move_books(
-    tables: Collection, moves: DataFrame, moment: datetime | None = None
+    tables: Collection, moves: DataFrame, moment: datetime | None = None, run: int = 200_000
 ) -> tuple[Collection, DataFrame]:
     """Move physical books by ``seq, book_id, shelf_id``, one after another; ``(tables, result)``.
 
     A move needs a place on its shelf at its turn: those before it have taken theirs and left theirs
     behind. A book may move several times. A move to the shelf the book is on needs no place.
+    ``run`` bounds how many moves one task decides in order at a time; it does not change the outcome.
     """
     books = by_key(tables.books, moves, "book_id").select(
         "book_id", "book_type", F.col("shelf_id").alias("_from"), F.lit(True).alias("_known")
@@ -163,7 +234,7 @@ def move_books(
         .when(F.col("_free").isNull(), "shelf_not_found")
     )
     checked = pin(facts.withColumn("_unsound", unsound))
-    decided = _decide_moves(checked.where(F.col("_unsound").isNull()))
+    decided = _decide_moves(checked.where(F.col("_unsound").isNull()), run)
     full = F.when(~F.col("accepted"), "shelf_full")
     result = pin(
         checked.join(apart(decided), "seq", "left")

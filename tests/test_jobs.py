@@ -439,8 +439,8 @@ def test_moves(spark, seed):
         shelving.fix_capacity_counts(after), "shelf_id", "current_book_count")
 
 
-@pytest.mark.parametrize("seed_no,hot,n_shelves", [(2, 0.3, 3)])
-def test_moves_equal_one_by_one(spark, seed_no, hot, n_shelves):
+@pytest.mark.parametrize("seed_no,hot,n_shelves,run", [(2, 0.3, 3, 3), (5, 0.0, 4, 6), (2, 0.3, 3, 200_000)])
+def test_moves_equal_one_by_one(spark, seed_no, hot, n_shelves, run):
     rng = random.Random(seed_no)
     shelf_of = {b: rng.choice([None, *range(n_shelves)]) for b in range(14)}
     free = {s: rng.choice([0, 0, 1, 2]) for s in range(n_shelves)}
@@ -449,7 +449,7 @@ def test_moves_equal_one_by_one(spark, seed_no, hot, n_shelves):
     shelves = [{"shelf_id": s, "total_capacity": count[s] + free[s], "current_book_count": count[s]} for s in free]
     empty = Collection(frame(spark, S.STUDENTS, []), frame(spark, S.SHELVES, shelves), frame(spark, S.BOOKS, books), frame(spark, S.LOANS, []))
     asked = [(i, 3 if rng.random() < hot else rng.randrange(14), rng.randrange(n_shelves)) for i in range(24)]
-    after, result = shelving.move_books(empty, spark.createDataFrame(rng.sample(asked, 24), S.MOVES), MOMENT)
+    after, result = shelving.move_books(empty, spark.createDataFrame(rng.sample(asked, 24), S.MOVES), MOMENT, run)
     reasons = {}
     for seq, book, shelf in asked:
         if shelf_of[book] != shelf and not free[shelf]:
