@@ -13,54 +13,119 @@ Rounds of set operations narrow down what is open. A place in a pool is sure if
 before this one could be granted too, and surely missing if the granted ones alone fill the room. The
 first undecided request of a key knows the key's state. One that finds it not free ends the key for
 all later ones, as only a grant could free it again. A grant turns away all requests inside its hold at
-once. The first undecided request of all is always decided, so the rounds end; their number follows the
-grants that follow each other on one key, and the waiting for places.
+once. Grants that follow each other on one key, and the waiting for places, may form chains of any
+length, so each round also goes through a bounded run of the earliest open requests in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import heapq
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators.running import running_total
+from lectern.operators.running import number_rows, running_max, running_total
 from lectern.session import apart, pin
 
 NEVER = 2**62
 _HALF = 2**31
 
 
+# A run ends before a unique key comes up more often, so that what it asks ``lives`` stays bounded.
+_SAME_UNIQUE = 4
+
+
 def _places(pending: DataFrame, granted: DataFrame | None) -> DataFrame:
-    """``seq``, ``sure`` and ``full`` of the pending requests of contended pools."""
-    open_ones = pending.where("tight").select(
-        "pool", "seq", "room", (F.col("seq") * 2).alias("_at"), F.lit(_HALF).alias("_step")
+    """``seq``, ``held`` (places held by granted ones then), ``sure`` and ``full`` of the tight requests."""
+    # All requests of a pool count towards its tight ones.
+    pools = pending.where("tight").select("pool").distinct()
+    claims = pending.join(apart(pools), "pool", "left_semi").select(
+        "pool", "seq", "room", "tight", (F.col("seq") * 2).alias("_at"), F.lit(_HALF).alias("_step")
     )
-    claims = open_ones
     if granted is not None:
-        held = granted.where("tight")
-        none = F.lit(None).cast("long")
-        starts = held.select("pool", none.alias("seq"), none.alias("room"), F.col("seq") * 2, F.lit(1))
+        held = granted.join(apart(pools), "pool", "left_semi")
+        none, no = F.lit(None).cast("long"), F.lit(False)
+        starts = held.select("pool", none.alias("seq"), none.alias("room"), no, F.col("seq") * 2, F.lit(1))
         ends = held.where(F.col("ends") < NEVER).select(
-            "pool", none.alias("seq"), none.alias("room"), F.col("ends") * 2 + 1, F.lit(-1)
+            "pool", none.alias("seq"), none.alias("room"), no, F.col("ends") * 2 + 1, F.lit(-1)
         )
-        claims = open_ones.union(starts).union(ends)
-    totals = running_total(claims, ["pool"], "_at", F.col("_step"), "_total").where("seq is not null")
+        claims = claims.union(starts).union(ends)
+    totals = running_total(claims, ["pool"], "_at", F.col("_step"), "_total").where("tight")
     held_then = F.col("_total") % _HALF
     # The row's own claim is in the total.
     waiting = F.floor(F.col("_total") / _HALF) - 1
     return totals.select(
         "seq",
+        held_then.alias("held"),
         (held_then + waiting < F.col("room")).alias("sure"),
         (held_then >= F.col("room")).alias("full"),
     )
 
 
+def _next_run(pending: DataFrame, rows: int) -> DataFrame:
+    """The earliest pending requests, at most ``rows``."""
+    if pending.count() > rows:
+        pending = number_rows(pending, "seq", "_place").where(F.col("_place") <= rows).drop("_place")
+    again = F.row_number().over(Window.partitionBy("unique").orderBy("seq")) > _SAME_UNIQUE
+    too_often = pending.withColumn("_again", again).agg(F.min(F.when(F.col("_again"), F.col("seq")))).first()[0]
+    return pending if too_often is None else pending.where(F.col("seq") < too_often)
+
+
+def _run_facts(run: DataFrame, states: DataFrame, granted: DataFrame | None, pending: DataFrame) -> DataFrame:
+    """Adds ``_known``, the key's last change before the request as twice its point plus one if free,
+    and ``_left``, the room that granted requests leave at it, null where the pool cannot run short."""
+    if granted is not None:
+        states = states.unionByName(granted.select("key", F.inline("states")))
+    known = states.join(apart(run.select("key").distinct()), "key", "left_semi").select(
+        "key", F.lit(None).cast("long").alias("seq"), (F.col("at") * 2 + 1).alias("_at"),
+        (F.col("at") * 2 + F.col("free").cast("int")).alias("_told"),
+    )
+    line = known.unionByName(
+        run.select("key", "seq", (F.col("seq") * 2).alias("_at"), F.lit(None).cast("long").alias("_told"))
+    )
+    last = running_max(line, ["key"], "_at", F.col("_told"), "_known").where("seq is not null")
+    facts = run.join(apart(last.select("seq", "_known")), "seq")
+    if granted is None:
+        return facts.withColumn("_left", F.when(F.col("tight"), F.col("room")))
+    held = _places(pending, granted).select("seq", "held")
+    left = F.when(F.col("tight"), F.col("room") - F.col("held"))
+    return facts.join(apart(held), "seq", "left").withColumn("_left", left)
+
+
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``seq`` of the requests to grant, of a run that comes in order."""
+    taken, held, key_until, key_states = set(), {}, {}, {}
+    for batch in batches:
+        granted = []
+        for seq, key, unique, pool, known, left, ends, held_until, states in zip(
+            *(batch.column(c).to_pylist() for c in batch.schema.names), strict=True
+        ):
+            told = [*key_states.get(key, ()), *([known] if known is not None else [])]
+            last = max((mark for mark in told if mark < 2 * seq), default=0)
+            places = held.setdefault(pool, [])
+            while places and places[0] < seq:
+                heapq.heappop(places)
+            full = left is not None and len(places) >= left
+            if unique in taken or last % 2 == 0 or key_until.get(key, seq - 1) >= seq or full:
+                continue
+            granted.append(seq)
+            taken.add(unique)
+            heapq.heappush(places, ends)
+            key_until[key] = held_until
+            # What lies before the grant no longer counts.
+            later = [mark for mark in key_states.get(key, ()) if mark >= 2 * seq]
+            key_states[key] = later + [2 * state["at"] + state["free"] for state in states]
+        yield pa.record_batch([pa.array(granted, pa.int64())], ["seq"])
+
+
 def grant_intervals(
     requests: DataFrame,
     states: DataFrame,
     lives: Callable[[DataFrame], DataFrame],
+    run: int = 100_000,
 ) -> DataFrame:
     """The granted requests with what ``lives`` says about them.
 
@@ -68,44 +133,71 @@ def grant_intervals(
     this batch's grants), ``tight`` (false if the pool cannot run short before the request), and further
     columns. ``states``: ``key``, ``at``, ``free``: the known changes of keys. ``lives`` adds to requests
     ``ends``, ``held_until`` (``NEVER`` for no end) and ``states``, an array of (``at``, ``free``): how
-    the request would change its key. It is asked for at most one request per unique key at a time.
+    the request would change its key. It is asked for few requests per unique key at a time. ``run``
+    bounds how many requests one task decides in order at a time; it does not change the outcome.
     """
     pending = pin(requests)
     columns = pending.columns
     rounds: list[DataFrame] = []
-    while not pending.isEmpty():
+    while n_open := pending.count():
+        if n_open > run:
+            granted, pending = _round(pending, reduce(DataFrame.unionByName, rounds) if rounds else None, states, lives)
+            rounds.append(granted)
+            if pending.isEmpty():
+                break
         so_far = reduce(DataFrame.unionByName, rounds) if rounds else None
-        head = F.min_by(F.struct("seq", "unique"), "seq").alias("_head")
-        heads = pending.groupBy("key").agg(head).select("key", "_head.*")
-        known = states
-        if so_far is not None:
-            known = known.unionByName(so_far.select("key", F.inline("states")))
-        found = pin(
-            heads.join(apart(known), "key")
-            .where(F.col("at") < F.col("seq"))
-            .groupBy("key", "seq", "unique")
-            .agg(F.max_by("free", "at").alias("free"))
+        earliest = pin(_next_run(pending, run).select(*columns))
+        line = pin(_run_facts(lives(earliest), states, so_far, pending)).select(
+            "seq", "key", "unique", "pool", "_known", "_left", "ends", "held_until", "states"
         )
-        first = pending.groupBy("unique").agg(F.min("seq").alias("seq"))
-        ready = found.where("free").join(apart(first), ["unique", "seq"], "left_semi").select("seq")
-        full = None
-        if not pending.where("tight").isEmpty():
-            places = pin(_places(pending, so_far))
-            ready = ready.join(places.where("not sure"), "seq", "left_anti")
-            full = places.where("full and not sure").select("seq")
-        granted = pin(lives(pending.join(apart(ready), "seq", "left_semi").select(*columns)))
+        decided = pin(line.repartition(1).sortWithinPartitions("seq").mapInArrow(_one_by_one, "seq long"))
+        granted = pin(lives(earliest.join(apart(decided), "seq", "left_semi").select(*columns)))
         rounds.append(granted)
-        left = pending.join(apart(found.where("not free").select("key")), "key", "left_anti")
-        # Unique keys are taken for good, the granted request's own among them.
-        left = left.join(apart(granted.select("unique")), "unique", "left_anti")
-        # A round grants one request per key at most.
-        holds = granted.select("key", F.col("seq").alias("_from"), F.col("held_until").alias("_to"))
-        left = left.join(apart(holds), "key", "left").where(
-            F.col("_from").isNull() | (F.col("seq") < F.col("_from")) | (F.col("seq") > F.col("_to"))
-        )
-        if full is not None:
-            left = left.join(apart(full), "seq", "left_anti")
+        if earliest.count() == n_open:
+            break
+        # What is left comes behind the run.
+        last = earliest.agg(F.max("seq")).first()[0]
+        left = pending.where(F.col("seq") > last).join(apart(granted.select("unique")), "unique", "left_anti")
+        holds = granted.groupBy("key").agg(F.max("held_until").alias("_to"))
+        left = left.join(apart(holds), "key", "left").where(F.col("_to").isNull() | (F.col("seq") > F.col("_to")))
         pending = pin(left.select(*columns))
     if not rounds:
         return lives(pending)
     return reduce(DataFrame.unionByName, rounds)
+
+
+def _round(
+    pending: DataFrame, so_far: DataFrame | None, states: DataFrame, lives: Callable[[DataFrame], DataFrame]
+) -> tuple[DataFrame, DataFrame]:
+    """What no undecided request can affect, granted; and what is open then."""
+    columns = pending.columns
+    head = F.min_by(F.struct("seq", "unique"), "seq").alias("_head")
+    heads = pending.groupBy("key").agg(head).select("key", "_head.*")
+    known = states
+    if so_far is not None:
+        known = known.unionByName(so_far.select("key", F.inline("states")))
+    found = pin(
+        heads.join(apart(known), "key")
+        .where(F.col("at") < F.col("seq"))
+        .groupBy("key", "seq", "unique")
+        .agg(F.max_by("free", "at").alias("free"))
+    )
+    first = pending.groupBy("unique").agg(F.min("seq").alias("seq"))
+    ready = found.where("free").join(apart(first), ["unique", "seq"], "left_semi").select("seq")
+    full = None
+    if not pending.where("tight").isEmpty():
+        places = pin(_places(pending, so_far))
+        ready = ready.join(places.where("not sure"), "seq", "left_anti")
+        full = places.where("full and not sure").select("seq")
+    granted = pin(lives(pending.join(apart(ready), "seq", "left_semi").select(*columns)))
+    left = pending.join(apart(found.where("not free").select("key")), "key", "left_anti")
+    # Unique keys are taken for good, the granted request's own among them.
+    left = left.join(apart(granted.select("unique")), "unique", "left_anti")
+    # A round grants one request per key at most.
+    holds = granted.select("key", F.col("seq").alias("_from"), F.col("held_until").alias("_to"))
+    left = left.join(apart(holds), "key", "left").where(
+        F.col("_from").isNull() | (F.col("seq") < F.col("_from")) | (F.col("seq") > F.col("_to"))
+    )
+    if full is not None:
+        left = left.join(apart(full), "seq", "left_anti")
+    return granted, pin(left.select(*columns))

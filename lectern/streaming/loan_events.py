@@ -263,14 +263,15 @@ def _refusals(facts: DataFrame, granted: DataFrame, changes: DataFrame) -> DataF
 
 
 def apply_events(
-    tables: Collection, events: DataFrame, as_of: date, moment: datetime
+    tables: Collection, events: DataFrame, as_of: date, moment: datetime, run: int = 100_000
 ) -> EventOutcome:
     """The outcome of a batch of events on the current tables, as if they came one by one by ``seq``.
 
     Events on loans that exist depend on nothing else and are folded first; they say when books and
     students' places come free. New loans are then admitted with the ends their own events give them
     (``intervals.grant_intervals``), and the events behind an admitted loan are folded onto it. Where a
-    stream is cut into batches makes no difference. Requests without a ``loan_id`` are refused.
+    stream is cut into batches makes no difference, nor does ``run``, the most requests that one task
+    decides in order at a time. Requests without a ``loan_id`` are refused.
     """
     is_loan = F.col("event") == "loan"
     asked, others = events.where(is_loan), events.where(~is_loan)
@@ -314,6 +315,7 @@ def apply_events(
         ),
         states,
         lambda ready: _lives(ready, on_fresh),
+        run,
     )
     granted = pin(granted)
     steps = granted.select(F.col("key").alias("book_id"), F.posexplode("states").alias("_place", "_state"))

@@ -4,9 +4,11 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import AS_OF, SMALL, day, frame, rows
 from lectern import schemas as S
+from lectern.operators.intervals import NEVER, grant_intervals
 from lectern.sources.collection import Collection
 from lectern.streaming.loan_events import apply_events
 from oracle import statements
@@ -128,7 +130,8 @@ def test_any_cut_equals_one_by_one(spark, seed, books, students, hot):
     books, students, loans, events = made_up(seed, 50, books, students, hot)
     loop = OneByOne(books, students, loans)
     loop.run(events)
-    for parts in (1, 3) if seed == 1 else (1,):
+    # One task decides all requests of a part in order, or two at a time between rounds.
+    for parts, run in ((1, 2), (3, 100_000)) if seed == 1 else ((1, 100_000),):
         state = Collection(
             students=frame(spark, S.STUDENTS, students), shelves=frame(spark, S.SHELVES, []),
             books=frame(spark, S.BOOKS, books), loans=frame(spark, S.LOANS, loans),
@@ -136,7 +139,7 @@ def test_any_cut_equals_one_by_one(spark, seed, books, students, hot):
         reasons, size = {}, -(-len(events) // parts)
         for start in range(0, len(events), size):
             part = events[start : start + size]
-            out = apply_events(state, frame(spark, S.LOAN_EVENTS, random.Random(seed).sample(part, len(part))), AS_OF, MOMENT)
+            out = apply_events(state, frame(spark, S.LOAN_EVENTS, random.Random(seed).sample(part, len(part))), AS_OF, MOMENT, run)
             told = rows(out.result, "seq", "reason")
             assert len(told) == len(part) == len(dict(told))
             reasons.update(told)
@@ -154,6 +157,21 @@ def test_any_cut_equals_one_by_one(spark, seed, books, students, hot):
         assert dict(rows(state.books, "book_id", "status")) == loop.books
 
 
+@pytest.mark.parametrize("run", [1, 100])
+def test_every_request_of_a_pool_takes_its_place(spark, run):
+    """The first two of five requests cannot find the pool full, yet they fill it."""
+    asked = [(i, i, i, 7, 2, i > 2) for i in range(1, 6)]
+    requests = spark.createDataFrame(asked, "seq long, key long, unique long, pool long, room long, tight boolean")
+    states = requests.select("key", F.lit(-NEVER).alias("at"), F.lit(True).alias("free"))
+    back = F.when(F.col("seq") == 1, 3).otherwise(NEVER).cast("long")
+    lent = F.array(F.struct(F.col("seq").alias("at"), F.lit(False).alias("free")))
+    granted = grant_intervals(
+        requests, states, lambda some: some.withColumns({"ends": back, "held_until": back, "states": lent}), run
+    )
+    # The first gives its place back at 3, behind the third request.
+    assert rows(granted, "seq") == [(1,), (2,), (4,)]
+
+
 def test_requests_without_keys_are_refused(spark, seed):
     events = [
         {"seq": 1, "event": "loan", "loan_id": None, "book_id": 1, "student_id": 1, "event_date": AS_OF},
