@@ -6,19 +6,21 @@ Requests carry a total order ``seq`` and claim
 
 A request is granted when all its unique keys are free and its pool has room. In every round the
 requests that no earlier undecided request can affect are granted; those that met a taken key or a
-full pool leave. The first undecided request is always granted, so each round makes progress, and
-the outcome equals that of the one-by-one loop.
+full pool leave. Requests that wait for each other may form chains of any length, so a round also
+goes through a bounded run of the earliest undecided requests in one task. The outcome equals that of
+the one-by-one loop.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators.running import running_total
+from lectern.operators.running import number_rows, running_total
 from lectern.session import apart, pin
 
 # Up to this room, Spark prunes ranked rows before the shuffle, so a plain window is enough.
@@ -68,12 +70,14 @@ def grant(
     pool: str | None = None,
     room: str | None = None,
     most_room: int | None = None,
+    run: int = 100_000,
 ) -> DataFrame:
     """The granted requests: ``seq`` with the ``unique`` and ``pool`` columns.
 
     ``room`` holds the free places of the request's pool, equal on all requests of one pool.
     ``most_room`` is an upper bound of it where one is known. Keys already taken before the batch
-    must have been filtered out.
+    must have been filtered out. ``run`` bounds how many requests one task decides in order at a time;
+    it does not change the outcome.
     """
     claims = [*unique, *([pool] if pool else [])]
     columns = [F.col("seq"), *[F.col(c) for c in claims]]
@@ -84,23 +88,78 @@ def grant(
         pending = pending.where(F.col(pool).isNull() | (F.col("_room") > 0))
     pending = pin(pending)
     rounds = []
-    while not pending.isEmpty():
-        ready = _heads(pending, unique[0], ["seq", *claims]) if unique else pending
-        for key in unique[1:]:
-            ready = ready.join(_heads(pending, key, ["seq"]), "seq", "left_semi")
-        if pool:
-            ready = ready.join(_ranked(pending, pool, most_room), "seq", "left_semi")
-        granted = pin(ready.select("seq", *claims))
+    while n_open := pending.count():
+        if n_open > run:
+            granted = pin(_unaffected(pending, unique, pool, most_room, claims))
+            rounds.append(granted)
+            pending = pin(_left(pending, granted, unique, pool))
+        earliest = pending
+        if n_open > run:
+            earliest = pin(number_rows(pending, "seq", "_place").where(F.col("_place") <= run).drop("_place"))
+        granted = pin(_in_order(earliest, unique, pool))
         rounds.append(granted)
-        left = _without(pending, granted, unique)
-        if pool:
-            used = granted.groupBy(pool).agg(F.count("*").alias("_used"))
-            left = (
-                left.join(apart(used), pool, "left")
-                .withColumn("_room", F.col("_room") - F.coalesce("_used", F.lit(0)))
-                .where(F.col(pool).isNull() | (F.col("_room") > 0))
-            )
-        pending = pin(left.select(*pending.columns))
+        if n_open <= run:
+            break
+        last = earliest.agg(F.max("seq")).first()[0]
+        if last is None:
+            break
+        pending = pin(_left(pending.where(F.col("seq") > last), granted, unique, pool))
     if not rounds:
         return pending.select("seq", *claims)
     return reduce(DataFrame.unionByName, rounds)
+
+
+def _unaffected(
+    pending: DataFrame, unique: Sequence[str], pool: str | None, most_room: int | None, claims: list[str]
+) -> DataFrame:
+    """The pending requests that no earlier one can affect."""
+    ready = _heads(pending, unique[0], ["seq", *claims]) if unique else pending
+    for key in unique[1:]:
+        ready = ready.join(_heads(pending, key, ["seq"]), "seq", "left_semi")
+    if pool:
+        ready = ready.join(_ranked(pending, pool, most_room), "seq", "left_semi")
+    return ready.select("seq", *claims)
+
+
+def _left(pending: DataFrame, granted: DataFrame, unique: Sequence[str], pool: str | None) -> DataFrame:
+    """The pending requests that may still be granted, with the room left to them."""
+    left = _without(pending, granted, unique)
+    if pool:
+        used = granted.groupBy(pool).agg(F.count("*").alias("_used"))
+        left = (
+            left.join(apart(used), pool, "left")
+            .withColumn("_room", F.col("_room") - F.coalesce("_used", F.lit(0)))
+            .where(F.col(pool).isNull() | (F.col("_room") > 0))
+        )
+    return left.select(*pending.columns)
+
+
+def _in_order(earliest: DataFrame, unique: Sequence[str], pool: str | None) -> DataFrame:
+    """The requests to grant, of the earliest pending ones, one after another in one task.
+
+    A later request that was granted before left room for all pending ones before it, so the room at
+    hand is the room of each.
+    """
+    keys = list(unique)
+
+    def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken, used = [set() for _ in keys], {}
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+            rooms = columns.get("_room", [None] * len(batch))
+            pools = columns[pool] if pool else [None] * len(batch)
+            kept = []
+            for claimed, place, room in zip(zip(*(columns[k] for k in ["seq", *keys]), strict=True), pools, rooms, strict=True):
+                claimed = claimed[1:]
+                fits = place is None or used.get(place, 0) < room
+                granted = fits and not any(k in seen for k, seen in zip(claimed, taken, strict=True))
+                kept.append(granted)
+                if granted:
+                    used[place] = used.get(place, 0) + 1
+                    for k, seen in zip(claimed, taken, strict=True):
+                        if k is not None:
+                            seen.add(k)
+            yield batch.filter(pa.array(kept, pa.bool_())).select([c for c in batch.schema.names if c != "_room"])
+
+    schema = earliest.drop("_room").schema
+    return earliest.repartition(1).sortWithinPartitions("seq").mapInArrow(one_by_one, schema)
