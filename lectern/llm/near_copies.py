@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm.columns import Batches, arrow_map, mixed, slices
 from lectern.llm.components import components
-from lectern.session import pin
+from lectern.operators.running import number_rows
+from lectern.session import apart, pin
 
 BLOCK = 256
 _NODE_BITS = np.uint64((1 << 56) - 1)
@@ -133,12 +134,14 @@ def near_copies(
     Texts are linked if the Jaccard similarity of their sets of lower-cased ``n``-word shingles reaches
     ``threshold``; a class is what links connect, named by its smallest ``doc_id``. ``n_links`` counts
     other rows that are linked, copies included, ``n_text_links`` other texts. A text of fewer than
-    ``n`` words is one shingle; null and empty texts link to nothing. ``doc_id`` names a document:
-    repeated rows count as copies. Rows with a null id take no part and are not returned.
+    ``n`` words is one shingle; null and empty texts link to nothing. Repeated rows count as copies. Texts
+    that share an id are texts of their own: each row gets the class and links of its text. Rows with a
+    null id take no part and are not returned, and neither are further columns.
     """
     depth = matched_depth(threshold, trees, label, target)
     family = _hash_family(trees * depth)
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).where("doc_id is not null")
+    rows = rows.withColumn("raw", F.unhex(F.md5("text")))
 
     def sign(batches: Batches) -> Iterable[dict]:
         for whole in batches:
@@ -146,17 +149,24 @@ def near_copies(
                 tokens = [words(t) for t in batch.column("text").to_pylist()]
                 yield {
                     "doc_id": batch.column("doc_id"),
+                    "raw": batch.column("raw"),
                     "key": [xxhash.xxh3_128_digest(" ".join(t)) if t else None for t in tokens],
                     "nodes": [trie_nodes(shingles(t, n), trees, depth, family) if t else None for t in tokens],
                 }
 
-    signed = pin(arrow_map(rows, sign, "doc_id bigint, key binary, nodes array<bigint>"))
-    texts = pin(
-        signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"))
-    )
+    signed = pin(arrow_map(rows, sign, "doc_id bigint, raw binary, key binary, nodes array<bigint>"))
+    counted = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    # Texts are numbered by their smallest id, so the smallest number of a class is of its smallest id.
+    texts = pin(number_rows(counted.withColumn("place", F.struct("low", "key")), "place", "doc").drop("place"))
     first = pin(
-        signed.withColumnRenamed("doc_id", "doc").join(texts, ["doc", "key"]).dropDuplicates(["doc", "key"]).drop("key")
-    )
+        signed.withColumnRenamed("doc_id", "low")
+        .join(texts, ["low", "key"])
+        .groupBy("doc")
+        .agg(
+            F.first("low").alias("low"), F.min("raw").alias("raw"), F.first("copies").alias("copies"),
+            F.first("nodes").alias("nodes"), F.count(F.lit(1)).alias("alike"),
+        )
+    )
     members = first.select("doc", F.explode("nodes").alias("node"))
     groups = (
         members.groupBy("node")
@@ -171,14 +181,14 @@ def near_copies(
         for whole in batches:
             for batch in slices(whole):
                 grams = [shingles(words(t), n).tobytes() for t in batch.column("text").to_pylist()]
-                yield {c: batch.column(c) for c in ("doc", "copies", "nodes")} | {"grams": grams}
+                yield {c: batch.column(c) for c in ("doc", "copies", "nodes", "alike")} | {"grams": grams}
 
-    candidates = (
-        rows.withColumnRenamed("doc_id", "doc")
-        .join(wanted, "doc", "left_semi")
-        .join(first.select("doc", "copies", "nodes"), "doc")
+    candidates = rows.withColumnRenamed("doc_id", "low").join(apart(first.join(wanted, "doc", "left_semi")), ["low", "raw"])
+    gathered = pin(
+        arrow_map(candidates, gather, "doc bigint, copies bigint, nodes array<bigint>, alike bigint, grams binary")
     )
-    sets = pin(arrow_map(candidates, gather, "doc bigint, copies bigint, nodes array<bigint>, grams binary"))
+    # A row that is there several times is one member.
+    sets = gathered.where("alike = 1").unionByName(gathered.where("alike > 1").dropDuplicates(["doc"])).drop("alike")
     blocks = (
         placed.join(sets, "doc")
         .withColumn("block", F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / BLOCK)))
@@ -213,12 +223,14 @@ def near_copies(
     found = pin(arrow_map(inside.union(across), verify, "doc bigint, texts bigint, rows bigint, root bigint"))
     links = found.groupBy("doc").agg(F.sum("texts").alias("texts"), F.sum("rows").alias("rows"))
     roots = components(found.where("doc <> root").select(F.col("doc").alias("a"), F.col("root").alias("b")))
+    heads = roots.select(F.col("root").alias("doc")).distinct().join(texts.select("doc", "low"), "doc")
+    named = roots.join(apart(heads.select(F.col("doc").alias("root"), F.col("low").alias("class_id"))), "root")
     classes = pin(
         texts.join(links, "doc", "left")
-        .join(roots.withColumnRenamed("node", "doc"), "doc", "left")
+        .join(named.select(F.col("node").alias("doc"), "class_id"), "doc", "left")
         .select(
             "key",
-            F.coalesce("root", "doc").alias("class_id"),
+            F.coalesce("class_id", "low").alias("class_id"),
             (F.col("copies") - 1 + F.coalesce("rows", F.lit(0))).alias("n_links"),
             F.coalesce("texts", F.lit(0)).alias("n_text_links"),
         )

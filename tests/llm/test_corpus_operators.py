@@ -121,6 +121,20 @@ def test_near_copies_equal_brute_force(spark, monkeypatch):
     assert near_copies.near_copies(frame.where("false")).count() == 0
 
 
+def test_texts_that_share_an_id_are_told_apart(spark):
+    rng = random.Random(8)
+    one, two = (" ".join(str(rng.randrange(10**6)) for _ in range(60)) for _ in range(2))
+    near = lambda t: t + " end"
+    docs = [(5, one), (5, two), (6, near(one)), (7, near(two)), (7, near(two).upper())] + [(5, one)] * 40 + [(4, near(near(two)))]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    expected = sorted(
+        [(5, 5, 41)] * 41 + [(5, 4, 3), (6, 5, 41), (7, 4, 3), (7, 4, 3), (4, 4, 3)]
+    )
+    for _ in range(2):
+        got = near_copies.near_copies(frame).collect()
+        assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == expected
+
+
 def test_matched_prefix_meets_the_target():
     depth = near_copies.matched_depth(0.8, 24, 8, 0.99999)
     assert 1 - (1 - 0.8**depth) ** 24 >= 0.99999 > 1 - (1 - 0.8 ** (depth + 1)) ** 24
