@@ -1,4 +1,4 @@
-"""Snapshot-to-snapshot changes: patches, deletes, key assignment, audit.
+"""Snapshot-to-snapshot changes: deletes, key assignment, audit.
 
 Built-in file tables have no row updates, so each job reads one snapshot and returns the next. The
 caller writes the result to a new place (see ``sources.loader``).
@@ -7,19 +7,15 @@ caller writes the result to a new place (see ``sources.loader``).
 from __future__ import annotations
 
 from datetime import date, datetime
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.documents import value_json
-from lectern.operators.admission import grant
-from lectern.operators.lookup import by_key
 from lectern.operators.running import number_rows
-from lectern.operators.quality import first_broken, strict_rules
 from lectern.plans.views import is_open, shelf_sizes
-from lectern.schemas import PATCHABLE, PRIMARY_KEY, UNIQUE
-from lectern.session import apart, pin
+from lectern.schemas import PRIMARY_KEY
+from lectern.session import apart
 from lectern.sources.collection import Collection
 
 
@@ -47,123 +43,6 @@ def assign_keys(rows: DataFrame, existing: DataFrame, key: str, order: str = "se
     return numbered.withColumn(key, F.col("_top") + F.col("_number")).drop("_number", "_top")
 
 
-def fold_patches(patches: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """One row per key: for each field the last value set, and whether any patch set it.
-
-    ``set_fields`` names the fields a patch sets, so that a field can be set to null; without that
-    column every field present in ``patches`` counts as set.
-    """
-    last = []
-    for f in fields:
-        is_set = (
-            F.array_contains("set_fields", f) if "set_fields" in patches.columns else F.lit(True)
-        )
-        at = F.when(is_set, F.col("seq"))
-        last += [
-            F.max_by(f, at).alias(f"_{f}"),
-            F.max(at).isNotNull().alias(f"_{f}_set"),
-        ]
-    return patches.groupBy(key).agg(F.max("seq").alias("_seq"), *last)
-
-
-def _refused_values(
-    base: DataFrame, patched: DataFrame, key: str, unique: list[str], references: dict[str, DataFrame]
-) -> DataFrame:
-    """``key`` and ``_refusal`` of sound patched rows that may not have the values they ask for.
-
-    A unique value is free if no other row holds it before the batch; of several rows that ask for it,
-    the one patched first gets it. A reference has to exist.
-    """
-    refusals = [patched.select(key).limit(0).withColumn("_refusal", F.lit("").cast("string"))]
-    for column, target in references.items():
-        asked = patched.where(F.col(column).isNotNull()).select(key, column)
-        missing = asked.join(apart(target.select(column).distinct()), column, "left_anti")
-        refusals.append(missing.select(key, F.lit(f"{column.removesuffix('_id')}_not_found").alias("_refusal")))
-    claims = patched.select(
-        key,
-        F.col("_seq").alias("seq"),
-        *[F.when(~F.col(c).eqNullSafe(F.col(f"_old_{c}")), F.col(c)).alias(c) for c in unique],
-    )
-    for column in unique:
-        holders = by_key(base, claims.where(F.col(column).isNotNull()), column)
-        held = holders.groupBy(column).agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
-        taken = claims.join(apart(held), column).where(
-            (F.col("_low") != F.col(key)) | (F.col("_high") != F.col(key))
-        )
-        refusals.append(taken.select(key, F.lit(f"{column}_taken").alias("_refusal")))
-    refused = pin(
-        reduce(
-            DataFrame.unionByName,
-            [r.withColumn("_place", F.lit(i)) for i, r in enumerate(refusals)],
-        )
-        .groupBy(key)
-        .agg(F.min_by("_refusal", "_place").alias("_refusal"))
-    )
-    if not unique:
-        return refused
-    asking = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in unique])
-    free = pin(claims.where(asking).join(apart(refused.select(key)), key, "left_anti"))
-    granted = grant(free.select("seq", *unique), unique=unique)
-    late = free.join(apart(granted.select("seq")), "seq", "left_anti")
-    name = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(f"{c}_taken")) for c in unique])
-    return refused.unionByName(late.select(key, name.alias("_refusal")))
-
-
-def update_rows(
-    base: DataFrame,
-    patches: DataFrame,
-    table: str,
-    as_of: date,
-    moment: datetime | None = None,
-    references: dict[str, DataFrame] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Apply patches ``seq, <key>, <fields...>[, set_fields]``; returns ``(snapshot, result)``.
-
-    Only patchable fields change. The patches of one key are taken together: if the row they lead to
-    breaks a rule of the table, asks for a unique value that is not free, or for a row that
-    ``references`` (column: table with that column) lacks, the row stays as it was. ``result`` has one
-    row per patched key with ``updated``, false for an unknown key, a patch that sets nothing or a
-    refused one, and ``reason``.
-    """
-    key = PRIMARY_KEY[table]
-    fields = [f for f in PATCHABLE[table] if f in patches.columns]
-    folded = fold_patches(patches, key, fields)
-    any_set = F.lit(False)
-    for f in fields:
-        any_set = any_set | F.coalesce(F.col(f"_{f}_set"), F.lit(False))
-    kinds = {f.name: f.dataType for f in base.schema}
-    unique = [c for c in UNIQUE[table] if c in fields]
-    before = by_key(base, patches, key).withColumns({f"_old_{c}": F.col(c) for c in unique})
-    patched = before.join(folded, key).withColumns(
-        {
-            f: F.when(F.col(f"_{f}_set"), F.col(f"_{f}")).otherwise(F.col(f)).cast(kinds[f])
-            for f in fields
-        }
-    )
-    reason = F.when(~any_set, "nothing_set").otherwise(first_broken(strict_rules(table, as_of)))
-    judged = pin(
-        patched.withColumn("reason", reason)
-        .withColumns(touched(F.lit(True), moment))
-        .select(*base.columns, "reason", "_seq", *[f"_old_{c}" for c in unique])
-    )
-    asked = {c: t for c, t in (references or {}).items() if c in fields}
-    if unique or asked:
-        sound = judged.where(F.col("reason").isNull())
-        refused = _refused_values(base, sound, key, unique, asked)
-        judged = pin(
-            judged.join(apart(refused), key, "left").withColumn("reason", F.coalesce("reason", "_refusal"))
-        )
-    changed = judged.where(F.col("reason").isNull()).select(*base.columns)
-    kept = base.join(changed.select(key), key, "left_anti").select(*base.columns)
-    result = (
-        folded.select(key)
-        .join(judged.select(key, "reason", F.lit(True).alias("_known")), key, "left")
-        .withColumn("reason", F.when(F.col("_known").isNull(), "not_found").otherwise(F.col("reason")))
-        .select(key, F.col("reason").isNull().alias("updated"), "reason")
-    )
-    return kept.unionByName(changed), result
-
-
 def delete_students(tables: Collection, keys: DataFrame, moment: datetime | None = None) -> Collection:
     """Remove students and their loans; books that were out on those loans become available."""
     keys = apart(keys.select("student_id").distinct())

@@ -26,53 +26,64 @@ def running_total(
 
     ``order`` must be unique and group columns not null.
     """
-    return _running(df, group, order, weight.cast("long"), name, F.sum, lambda a, b: a + b, 0)
+    return _running(df, group, order, {name: weight.cast("long")}, F.sum, lambda a, b: a + b, 0)
 
 
 def running_max(
     df: DataFrame, group: Sequence[str], order: str, value: Column, name: str
 ) -> DataFrame:
     """Adds ``name``: the largest ``value`` of the group's rows up to and including this one, or null."""
-    return _running(df, group, order, value, name, F.max, F.greatest, None)
+    return _running(df, group, order, {name: value}, F.max, F.greatest, None)
+
+
+def largest_before(df: DataFrame, group: Sequence[str], order: str, values: dict[str, Column]) -> DataFrame:
+    """Adds, under each name, the largest such value of the group's rows before this one, or null."""
+    return _running(df, group, order, values, F.max, F.greatest, None, end=-1)
 
 
 def _running(
     df: DataFrame,
     group: Sequence[str],
     order: str,
-    value: Column,
-    name: str,
+    values: dict[str, Column],
     total: Callable[[Column], Column],
     combine: Callable[[Column, Column], Column],
     start: int | None,
+    end: int = Window.currentRow,
 ) -> DataFrame:
     group = list(group)
-    weighed = df.withColumns({"_weight": value})
+    places = range(len(values))
+    weighed = df.withColumns({f"_weight{i}": v for i, v in enumerate(values.values())})
     # The slice number depends on sampled range bounds, so it is written down before use.
     sliced = pin(
         weighed.repartitionByRange(*group, order).withColumn("_slice", F.spark_partition_id())
     )
-    in_slice = Window.partitionBy(*group, "_slice").orderBy(order)
+    in_slice = (
+        Window.partitionBy(*group, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, end)
+    )
     # At most one row per group and slice: the slice count bounds this window.
     earlier = (
         Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     )
     before = (
         sliced.groupBy(*group, "_slice")
-        .agg(total("_weight").alias("_slice_total"))
-        .withColumn("_before", F.coalesce(total("_slice_total").over(earlier), F.lit(start)))
-        .drop("_slice_total")
+        .agg(*[total(f"_weight{i}").alias(f"_slice_total{i}") for i in places])
+        .select(
+            *group,
+            "_slice",
+            *[
+                F.coalesce(total(f"_slice_total{i}").over(earlier), F.lit(start)).alias(f"_before{i}")
+                for i in places
+            ],
+        )
     )
     return (
-        sliced.withColumn(
-            "_within",
-            total("_weight").over(
-                in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ),
-        )
+        sliced.withColumns({f"_within{i}": total(f"_weight{i}").over(in_slice) for i in places})
         .join(before, [*group, "_slice"])
-        .withColumn(name, combine(F.col("_before"), F.col("_within")))
-        .select(*df.columns, name)
+        .withColumns(
+            {name: combine(F.col(f"_before{i}"), F.col(f"_within{i}")) for i, name in enumerate(values)}
+        )
+        .select(*df.columns, *values)
     )
 
 

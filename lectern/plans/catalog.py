@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from lectern.functions import formats, text
 from lectern.functions.dates import due_date, lenient_date, month_label, month_start
 from lectern.functions.documents import row_json, value_json
-from lectern.operators import changes, circulation, ingest, lookup, quality, shelving
+from lectern.operators import changes, circulation, ingest, lookup, patches, quality, shelving
 from lectern.plans import listings, reports, sql_functions, views
 from lectern.schemas import AUDIT_LOG
 from lectern.session import pin, scratch_path
@@ -502,33 +502,35 @@ over_tables("p4_fix_capacity_counts", lambda t: shelving.fix_capacity_counts(t,
 
 over_batches(
     "w1_students_after_patches",
-    lambda t, b: changes.update_rows(
-        t.students, b.student_patches(), "students", ENROLLED_BY, MOMENT
-    )[0],
+    lambda t, b: patches.apply_patches(t, b.student_patches(), "students", ENROLLED_BY, MOMENT)[0].students,
 )
 over_batches(
     "w1_patch_result",
-    lambda t, b: changes.update_rows(t.students, b.student_patches(), "students", ENROLLED_BY)[1],
+    lambda t, b: patches.apply_patches(t, b.student_patches(), "students", ENROLLED_BY)[1],
 )
 over_batches(
     "w1_email_patch_result",
-    lambda t, b: changes.update_rows(t.students, b.email_patches(), "students", ENROLLED_BY)[1],
+    lambda t, b: patches.apply_patches(t, b.email_patches(), "students", ENROLLED_BY)[1],
 )
 over_batches(
     "w1_emails_after_patches",
-    lambda t, b: changes.update_rows(t.students, b.email_patches(), "students", ENROLLED_BY)[
-        0
-    ].select("student_id", "email"),
+    lambda t, b: patches.apply_patches(t, b.email_patches(), "students", ENROLLED_BY)[0].students.select(
+        "student_id", "email"
+    ),
 )
 over_batches(
     "w1_shelf_code_result",
-    lambda t, b: changes.update_rows(t.shelves, b.code_patches(), "shelves", AS_OF)[1],
+    lambda t, b: patches.apply_patches(t, b.code_patches(), "shelves", AS_OF)[1],
 )
 over_batches(
     "w1_book_shelf_result",
-    lambda t, b: changes.update_rows(
-        t.books, b.shelf_patches(), "books", AS_OF, references={"shelf_id": t.shelves}
-    )[1],
+    lambda t, b: patches.apply_patches(t, b.shelf_patches(), "books", AS_OF)[1],
+)
+over_batches(
+    "w1_shelves_after_book_patches",
+    lambda t, b: patches.apply_patches(t, b.shelf_patches(), "books", AS_OF)[0].shelves.select(
+        "shelf_id", "current_book_count"
+    ),
 )
 over_tables(
     "w2_loans_after_student_delete",

@@ -1197,7 +1197,7 @@ sql(
         LEFT JOIN shelves s ON p.shelf_id = s.shelf_id))
     """,
 )
-MOVED = """
+CHECKED_MOVES = """
 checked AS (
   SELECT m.*, b.shelf_id AS old_shelf, s.total_capacity - s.current_book_count AS free,
          CASE WHEN b.book_id IS NULL THEN 'book_not_found'
@@ -1206,7 +1206,8 @@ checked AS (
               WHEN s.shelf_id IS NULL THEN 'shelf_not_found' END AS unsound
   FROM moves m LEFT JOIN books b ON m.book_id = b.book_id
   LEFT JOIN shelves s ON m.shelf_id = s.shelf_id
-),
+)"""
+WALKED = """
 line AS (
   SELECT row_number() OVER (ORDER BY seq) AS n, seq, book_id, shelf_id, old_shelf FROM checked WHERE unsound IS NULL
 ),
@@ -1232,6 +1233,7 @@ moved AS (
          CASE WHEN c.unsound IS NOT NULL THEN c.unsound WHEN NOT w.ok THEN 'shelf_full' END AS reason
   FROM checked c LEFT JOIN walk w ON c.seq = w.seq
 )"""
+MOVED = CHECKED_MOVES + "," + WALKED
 batch_sql(
     "p2_moves_result",
     "SELECT seq, book_id, shelf_id, reason IS NULL AS accepted, reason FROM moved",
@@ -1283,128 +1285,145 @@ sql(
 
 # Changes and audit
 
-FOLDED = f"""
-folded AS (
-  SELECT student_id, arg_max(program, seq) AS program, bool_or(clears_phone) AS clears_phone
-  FROM patches GROUP BY student_id
+PATCHED = f"""
+steps AS (
+  SELECT p.*, row_number() OVER (PARTITION BY student_id ORDER BY seq) AS n FROM patches p
 ),
-patched AS (
-  SELECT *, {first_broken(student_checks(2025))} AS reason
-  FROM (SELECT s.* REPLACE (f.program AS program,
-                            CASE WHEN f.clears_phone THEN NULL ELSE s.phone END AS phone,
-                            {MOMENT} AS updated_at)
-        FROM students s JOIN folded f ON s.student_id = f.student_id)
+-- Patch by patch: what each student's program and phone are after the nth one.
+walk(student_id, n, seq, program, phone, reason) AS (
+  SELECT student_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), program, phone, CAST(NULL AS VARCHAR) FROM students
+  UNION ALL
+  SELECT student_id, n, seq, CASE WHEN reason IS NULL THEN program ELSE was_program END,
+         CASE WHEN reason IS NULL THEN phone ELSE was_phone END, reason
+  FROM (
+    SELECT *, {first_broken(student_checks(2025))} AS reason
+    FROM (SELECT s.* REPLACE (p.program AS program, CASE WHEN p.clears_phone THEN NULL ELSE w.phone END AS phone),
+                 p.n, p.seq, w.program AS was_program, w.phone AS was_phone
+          FROM walk w JOIN steps p ON p.student_id = w.student_id AND p.n = w.n + 1
+          JOIN students s ON s.student_id = w.student_id))
 )"""
 batch_sql(
     "w1_students_after_patches",
-    """
-    SELECT * EXCLUDE (reason) FROM patched WHERE reason IS NULL
-    UNION ALL SELECT * FROM students
-    WHERE student_id NOT IN (SELECT student_id FROM patched WHERE reason IS NULL)
+    f"""
+    SELECT s.* REPLACE (w.program AS program, w.phone AS phone,
+                        CASE WHEN w.changed THEN {MOMENT} ELSE s.updated_at END AS updated_at)
+    FROM students s JOIN (
+      SELECT *, bool_or(n > 0 AND reason IS NULL) OVER (PARTITION BY student_id) AS changed,
+             row_number() OVER (PARTITION BY student_id ORDER BY n DESC) AS back
+      FROM walk) w ON s.student_id = w.student_id AND w.back = 1
     """,
-    FOLDED,
+    PATCHED,
 )
 batch_sql(
     "w1_patch_result",
     """
-    SELECT student_id, reason IS NULL AS updated, reason FROM (
-      SELECT f.student_id, CASE WHEN p.student_id IS NULL THEN 'not_found' ELSE p.reason END
-             AS reason
-      FROM folded f LEFT JOIN patched p ON f.student_id = p.student_id)
-    """,
-    FOLDED,
-)
-EMAILED = f"""
-asked_emails AS (
-  SELECT student_id, arg_max(email, seq) AS email, max(seq) AS seq FROM (
-    SELECT event_id AS seq, event_id * 7 % ((SELECT COUNT(*) FROM customer) + 20) AS student_id,
-           CASE WHEN event_id % 2 = 0
-                THEN 'customer.' || lpad(CAST(event_id * 11 % 60 AS VARCHAR), 9, '0') || '@example.org'
-                ELSE 'new.' || (event_id % 40) || '@example.org' END AS email
-    FROM events) GROUP BY student_id
+    SELECT seq, student_id, reason IS NULL AS updated, reason FROM (
+      SELECT p.seq, p.student_id, CASE WHEN w.seq IS NULL THEN 'not_found' ELSE w.reason END AS reason
+      FROM patches p LEFT JOIN walk w ON p.seq = w.seq)
+    """,
+    PATCHED,
+)
+
+
+def value_walk(table: str, key: str, column: str, checks: list) -> str:
+    """Patch by patch over ``asked``: who has each asked value, and what the rows patched so far have."""
+    return f"""
+checked AS (
+  SELECT a.seq, a.{key}, a.{column}, s.was, CASE WHEN s.was IS NULL THEN 'not_found' ELSE s.broken END AS unsound
+  FROM asked a LEFT JOIN (
+    SELECT *, {first_broken(checks)} AS broken
+    FROM (SELECT t.* REPLACE (a.{column} AS {column}), a.seq, t.{column} AS was
+          FROM {table} t JOIN asked a ON t.{key} = a.{key})) s ON a.seq = s.seq
 ),
-emailed AS (
-  SELECT *, {first_broken(student_checks(2025))} AS broken FROM (
-    SELECT s.* REPLACE (a.email AS email), a.seq, s.email AS old_email
-    FROM students s JOIN asked_emails a ON s.student_id = a.student_id)
+line AS (
+  SELECT row_number() OVER (ORDER BY seq) AS n, seq, CAST({key} AS BIGINT) AS k, {column} AS v, was
+  FROM checked WHERE unsound IS NULL
+),
+walk(n, seq, holders, has, ok) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT),
+         (SELECT map_from_entries(list((v, k))) FROM (
+            SELECT DISTINCT l.v, CAST(t.{key} AS BIGINT) AS k FROM line l LEFT JOIN {table} t ON t.{column} = l.v)),
+         CAST(MAP {{}} AS MAP(BIGINT, VARCHAR)), CAST(NULL AS BOOLEAN)
+  UNION ALL
+  SELECT n, seq,
+         CASE WHEN NOT ok OR now = v THEN holders
+              WHEN list_contains(map_keys(holders), now)
+              THEN map_concat(holders, MAP {{v: k, now: CAST(NULL AS BIGINT)}})
+              ELSE map_concat(holders, MAP {{v: k}}) END,
+         CASE WHEN ok THEN map_concat(has, MAP {{k: v}}) ELSE has END, ok
+  FROM (
+    SELECT *, COALESCE(holders[v], k) = k AS ok
+    FROM (SELECT l.n, l.seq, l.k, l.v, holders, has, COALESCE(has[l.k], l.was) AS now
+          FROM walk w JOIN line l ON l.n = w.n + 1))
 ),
-judged_emails AS (
-  SELECT e.student_id, e.email, CASE
-      WHEN broken IS NOT NULL THEN broken
-      WHEN email IS NOT DISTINCT FROM old_email THEN NULL
-      WHEN EXISTS (SELECT 1 FROM students o WHERE o.email = e.email AND o.student_id <> e.student_id)
-      THEN 'email_taken'
-      WHEN EXISTS (SELECT 1 FROM emailed o WHERE o.email = e.email AND o.seq < e.seq
-                   AND o.broken IS NULL AND o.email IS DISTINCT FROM o.old_email)
-      THEN 'email_taken' END AS reason
-  FROM emailed e
+judged AS (
+  SELECT c.*, CASE WHEN unsound IS NOT NULL THEN unsound WHEN NOT w.ok THEN '{column}_taken' END AS reason
+  FROM checked c LEFT JOIN walk w ON c.seq = w.seq
 )"""
+
+
+EMAILED = """
+asked AS (
+  SELECT event_id AS seq, event_id * 7 % ((SELECT COUNT(*) FROM customer) + 20) AS student_id,
+         CASE WHEN event_id % 2 = 0
+              THEN 'customer.' || lpad(CAST(event_id * 11 % 60 AS VARCHAR), 9, '0') || '@example.org'
+              ELSE 'new.' || (event_id % 40) || '@example.org' END AS email
+  FROM events
+),""" + value_walk("students", "student_id", "email", student_checks(2025))
 batch_sql(
     "w1_email_patch_result",
-    """
-    SELECT a.student_id, reason IS NULL AS updated, reason FROM (
-      SELECT a.student_id, CASE WHEN j.student_id IS NULL THEN 'not_found' ELSE j.reason END AS reason
-      FROM asked_emails a LEFT JOIN judged_emails j ON a.student_id = j.student_id) a
-    """,
+    "SELECT seq, student_id, reason IS NULL AS updated, reason FROM judged",
     EMAILED,
 )
 batch_sql(
     "w1_emails_after_patches",
     """
     SELECT s.student_id, COALESCE(j.email, s.email) AS email FROM students s
-    LEFT JOIN (SELECT * FROM judged_emails WHERE reason IS NULL) j ON s.student_id = j.student_id
+    LEFT JOIN (SELECT student_id, max_by(email, seq) AS email FROM judged
+               WHERE reason IS NULL GROUP BY student_id) j ON s.student_id = j.student_id
     """,
     EMAILED,
 )
 batch_sql(
     "w1_shelf_code_result",
+    "SELECT seq, shelf_id, reason IS NULL AS updated, reason FROM judged",
     """
-    SELECT shelf_id, reason IS NULL AS updated, reason FROM (
-      SELECT a.shelf_id, CASE WHEN c.shelf_id IS NULL THEN 'not_found'
-          WHEN broken IS NOT NULL THEN broken
-          WHEN c.location_code = c.old_code THEN NULL
-          WHEN EXISTS (SELECT 1 FROM shelves o WHERE o.location_code = c.location_code
-                       AND o.shelf_id <> c.shelf_id) THEN 'location_code_taken'
-          WHEN EXISTS (SELECT 1 FROM coded o WHERE o.location_code = c.location_code
-                       AND o.seq < c.seq AND o.broken IS NULL
-                       AND o.location_code <> o.old_code) THEN 'location_code_taken' END AS reason
-      FROM asked_codes a LEFT JOIN coded c ON a.shelf_id = c.shelf_id)
-    """,
-    f"""
-asked_codes AS (
-  SELECT shelf_id, arg_max(location_code, seq) AS location_code, max(seq) AS seq FROM (
-    SELECT event_id AS seq, event_id * 3 % ((SELECT COUNT(*) FROM supplier) + 3) AS shelf_id,
-           chr(CAST(65 + event_id % 3 AS INTEGER)) || (event_id % 10) AS location_code
-    FROM events) GROUP BY shelf_id
+asked AS (
+  SELECT event_id AS seq, event_id * 3 % ((SELECT COUNT(*) FROM supplier) + 3) AS shelf_id,
+         chr(CAST(65 + event_id % 3 AS INTEGER)) || (event_id % 10) AS location_code
+  FROM events
+),""" + value_walk("shelves", "shelf_id", "location_code", SHELF_CHECKS),
+)
+RESHELVED = f"""
+asked AS (
+  SELECT event_id AS seq, event_id * 3 % ((SELECT COUNT(*) FROM part) + 20) AS book_id,
+         event_id * 7 % ((SELECT COUNT(*) FROM supplier) + 5) AS shelf_id
+  FROM events
 ),
-coded AS (
-  SELECT *, {first_broken(SHELF_CHECKS)} AS broken FROM (
-    SELECT s.* REPLACE (a.location_code AS location_code), a.seq, s.location_code AS old_code
-    FROM shelves s JOIN asked_codes a ON s.shelf_id = a.shelf_id)
-)""",
-)
+checked AS (
+  SELECT a.*, b.old_shelf, CASE WHEN b.seq IS NULL THEN 'not_found' WHEN b.broken IS NOT NULL THEN b.broken
+         WHEN s.shelf_id IS NULL THEN 'shelf_not_found' END AS unsound
+  FROM asked a LEFT JOIN (
+    SELECT *, {first_broken(BOOK_CHECKS)} AS broken
+    FROM (SELECT t.* REPLACE (a.shelf_id AS shelf_id), a.seq, t.shelf_id AS old_shelf
+          FROM books t JOIN asked a ON t.book_id = a.book_id)) b ON a.seq = b.seq
+  LEFT JOIN shelves s ON a.shelf_id = s.shelf_id
+),""" + WALKED
 batch_sql(
     "w1_book_shelf_result",
+    "SELECT seq, book_id, reason IS NULL AS updated, reason FROM moved",
+    RESHELVED,
+)
+batch_sql(
+    "w1_shelves_after_book_patches",
     """
-    SELECT book_id, reason IS NULL AS updated, reason FROM (
-      SELECT a.book_id, CASE WHEN p.book_id IS NULL THEN 'not_found'
-          WHEN broken IS NOT NULL THEN broken
-          WHEN (SELECT COUNT(*) FROM shelves s WHERE s.shelf_id = p.shelf_id) = 0
-          THEN 'shelf_not_found' END AS reason
-      FROM asked_shelves a LEFT JOIN put p ON a.book_id = p.book_id)
+    SELECT s.shelf_id, CAST(s.current_book_count
+      + (SELECT COUNT(*) FROM moved m WHERE m.reason IS NULL AND m.shelf_id = s.shelf_id)
+      - (SELECT COUNT(*) FROM moved m WHERE m.reason IS NULL AND m.old_shelf = s.shelf_id)
+      AS INTEGER) AS current_book_count
+    FROM shelves s
     """,
-    f"""
-asked_shelves AS (
-  SELECT book_id, arg_max(shelf_id, seq) AS shelf_id FROM (
-    SELECT event_id AS seq, event_id * 3 % ((SELECT COUNT(*) FROM part) + 20) AS book_id,
-           event_id * 7 % ((SELECT COUNT(*) FROM supplier) + 5) AS shelf_id
-    FROM events) GROUP BY book_id
-),
-put AS (
-  SELECT *, {first_broken(BOOK_CHECKS)} AS broken FROM (
-    SELECT b.* REPLACE (a.shelf_id AS shelf_id)
-    FROM books b JOIN asked_shelves a ON b.book_id = a.book_id)
-)""",
+    RESHELVED,
 )
 GONE = "(SELECT student_id FROM students WHERE status = 'inactive')"
 sql("w2_loans_after_student_delete", f"SELECT * FROM loans WHERE student_id NOT IN {GONE}")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import AS_OF, day, frame, rows
 from lectern import schemas as S
-from lectern.operators import changes, circulation, ingest, quality, shelving
+from lectern.operators import changes, circulation, ingest, patches, quality, shelving
 from lectern.operators.admission import grant
 from lectern.operators.exclusive import granted_openings
 from lectern.operators.running import number_rows, running_total
@@ -280,20 +280,98 @@ def test_status_setting(spark, seed):
 def test_patches_keep_unique_values_and_references(spark, seed):
     asked = spark.createDataFrame(
         [(1, 2, "reader1@example.org"), (2, 3, "fresh@example.org"), (3, 4, "fresh@example.org"),
-         (4, 5, "reader5@example.org"), (5, 77, "x@example.org"), (6, 1, "bad")],
+         (4, 5, "reader5@example.org"), (5, 77, "x@example.org"), (6, 1, "bad"), (7, 3, "other@example.org"),
+         (8, 4, "fresh@example.org"), (9, 4, "bad")],
         "seq long, student_id long, email string",
     )
-    after, result = changes.update_rows(seed.students, asked, "students", AS_OF)
-    found = dict(rows(result, "student_id", "reason"))
-    assert found.pop(1) is not None
-    assert found == {2: "email_taken", 3: None, 4: "email_taken", 5: None, 77: "not_found"}
-    emails = dict(rows(after, "student_id", "email"))
-    assert len(set(emails.values())) == 5 and emails[3] == "fresh@example.org"
+    after, result = patches.apply_patches(seed, asked, "students", AS_OF)
+    found = dict(rows(result, "seq", "reason"))
+    assert found.pop(6) == found.pop(9) == "email_format"
+    assert found == {1: "email_taken", 2: None, 3: "email_taken", 4: None, 5: "not_found", 7: None, 8: None}
+    emails = dict(rows(after.students, "student_id", "email"))
+    assert len(set(emails.values())) == 5 and (emails[3], emails[4]) == ("other@example.org", "fresh@example.org")
     moved = spark.createDataFrame([(1, 1, 2), (2, 2, 999999)], "seq long, book_id long, shelf_id long")
-    after, result = changes.update_rows(
-        seed.books, moved, "books", AS_OF, references={"shelf_id": seed.shelves}
-    )
+    after, result = patches.apply_patches(seed, moved, "books", AS_OF)
     assert dict(rows(result, "book_id", "reason")) == {1: None, 2: "shelf_not_found"}
+    before = dict(rows(seed.shelves, "shelf_id", "current_book_count"))
+    counts = dict(rows(after.shelves, "shelf_id", "current_book_count"))
+    was = dict(rows(seed.books, "book_id", "shelf_id"))[1]
+    assert {k: counts[k] - before[k] for k in counts if counts[k] != before[k]} == {was: -1, 2: 1}
+    nothing = spark.createDataFrame([(1, 1, "x")], "seq long, book_id long, created_at string")
+    assert rows(patches.apply_patches(seed, nothing, "books", AS_OF)[1], "reason") == [("nothing_set",)]
+    none, result = patches.apply_patches(seed, asked.limit(0), "students", AS_OF)
+    assert result.count() == 0 and rows(none.students) == rows(seed.students)
+
+
+def patched_books(books, room, batch):
+    """Reasons, books and shelf counts after patches of isbn, kind and shelf, one after another."""
+    books, room, reasons = {k: dict(v) for k, v in books.items()}, dict(room), {}
+    for seq, book, new in batch:
+        if book not in books:
+            reasons[seq] = "not_found"
+            continue
+        old = books[book]
+        row = {**old, **new}
+        spots = [r["shelf_id"] if r["book_type"] == "physical" else None for r in (old, row)]
+        reason = None
+        if not new:
+            reason = "nothing_set"
+        elif row["book_type"] == "physical" and row["shelf_id"] is None:
+            reason = "physical_without_shelf"
+        elif row["book_type"] == "digital" and row["shelf_id"] is not None:
+            reason = "digital_with_shelf"
+        elif new.get("shelf_id") is not None and new["shelf_id"] not in room:
+            reason = "shelf_not_found"
+        elif row["isbn"] is not None and any(b["isbn"] == row["isbn"] for k, b in books.items() if k != book):
+            reason = "isbn_taken"
+        elif spots[1] is not None and spots[0] != spots[1] and room[spots[1]] <= 0:
+            reason = "shelf_full"
+        reasons[seq] = reason
+        if reason is None:
+            books[book] = row
+            for spot, step in zip(spots, (1, -1), strict=True):
+                if spot is not None:
+                    room[spot] += step
+    return reasons, books, room
+
+
+@pytest.mark.parametrize("run", [7, 100_000])
+def test_patches_equal_the_loop(spark, run):
+    rng = random.Random(run)
+    codes = [None, *(f"978000000000{i}" for i in range(5))]
+    books = {
+        i: {"isbn": codes[i] if i < 6 else None, "book_type": "digital" if i % 3 == 0 else "physical",
+            "shelf_id": None if i % 3 == 0 else 1 + i % 3}
+        for i in range(1, 13)
+    }
+    full = {s: sum(b["shelf_id"] == s for b in books.values()) for s in (1, 2, 3)}
+    spare = {1: 0, 2: 1, 3: 2}
+    shelves = frame(spark, S.SHELVES, [
+        {"shelf_id": s, "location_code": f"A{s}", "total_capacity": full[s] + spare[s], "current_book_count": full[s]} for s in full])
+    table = frame(spark, S.BOOKS, [{"book_id": k, "title": "t", "author": "a", "status": "available", **v} for k, v in books.items()])
+    empty = {n: frame(spark, t, []) for n, t in (("students", S.STUDENTS), ("loans", S.LOANS))}
+    tables = Collection(books=table, shelves=shelves, **empty)
+    batch = []
+    for seq in range(1, 61):
+        new = {}
+        if rng.random() < 0.4:
+            new["isbn"] = rng.choice(codes)
+        if rng.random() < 0.3:
+            new["book_type"] = rng.choice(["physical", "digital"])
+        if rng.random() < 0.6:
+            new["shelf_id"] = rng.choice([None, 1, 2, 3, 9]) if rng.random() < 0.5 else rng.choice([1, 2, 3])
+        batch.append((seq, 1 if rng.random() < 0.3 else rng.randint(1, 13), new))
+    reasons, expected, room = patched_books(books, spare, batch)
+    asked = spark.createDataFrame(
+        [(s, b, n.get("isbn"), n.get("book_type"), n.get("shelf_id"), list(n)) for s, b, n in batch],
+        "seq long, book_id long, isbn string, book_type string, shelf_id long, set_fields array<string>",
+    )
+    after, result = patches.apply_patches(tables, asked, "books", AS_OF, run=run)
+    assert dict(rows(result, "seq", "reason")) == reasons
+    found = {r.book_id: {"isbn": r.isbn, "book_type": r.book_type, "shelf_id": r.shelf_id} for r in after.books.collect()}
+    assert found == expected
+    counts = dict(rows(after.shelves, "shelf_id", "current_book_count"))
+    assert {s: full[s] + spare[s] - counts[s] for s in counts} == room
 
 
 def test_openings_equal_the_loop(spark):
@@ -495,20 +573,20 @@ def test_shelf_deltas_agree_with_a_recount(spark, seed):
 
 
 def test_patches(spark, seed):
-    patches = spark.createDataFrame(
+    asked = spark.createDataFrame(
         [(1, 1, "X", None, ["program"]), (2, 1, "Y", None, ["program"]), (3, 1, "Z", None, ["phone"]),
          (4, 2, None, None, ["program"]), (5, 3, "Q", "1234567", []), (6, 99, "Q", None, ["program"]),
-         (7, 4, "Q", "call me", ["program", "phone"])],
+         (7, 4, "P", None, ["program"]), (8, 4, "Q", "call me", ["program", "phone"])],
         "seq long, student_id long, program string, phone string, set_fields array<string>",
     )
-    after, result = changes.update_rows(seed.students, patches, "students", AS_OF, MOMENT)
-    found = {r.student_id: (r.program, r.phone, r.updated_at) for r in after.collect()}
+    after, result = patches.apply_patches(seed, asked, "students", AS_OF, MOMENT)
+    found = {r.student_id: (r.program, r.phone, r.updated_at) for r in after.students.collect()}
     assert found[1] == ("Y", None, MOMENT) and found[2] == (None, None, MOMENT)
-    assert found[3] == ("Programme B", None, None) and found[4] == ("Programme B", None, None)
+    assert found[3] == ("Programme B", None, None) and (found[4][0], found[4][2]) == ("P", MOMENT)
     assert len(found) == 5
-    assert rows(result) == [
-        (1, True, None), (2, True, None), (3, False, "nothing_set"), (4, False, "phone_format"),
-        (99, False, "not_found"),
+    assert rows(result, "seq", "updated", "reason") == [
+        (1, True, None), (2, True, None), (3, True, None), (4, True, None), (5, False, "nothing_set"),
+        (6, False, "not_found"), (7, True, None), (8, False, "phone_format"),
     ]
 
 
