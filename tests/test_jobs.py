@@ -622,3 +622,55 @@ def test_audit_replay(seed):
     assert changes.audit_diff(seed.loans, seed.loans, "loans", MOMENT).count() == 0
     log = changes.append_audit(seed.loans.sparkSession.createDataFrame([], S.AUDIT_LOG), audit)
     assert rows(log, "log_id", "operation") == [(1, "DELETE"), (2, "UPDATE"), (3, "INSERT")]
+
+
+def test_a_long_batch_of_patches_is_judged_once(spark, monkeypatch):
+    """Codes go from shelf to shelf, so each patch waits for those before it; some shelves break a rule until mended."""
+    shelves = [
+        {"shelf_id": s, "location_code": f"A{s}", "section": "" if s % 3 == 0 else "s", "main_topic": "t", "total_capacity": 5,
+         "current_book_count": 0}
+        for s in range(1, 10)
+    ]
+    empty = {n: frame(spark, t, []) for n, t in (("students", S.STUDENTS), ("loans", S.LOANS), ("books", S.BOOKS))}
+    tables = Collection(shelves=frame(spark, S.SHELVES, shelves), **empty)
+    rng = random.Random(5)
+    batch = [
+        (seq, rng.randint(1, 10), f"A{rng.randint(1, 11)}", rng.choice(["s", "s", "", None]), rng.random() < 0.4)
+        for seq in range(1, 81)
+    ]
+    asked = spark.createDataFrame(
+        [(q, s, code, part, ["location_code", "section"] if sets else ["location_code"]) for q, s, code, part, sets in batch],
+        "seq long, shelf_id long, location_code string, section string, set_fields array<string>",
+    )
+    state, expected = {r["shelf_id"]: (r["location_code"], r["section"]) for r in shelves}, {}
+    for seq, shelf, code, part, sets in batch:
+        if shelf not in state:
+            expected[seq] = "not_found"
+            continue
+        part = part if sets else state[shelf][1]
+        taken = any(c == code for s, (c, _) in state.items() if s != shelf)
+        expected[seq] = "section_missing" if part is None else "section_blank" if part == "" else "location_code_taken" if taken else None
+        if expected[seq] is None:
+            state[shelf] = (code, part)
+    judged, calls = patches._judged, []
+    monkeypatch.setattr(patches, "_judged", lambda *a: calls.append(1) or judged(*a))
+    after, result = patches.apply_patches(tables, asked, "shelves", AS_OF, run=2)
+    assert dict(rows(result, "seq", "reason")) == expected
+    assert {r.shelf_id: (r.location_code, r.section) for r in after.shelves.collect()} == state
+    assert len(calls) == 1
+
+
+def test_a_long_batch_without_values_is_judged_once(spark, seed, monkeypatch):
+    student = seed.students.first().student_id
+    bad = seed.students.withColumn("phone", F.when(F.col("student_id") == student, "ext").otherwise(F.col("phone")))
+    steps = [(1, "p1", None, False), (2, "p2", None, True), (3, "p3", None, False), (4, "p4", "ext", True), (5, "p5", None, False)]
+    asked = spark.createDataFrame(
+        [(q, student, p, phone, ["program", "phone"] if sets else ["program"]) for q, p, phone, sets in steps],
+        "seq long, student_id long, program string, phone string, set_fields array<string>",
+    )
+    judged, calls = patches._judged, []
+    monkeypatch.setattr(patches, "_judged", lambda *a: calls.append(1) or judged(*a))
+    after, result = patches.apply_patches(seed.with_tables(students=bad), asked, "students", AS_OF, run=1)
+    assert dict(rows(result, "seq", "reason")) == {1: "phone_format", 2: None, 3: None, 4: "phone_format", 5: None}
+    assert after.students.where(F.col("student_id") == student).first().program == "p5"
+    assert len(calls) == 1
