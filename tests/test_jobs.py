@@ -674,3 +674,25 @@ def test_a_long_batch_without_values_is_judged_once(spark, seed, monkeypatch):
     assert dict(rows(result, "seq", "reason")) == {1: "phone_format", 2: None, 3: None, 4: "phone_format", 5: None}
     assert after.students.where(F.col("student_id") == student).first().program == "p5"
     assert len(calls) == 1
+
+
+def test_a_long_batch_of_moves_is_bounded_once(spark, monkeypatch):
+    """Two shelves, one place: every move waits for the one before it."""
+    books = [{"book_id": b, "title": "t", "author": "a", "book_type": "physical", "shelf_id": 1 + b % 2, "status": "available"} for b in range(4)]
+    shelves = [{"shelf_id": s, "location_code": f"A{s}", "total_capacity": 2 + (s == 2), "current_book_count": 2} for s in (1, 2)]
+    empty = {n: frame(spark, t, []) for n, t in (("students", S.STUDENTS), ("loans", S.LOANS))}
+    tables = Collection(books=frame(spark, S.BOOKS, books), shelves=frame(spark, S.SHELVES, shelves), **empty)
+    place, room, asked, expected = {b["book_id"]: b["shelf_id"] for b in books}, {1: 0, 2: 1}, [], {}
+    rng = random.Random(3)
+    for seq in range(1, 41):
+        book, shelf = rng.randint(0, 3), rng.randint(1, 2)
+        asked.append((seq, book, shelf))
+        expected[seq] = place[book] == shelf or room[shelf] > 0
+        if expected[seq] and place[book] != shelf:
+            room[place[book]], room[shelf], place[book] = room[place[book]] + 1, room[shelf] - 1, shelf
+    bounds, calls = shelving._bounds, []
+    monkeypatch.setattr(shelving, "_bounds", lambda *a: calls.append(1) or bounds(*a))
+    after, result = shelving.move_books(tables, spark.createDataFrame(asked, S.MOVES), MOMENT, 9)
+    assert dict(rows(result, "seq", "accepted")) == expected
+    assert dict(rows(after.books, "book_id", "shelf_id")) == place
+    assert len(calls) == 1
