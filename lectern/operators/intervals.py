@@ -9,123 +9,119 @@ What would end a claim is known before anything is decided, only whether the cla
 A key also has a state, free or not, which changes at known points and by the grants themselves; a
 request needs the state before it to be free.
 
-Rounds of set operations narrow down what is open. A place in a pool is sure if all undecided requests
-before this one could be granted too, and surely missing if the granted ones alone fill the room. The
-first undecided request of a key knows the key's state. One that finds it not free ends the key for
-all later ones, as only a grant could free it again. A grant turns away all requests inside its hold at
-once. Grants that follow each other on one key, and the waiting for places, may form chains of any
-length, so each round also goes through a bounded run of the earliest open requests in one task.
+Requests may wait for each other in chains of any length, so they are decided in order, run by run, by a
+task per run. Every request is written once and read once, so the work grows with the requests. What a
+run needs of the runs before it, it looks up in what was granted: the unique keys that are taken, the
+last state and the holder of its keys, and the places of its pools.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lectern.operators.running import number_rows, running_max, running_total
-from lectern.session import apart, pin
+from lectern.session import apart, pin, scratch_path
 
 NEVER = 2**62
-_HALF = 2**31
 
-
-# A run ends before a unique key comes up more often, so that what it asks ``lives`` stays bounded.
-_SAME_UNIQUE = 4
-
-
-def _places(pending: DataFrame, granted: DataFrame | None) -> DataFrame:
-    """``seq``, ``held`` (places held by granted ones then), ``sure`` and ``full`` of the tight requests."""
-    # All requests of a pool count towards its tight ones.
-    pools = pending.where("tight").select("pool").distinct()
-    claims = pending.join(apart(pools), "pool", "left_semi").select(
-        "pool", "seq", "room", "tight", (F.col("seq") * 2).alias("_at"), F.lit(_HALF).alias("_step")
-    )
-    if granted is not None:
-        held = granted.join(apart(pools), "pool", "left_semi")
-        none, no = F.lit(None).cast("long"), F.lit(False)
-        starts = held.select("pool", none.alias("seq"), none.alias("room"), no, F.col("seq") * 2, F.lit(1))
-        ends = held.where(F.col("ends") < NEVER).select(
-            "pool", none.alias("seq"), none.alias("room"), no, F.col("ends") * 2 + 1, F.lit(-1)
-        )
-        claims = claims.union(starts).union(ends)
-    totals = running_total(claims, ["pool"], "_at", F.col("_step"), "_total").where("tight")
-    held_then = F.col("_total") % _HALF
-    # The row's own claim is in the total.
-    waiting = F.floor(F.col("_total") / _HALF) - 1
-    return totals.select(
-        "seq",
-        held_then.alias("held"),
-        (held_then + waiting < F.col("room")).alias("sure"),
-        (held_then >= F.col("room")).alias("full"),
-    )
-
-
-def _next_run(pending: DataFrame, rows: int) -> DataFrame:
-    """The earliest pending requests, at most ``rows``."""
-    if pending.count() > rows:
-        pending = number_rows(pending, "seq", "_place").where(F.col("_place") <= rows).drop("_place")
-    again = F.row_number().over(Window.partitionBy("unique").orderBy("seq")) > _SAME_UNIQUE
-    too_often = pending.withColumn("_again", again).agg(F.min(F.when(F.col("_again"), F.col("seq")))).first()[0]
-    return pending if too_often is None else pending.where(F.col("seq") < too_often)
-
-
-def _run_facts(run: DataFrame, states: DataFrame, granted: DataFrame | None, pending: DataFrame) -> DataFrame:
-    """Adds ``_known``, the key's last change before the request as twice its point plus one if free,
-    and ``_left``, the room that granted requests leave at it, null where the pool cannot run short."""
+# Kinds of rows a run reads, in this order.
+_KEY, _UNIQUE, _POOL, _REQUEST = range(4)
+
+
+def _mark(at: Column, free: Column) -> Column:
+    """A change of a key as one number: twice its point, plus one if the key is free then."""
+    return at * 2 + free.cast("long")
+
+
+def _decider(columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The granted requests of a run that comes in order, behind what was granted before it."""
+        taken, until, told, coming, held = set(), {}, {}, {}, {}
+        granted_last = None
+        for batch in batches:
+            granted = []
+            plain = ("_kind", "seq", "key", "unique", "pool", "_known", "_limit", "ends", "held_until")
+            lists, marks = [batch.column(c).to_pylist() for c in plain], batch.column("_marks")
+            for at, (kind, seq, key, unique, pool, known, limit, ends, held_until) in enumerate(zip(*lists, strict=True)):
+                if kind != _REQUEST:
+                    if kind == _UNIQUE:
+                        taken.add(unique)
+                    elif kind == _POOL:
+                        held[pool] = sorted(marks[at].as_py())
+                    else:
+                        if known is not None:
+                            told[key] = known
+                        if held_until is not None:
+                            until[key] = held_until
+                        coming[key] = sorted(marks[at].as_py())
+                    continue
+                if seq == granted_last:
+                    # A repeated row of the request.
+                    granted.append(at)
+                    continue
+                ahead = coming.get(key)
+                while ahead and ahead[0] < 2 * seq:
+                    told[key] = heapq.heappop(ahead)
+                last = told.get(key, known)
+                if last is None or last % 2 == 0 or unique in taken or until.get(key, seq - 1) >= seq:
+                    continue
+                places = held.setdefault(pool, [])
+                while places and places[0] < seq:
+                    heapq.heappop(places)
+                if limit is not None and len(places) >= limit:
+                    continue
+                granted.append(at)
+                granted_last = seq
+                taken.add(unique)
+                heapq.heappush(places, ends)
+                until[key] = held_until
+                ahead = coming.setdefault(key, [])
+                for mark in marks[at].as_py():
+                    heapq.heappush(ahead, mark)
+            yield batch.take(pa.array(granted, pa.int64())).select(columns)
+
+    return decide
+
+
+def _before(part: DataFrame, granted: DataFrame | None, moving: DataFrame, low: int | None, high: int | None) -> DataFrame:
+    """What a run has to know: of its keys, unique keys and pools, as rows before its requests.
+
+    The run's requests come behind ``low``, up to ``high``; None is no bound.
+    """
+    low = -NEVER if low is None else low
+    none = F.lit(None).cast("long")
+    changes = moving.select("key", "mark", none.alias("held_until"))
     if granted is not None:
-        states = states.unionByName(granted.select("key", F.inline("states")))
-    known = states.join(apart(run.select("key").distinct()), "key", "left_semi").select(
-        "key", F.lit(None).cast("long").alias("seq"), (F.col("at") * 2 + 1).alias("_at"),
-        (F.col("at") * 2 + F.col("free").cast("int")).alias("_told"),
-    )
-    line = known.unionByName(
-        run.select("key", "seq", (F.col("seq") * 2).alias("_at"), F.lit(None).cast("long").alias("_told"))
+        changes = changes.unionByName(granted.select("key", F.explode("_marks").alias("mark"), "held_until"))
+    mine = lambda rows, name: rows.join(apart(part.select(name).distinct()), name, "left_semi")
+    mark = F.col("mark")
+    if high is not None:
+        changes = changes.where(mark < 2 * high)
+    # No request of the run has ``low`` itself, so a mark at it lies before all of them.
+    found = mine(changes, "key").groupBy("key").agg(
+        F.max(F.when(mark < 2 * low + 2, mark)).alias("_known"),
+        F.max("held_until").alias("held_until"),
+        F.collect_list(F.when(mark >= 2 * low + 2, mark)).alias("_marks"),
     )
-    last = running_max(line, ["key"], "_at", F.col("_told"), "_known").where("seq is not null")
-    facts = run.join(apart(last.select("seq", "_known")), "seq")
+    found = found.withColumn("_kind", F.lit(_KEY))
     if granted is None:
-        return facts.withColumn("_left", F.when(F.col("tight"), F.col("room")))
-    held = _places(pending, granted).select("seq", "held")
-    left = F.when(F.col("tight"), F.col("room") - F.col("held"))
-    return facts.join(apart(held), "seq", "left").withColumn("_left", left)
-
-
-def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``seq`` of the requests to grant, of a run that comes in order."""
-    taken, held, key_until, key_states = set(), {}, {}, {}
-    for batch in batches:
-        granted = []
-        for seq, key, unique, pool, known, left, ends, held_until, states in zip(
-            *(batch.column(c).to_pylist() for c in batch.schema.names), strict=True
-        ):
-            told = [*key_states.get(key, ()), *([known] if known is not None else [])]
-            last = max((mark for mark in told if mark < 2 * seq), default=0)
-            places = held.setdefault(pool, [])
-            while places and places[0] < seq:
-                heapq.heappop(places)
-            full = left is not None and len(places) >= left
-            if unique in taken or last % 2 == 0 or key_until.get(key, seq - 1) >= seq or full:
-                continue
-            granted.append(seq)
-            taken.add(unique)
-            heapq.heappush(places, ends)
-            key_until[key] = held_until
-            # What lies before the grant no longer counts.
-            later = [mark for mark in key_states.get(key, ()) if mark >= 2 * seq]
-            key_states[key] = later + [2 * state["at"] + state["free"] for state in states]
-        yield pa.record_batch([pa.array(granted, pa.int64())], ["seq"])
+        return found
+    uniques = mine(granted.select("unique"), "unique").distinct().withColumn("_kind", F.lit(_UNIQUE))
+    pools = mine(granted.where(F.col("ends") > low).select("pool", "ends"), "pool").groupBy("pool")
+    pools = pools.agg(F.collect_list("ends").alias("_marks")).withColumn("_kind", F.lit(_POOL))
+    return found.unionByName(uniques, allowMissingColumns=True).unionByName(pools, allowMissingColumns=True)
 
 
 def grant_intervals(
     requests: DataFrame,
     states: DataFrame,
     lives: Callable[[DataFrame], DataFrame],
-    run: int = 100_000,
+    run: int = 1_000_000,
 ) -> DataFrame:
     """The granted requests with what ``lives`` says about them.
 
@@ -133,71 +129,45 @@ def grant_intervals(
     this batch's grants), ``tight`` (false if the pool cannot run short before the request), and further
     columns. ``states``: ``key``, ``at``, ``free``: the known changes of keys. ``lives`` adds to requests
     ``ends``, ``held_until`` (``NEVER`` for no end) and ``states``, an array of (``at``, ``free``): how
-    the request would change its key. It is asked for few requests per unique key at a time. ``run``
-    bounds how many requests one task decides in order at a time; it does not change the outcome.
+    the request would change its key. ``run`` is about how many requests one task decides in order; it
+    does not change the outcome. A task keeps what it granted and what it looked up, not the requests.
     """
-    pending = pin(requests)
-    columns = pending.columns
-    rounds: list[DataFrame] = []
-    while n_open := pending.count():
-        if n_open > run:
-            granted, pending = _round(pending, reduce(DataFrame.unionByName, rounds) if rounds else None, states, lives)
-            rounds.append(granted)
-            if pending.isEmpty():
-                break
-        so_far = reduce(DataFrame.unionByName, rounds) if rounds else None
-        earliest = pin(_next_run(pending, run).select(*columns))
-        line = pin(_run_facts(lives(earliest), states, so_far, pending)).select(
-            "seq", "key", "unique", "pool", "_known", "_left", "ends", "held_until", "states"
-        )
-        decided = pin(line.repartition(1).sortWithinPartitions("seq").mapInArrow(_one_by_one, "seq long"))
-        granted = pin(lives(earliest.join(apart(decided), "seq", "left_semi").select(*columns)))
-        rounds.append(granted)
-        if earliest.count() == n_open:
-            break
-        # What is left comes behind the run.
-        last = earliest.agg(F.max("seq")).first()[0]
-        left = pending.where(F.col("seq") > last).join(apart(granted.select("unique")), "unique", "left_anti")
-        holds = granted.groupBy("key").agg(F.max("held_until").alias("_to"))
-        left = left.join(apart(holds), "key", "left").where(F.col("_to").isNull() | (F.col("seq") > F.col("_to")))
-        pending = pin(left.select(*columns))
-    if not rounds:
-        return lives(pending)
-    return reduce(DataFrame.unionByName, rounds)
-
-
-def _round(
-    pending: DataFrame, so_far: DataFrame | None, states: DataFrame, lives: Callable[[DataFrame], DataFrame]
-) -> tuple[DataFrame, DataFrame]:
-    """What no undecided request can affect, granted; and what is open then."""
-    columns = pending.columns
-    head = F.min_by(F.struct("seq", "unique"), "seq").alias("_head")
-    heads = pending.groupBy("key").agg(head).select("key", "_head.*")
-    known = states
-    if so_far is not None:
-        known = known.unionByName(so_far.select("key", F.inline("states")))
-    found = pin(
-        heads.join(apart(known), "key")
-        .where(F.col("at") < F.col("seq"))
-        .groupBy("key", "seq", "unique")
-        .agg(F.max_by("free", "at").alias("free"))
-    )
-    first = pending.groupBy("unique").agg(F.min("seq").alias("seq"))
-    ready = found.where("free").join(apart(first), ["unique", "seq"], "left_semi").select("seq")
-    full = None
-    if not pending.where("tight").isEmpty():
-        places = pin(_places(pending, so_far))
-        ready = ready.join(places.where("not sure"), "seq", "left_anti")
-        full = places.where("full and not sure").select("seq")
-    granted = pin(lives(pending.join(apart(ready), "seq", "left_semi").select(*columns)))
-    left = pending.join(apart(found.where("not free").select("key")), "key", "left_anti")
-    # Unique keys are taken for good, the granted request's own among them.
-    left = left.join(apart(granted.select("unique")), "unique", "left_anti")
-    # A round grants one request per key at most.
-    holds = granted.select("key", F.col("seq").alias("_from"), F.col("held_until").alias("_to"))
-    left = left.join(apart(holds), "key", "left").where(
-        F.col("_from").isNull() | (F.col("seq") < F.col("_from")) | (F.col("seq") > F.col("_to"))
+    asked = pin(lives(requests))
+    columns = [c for c in asked.columns if c != "states"]
+    n, first = asked.agg(F.count("*"), F.min("seq")).first()
+    if not n:
+        return asked
+    marked = states.select("key", "at", _mark(F.col("at"), F.col("free")).alias("mark"))
+    # What a key is before the first request goes with the requests.
+    known = marked.where(F.col("at") < first).groupBy("key").agg(F.max("mark").alias("_known"))
+    moving = pin(marked.where(F.col("at") >= first).select("key", "mark"))
+    line = asked.join(apart(known), "key", "left").select(
+        *columns,
+        "_known",
+        F.when(F.col("tight"), F.col("room")).alias("_limit"),
+        F.transform("states", lambda s: _mark(s["at"], s["free"])).alias("_marks"),
+        F.lit(_REQUEST).alias("_kind"),
     )
-    if full is not None:
-        left = left.join(apart(full), "seq", "left_anti")
-    return granted, pin(left.select(*columns))
+    log = [*columns, "_marks"]
+    schema = line.select(*log).schema
+
+    def decided(part: DataFrame, granted: DataFrame | None, low: int | None, high: int | None) -> DataFrame:
+        rows = part.unionByName(_before(part, granted, moving, low, high), allowMissingColumns=True)
+        return rows.repartition(1).sortWithinPartitions("_kind", "seq").mapInArrow(_decider(log), schema)
+
+    states_again = F.transform("_marks", lambda m: F.struct(F.shiftright(m, 1).alias("at"), (m % 2 != 0).alias("free"))).alias("states")
+    if n <= run:
+        return decided(line, None, None, None).select(*columns, states_again)
+    spark, folder = asked.sparkSession, scratch_path(asked.sparkSession, "intervals")
+    runs = -(-n // run)
+    cuts = asked.agg(F.percentile_approx("seq", [i / runs for i in range(1, runs)], 100_000)).first()[0]
+    cuts = sorted(set(cuts))
+    number = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda at, cut: at + (F.col("seq") > cut).cast("int"))
+    line.withColumn("_run", number).repartition("_run").write.partitionBy("_run").parquet(f"{folder}/requests")
+    placed = spark.read.schema(T.StructType([*line.schema, T.StructField("_run", T.IntegerType())])).parquet(f"{folder}/requests")
+    granted = None
+    for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        part = placed.where(F.col("_run") == k).drop("_run")
+        decided(part, granted, low, high).write.mode("append").parquet(f"{folder}/granted")
+        granted = spark.read.schema(schema).parquet(f"{folder}/granted")
+    return granted.select(*columns, states_again)

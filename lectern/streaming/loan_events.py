@@ -6,11 +6,15 @@ operations; micro-batches are expected to arrive in that order too.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import date, datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lectern.functions.dates import due_date
@@ -144,19 +148,27 @@ def _lives(requests: DataFrame, events: DataFrame) -> DataFrame:
     The first valid return before the first loss ends a loan and frees its book, a loss ends it and
     keeps the book. A loss behind the return takes the book away again.
     """
-    later = requests.select("seq", F.col("unique").alias("loan_id"), "loan_date").join(
-        events.select(F.col("seq").alias("_at"), "event", "loan_id", "event_date"), "loan_id"
-    ).where(F.col("_at") > F.col("seq"))
-    valid = (F.col("event") == "return") & (F.col("event_date") >= F.col("loan_date"))
-    ends = later.groupBy("seq").agg(
-        F.min(F.when(valid, F.col("_at"))).alias("_back"),
-        F.min(F.when(F.col("event") == "lost", F.col("_at"))).alias("_lost"),
+    columns, none = requests.columns, F.lit(None)
+    asked = requests.withColumns(
+        {"_at": F.col("seq"), "_event": none.cast("string"), "_day": F.unix_date("loan_date")}
     )
+    told = events.where(
+        F.col("loan_id").isNotNull()
+        & ((F.col("event") == "lost") | ((F.col("event") == "return") & F.col("event_date").isNotNull()))
+    ).select(
+        F.col("loan_id").alias("unique"), F.col("seq").alias("_at"), F.col("event").alias("_event"),
+        F.unix_date("event_date").alias("_day"),
+    )
+    known = T.StructType([*requests.schema, T.StructField("_back", T.LongType()), T.StructField("_lost", T.LongType())])
+    line = asked.unionByName(told, allowMissingColumns=True).repartition("unique")
+    # Backwards, so that what lies behind a request comes before it.
+    line = line.sortWithinPartitions("unique", F.desc("_at"), F.col("_event").isNotNull())
+    ends = line.mapInArrow(_first_ends(columns), known)
     never = F.lit(NEVER)
     back = F.when(F.col("_back") < F.coalesce("_lost", never), F.col("_back"))
     change = lambda at, free: F.when(at.isNotNull(), F.struct(at.alias("at"), F.lit(free).alias("free")))
-    return requests.join(apart(ends), "seq", "left").select(
-        *requests.columns,
+    return ends.select(
+        *columns,
         F.coalesce(F.least(back, "_lost"), never).alias("ends"),
         F.coalesce(back, never).alias("held_until"),
         F.array_compact(
@@ -165,6 +177,39 @@ def _lives(requests: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def _first_ends(columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds to requests their first valid return and first loss, of lines that come loan by loan, backwards.
+
+        Of a loan's returns those count that are earlier or of a later day than all others, so at most
+        one per day is kept; they stand with earlier ones, of earlier days, behind.
+        """
+        loan, lost, days, returns = None, None, [], []
+        for batch in batches:
+            asked, backs, losses = [], [], []
+            lists = [batch.column(c).to_pylist() for c in ("unique", "_at", "_event", "_day")]
+            for place, (unique, at, event, day) in enumerate(zip(*lists, strict=True)):
+                if unique != loan:
+                    loan, lost, days, returns = unique, None, [], []
+                if event == "lost":
+                    lost = at
+                elif event == "return":
+                    while days and -days[-1] <= day:
+                        days.pop()
+                        returns.pop()
+                    days.append(-day)
+                    returns.append(at)
+                else:
+                    found = bisect_right(days, -day)
+                    asked.append(place)
+                    backs.append(returns[found - 1] if found else None)
+                    losses.append(lost)
+            kept = batch.take(pa.array(asked, pa.int64())).select(columns)
+            yield pa.record_batch([*kept.columns, pa.array(backs, pa.int64()), pa.array(losses, pa.int64())], [*columns, "_back", "_lost"])
+
+    return follow
+
+
 def _request_facts(
     tables: Collection, asked: DataFrame, closings: DataFrame, as_of: date
 ) -> DataFrame:
@@ -174,7 +219,7 @@ def _request_facts(
     older loan keeps it out up to ``_out_until``; ``room`` is the student's room at the request but for
     new loans, and ``tight`` says whether so many requests come before it that they may fill the room.
     """
-    open_loans = tables.loans.where(is_open()).select("loan_id", "book_id", "student_id")
+    open_loans = pin(tables.loans.where(is_open()).select("loan_id", "book_id", "student_id"))
     out = (
         by_key(open_loans, asked, "book_id")
         .join(apart(closings), "loan_id", "left")
@@ -193,7 +238,7 @@ def _request_facts(
         .join(held, "student_id", "left")
     )
     default_due = due_date(F.col("loan_date"), F.col("_book_type"))
-    facts = (
+    facts = pin(
         asked.select(
             "seq", "loan_id", "book_id", "student_id",
             F.coalesce("event_date", F.lit(as_of)).alias("loan_date"),
@@ -263,15 +308,15 @@ def _refusals(facts: DataFrame, granted: DataFrame, changes: DataFrame) -> DataF
 
 
 def apply_events(
-    tables: Collection, events: DataFrame, as_of: date, moment: datetime, run: int = 100_000
+    tables: Collection, events: DataFrame, as_of: date, moment: datetime, run: int = 1_000_000
 ) -> EventOutcome:
     """The outcome of a batch of events on the current tables, as if they came one by one by ``seq``.
 
     Events on loans that exist depend on nothing else and are folded first; they say when books and
     students' places come free. New loans are then admitted with the ends their own events give them
     (``intervals.grant_intervals``), and the events behind an admitted loan are folded onto it. Where a
-    stream is cut into batches makes no difference, nor does ``run``, the most requests that one task
-    decides in order at a time. Requests without a ``loan_id`` are refused.
+    stream is cut into batches makes no difference, nor does ``run``, about how many requests one task
+    decides in order. Requests without a ``loan_id`` are refused.
     """
     is_loan = F.col("event") == "loan"
     asked, others = events.where(is_loan), events.where(~is_loan)

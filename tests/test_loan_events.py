@@ -10,7 +10,7 @@ from conftest import AS_OF, SMALL, day, frame, rows
 from lectern import schemas as S
 from lectern.operators.intervals import NEVER, grant_intervals
 from lectern.sources.collection import Collection
-from lectern.streaming.loan_events import apply_events
+from lectern.streaming.loan_events import _lives, apply_events
 from oracle import statements
 from oracle.prelude import statement
 from tools.compare import connect
@@ -193,3 +193,65 @@ def test_statement_in_rounds_equals_the_one_row_by_row():
     one_by_one = statement("SELECT seq FROM decided WHERE accepted ORDER BY seq", statements.REQUESTS, statements.ONE_BY_ONE)
     found = connection.execute(rounds).fetchall()
     assert found == connection.execute(one_by_one).fetchall() and len(found) > 100
+
+
+def test_requests_are_asked_about_once_however_many_runs(spark):
+    """Chains of requests that wait for each other take no pass over what is open per link."""
+    rng, asked, calls = random.Random(6), [], []
+    for seq in range(1, 121):
+        ends = rng.choice([NEVER, *[seq + rng.randrange(1, 20) for _ in range(9)]])
+        asked.append((seq, rng.randrange(12), rng.choice([seq + 500, rng.randrange(30)]), rng.randrange(6), 2, True, ends))
+    columns = "seq long, key long, unique long, pool long, room long, tight boolean, _end long"
+    requests = spark.createDataFrame(asked, columns)
+    known = [(k, -NEVER, k > 0) for k in range(12)] + [(0, 40, True), (1, 60, False), (1, 90, True)]
+    states = spark.createDataFrame(known, "key long, at long, free boolean")
+
+    def lives(some):
+        calls.append(some)
+        end, never = F.col("_end"), F.col("_end") == NEVER
+        change = lambda at, free: F.struct(at.alias("at"), F.lit(free).alias("free"))
+        held = F.array(change(F.col("seq"), False))
+        back = F.array(change(F.col("seq"), False), change(end, True))
+        return some.withColumns({"ends": end, "held_until": end, "states": F.when(never, held).otherwise(back)})
+
+    taken, until, marks, held, expected = set(), {}, {}, {}, []
+    for k, at, free in known:
+        marks.setdefault(k, []).append((at, free))
+    for seq, key, unique, pool, room, _, ends in asked:
+        _, free = max((m for m in marks[key] if m[0] < seq), default=(0, False))
+        places = [e for e in held.get(pool, ()) if e >= seq]
+        if not free or unique in taken or until.get(key, -1) >= seq or len(places) >= room:
+            continue
+        expected.append((seq,))
+        taken.add(unique)
+        until[key] = ends
+        marks[key] = [m for m in marks[key] if m[0] >= seq] + [(seq, False), *([(ends, True)] if ends < NEVER else [])]
+        held[pool] = [*places, ends]
+    assert len(expected) > 10
+    for run in (7, 1000):
+        calls.clear()
+        assert rows(grant_intervals(requests, states, lives, run), "seq") == expected
+        assert len(calls) == 1
+
+
+def test_lives_of_a_loan_asked_for_often(spark):
+    """A thousand requests and returns of one loan id are no million pairs; the first valid return and loss count."""
+    rng = random.Random(8)
+    asked = [(i * 3, 7 if i < 400 else rng.randrange(20, 30), day("2024-11-01") + timedelta(days=rng.randrange(30))) for i in range(500)]
+    told = [
+        (i * 3 + 1 + i % 2, rng.choice(["return"] * 9 + ["lost", "renew"]), rng.choice([7, rng.randrange(20, 30), None]),
+         rng.choice([None, day("2024-11-01") + timedelta(days=rng.randrange(30))])) for i in range(480)
+    ]
+    requests = spark.createDataFrame(asked, "seq long, unique long, loan_date date")
+    events = spark.createDataFrame(told, "seq long, event string, loan_id long, event_date date")
+    expected = []
+    for seq, unique, lent in asked:
+        mine = [e for e in told if e[2] == unique and e[0] > seq]
+        lost = min((e[0] for e in mine if e[1] == "lost"), default=NEVER)
+        back = min((e[0] for e in mine if e[1] == "return" and e[3] is not None and e[3] >= lent), default=NEVER)
+        back = back if back < lost else NEVER
+        states = [(seq, False), *([(back, True)] if back < NEVER else []), *([(lost, False)] if lost < NEVER else [])]
+        expected.append((seq, min(back, lost), back, states))
+    found = _lives(requests, events)
+    assert [(*r[:3], [tuple(s) for s in r.states]) for r in found.select("seq", "ends", "held_until", "states").sort("seq").collect()] == expected
+    assert "Join" not in found._jdf.queryExecution().toString()
