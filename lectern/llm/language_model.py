@@ -157,7 +157,7 @@ class Network:
         back *= 1 - hidden * hidden
         out.view["hidden"] += inputs.T @ back
         out.view["hidden_bias"] += back.sum(axis=0)
-        order = np.argsort(windows, axis=None, kind="stable")
+        order = _in_order(windows.ravel())
         place = windows.ravel()[order]
         first = np.flatnonzero(np.diff(place, prepend=-1))
         parts = (back @ self.view["hidden"].T).reshape(-1, EMBEDDING)[order]
@@ -168,17 +168,25 @@ class Network:
 
 def _log_sum(scores: np.ndarray) -> np.ndarray:
     top = scores.max(axis=1)
-    return top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
+    scores = scores - top[:, None]
+    return top + np.log(np.exp(scores, out=scores).sum(axis=1))
 
 
 def _softmax(scores: np.ndarray) -> np.ndarray:
-    scores = np.exp(scores - scores.max(axis=1, keepdims=True))
+    """Shares by row, in place."""
+    scores -= scores.max(axis=1, keepdims=True)
+    np.exp(scores, out=scores)
     scores /= scores.sum(axis=1, keepdims=True)
     return scores
 
 
+def _in_order(places: np.ndarray) -> np.ndarray:
+    # Numbers of 16 bits are sorted by digits, in a fraction of the time.
+    return np.argsort(places.astype(np.uint16) if places.max(initial=0) < 1 << 16 else places, kind="stable")
+
+
 def _by_group(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(group, kind="stable")
+    order = _in_order(group)
     edges = np.flatnonzero(np.diff(group[order])) + 1
     for rows in np.split(order, edges):
         if len(rows):
@@ -223,7 +231,7 @@ def train(
 
         def learn(batches: Batches) -> Iterable[dict]:
             local = Network(size, initial.copy())
-            squares = np.full_like(local.values, 1e-6)
+            squares, work = np.full_like(local.values, 1e-6), np.empty_like(local.values)
             rng = np.random.default_rng((number, TaskContext.get().partitionId()))
             lookup = vocabulary.lookup()
             seen = 0
@@ -236,14 +244,16 @@ def train(
                     for at in range(0, len(drawn), batch_size):
                         rows = drawn[at : at + batch_size]
                         slope = local.slope(places[rows[:, None] + OFFSETS], places[rows])
-                        squares += slope * slope
-                        local.values -= rate * slope / np.sqrt(squares)
+                        squares += np.multiply(slope, slope, out=work)
+                        slope *= rate
+                        slope /= np.sqrt(squares, out=work)
+                        local.values -= slope
                         seen += len(rows)
             if seen:
                 pieces = range(0, len(local.values), PIECE)
                 yield {
                     "piece": list(pieces),
-                    "part": [TaskContext.get().partitionId() % 64] * len(pieces),
+                    "part": [TaskContext.get().partitionId() // 16] * len(pieces),
                     "weight": [float(seen)] * len(pieces),
                     "mean": [local.values[p : p + PIECE].tobytes() for p in pieces],
                 }
@@ -257,7 +267,8 @@ def train(
             )
 
         schema = "piece int, part int, weight double, mean binary"
-        trained = arrow_map(frame, learn, schema)
+        # Every task sends a network, so there are no more tasks than cores, however many partitions the table has.
+        trained = arrow_map(frame.coalesce(frame.sparkSession.sparkContext.defaultParallelism), learn, schema)
         # In two steps, so that no group holds the networks of more than a share of the tasks.
         summed = trained.groupBy("piece", "part").applyInPandas(add, schema).groupBy("piece").applyInPandas(add, schema)
         values = initial.copy()

@@ -407,3 +407,18 @@ def test_headings_and_tables_of_the_article_stay():
         "<table><tr class='header'><td>cell</td></tr></table><div class='site-header'>menu</div></article></body>"
     )
     assert html.main_text(page, {"constants": [], "place": []}) == ["Title", "Related work", "Text.", "cell"]
+
+
+def test_networks_sent_do_not_grow_with_the_partitions(spark, monkeypatch):
+    tasks, plain = [], language_model.arrow_map
+
+    def counted(df, work, schema):
+        if schema.startswith("piece"):
+            tasks.append(df.rdd.getNumPartitions())
+        return plain(df, work, schema)
+
+    monkeypatch.setattr(language_model, "arrow_map", counted)
+    docs = spark.range(120).selectExpr("id AS doc_id", "concat('a b ', id % 5, ' c d') AS text").repartition(60)
+    rows = language_model.score_documents(docs, words=20, shared=4, least_count=1).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(120)) and all(r.n_tokens == 5 and r.pll < 0 for r in rows)
+    assert len(tasks) == 2 and max(tasks) <= spark.sparkContext.defaultParallelism
