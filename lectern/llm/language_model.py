@@ -6,7 +6,8 @@ score is the sum of its tokens' conditional log probabilities.
 
 The vocabulary comes from word counts over all documents; other words share hashed places, and the
 probability of such a word is that of its place times the word's share of the place's count. The counts
-of these words never leave Spark: they reach the scores by a join. Training runs where the documents
+of these words never leave Spark: they reach the scores by a join. Texts are split and looked up once;
+training and scoring read the places of their words. Training runs where the documents
 are: the positions of all documents are dealt out over the rounds, in each round every task starts from
 the same network and trains on the round's positions, and Spark averages the networks by tokens seen.
 So what training reads and sends grows with the corpus, while the driver holds one network.
@@ -18,6 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -34,6 +36,8 @@ GROUP, WIDE_GROUP, WIDE = 64, 256, 1 << 13  # places per group, below and from s
 EMBEDDING, HIDDEN = 16, 32
 PIECE = 1 << 14  # parameters per row when networks travel
 FLUSH = 500_000
+CELLS = 30_000  # scores worked on at once; larger products are slower a row
+LARGE = 40  # bound of scores whose exponentials are taken as they are
 PAD = 0
 
 
@@ -124,60 +128,105 @@ class Network:
             at += n
 
     def forward(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        inputs = self.view["embedding"][windows].reshape(len(windows), -1)
+        inputs = self.view["embedding"].take(windows, axis=0).reshape(len(windows), -1)
         return inputs, np.tanh(inputs @ self.view["hidden"] + self.view["hidden_bias"])
 
+    def levels(self, order: np.ndarray, targets: np.ndarray) -> Iterator[tuple[str, tuple, Level, list[tuple[slice, np.ndarray]]]]:
+        """The rows' levels, with the rows in ``order``, which is by group: all rows among the groups, then the
+        rows of each group among its words. With each level its name, its place there, and runs of rows with
+        the columns they chose.
+        """
+        group, place = targets[order] // self.width, targets[order] % self.width
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+        spans = [("group", (...,), group, 0, len(group))]
+        spans += [("word", (int(group[a]),), place, a, b) for a, b in pairwise(edges) if a < b]
+        factors, large = {}, {}
+        for name in ("group", "word"):
+            weights, bias = self.view[name], self.view[f"{name}_bias"]
+            bound = np.sqrt(HIDDEN * np.einsum("...hw,...hw->...w", weights, weights)) + np.abs(bias)
+            large[name] = bound.max(axis=-1) > LARGE
+            factors[name] = np.exp(np.where(large[name][..., None], 0, bias))
+        for name, at, chosen, start, end in spans:
+            level = Level(self.view[name][at], self.view[f"{name}_bias"][at], factors[name][at], large[name][at])
+            cuts = [*range(start, end, max(1, CELLS // len(level.bias))), end]
+            yield name, at, level, [(slice(a, b), chosen[a:b]) for a, b in pairwise(cuts)]
+
     def log_probabilities(self, windows: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        _, hidden = self.forward(windows)
-        group, place = targets // self.width, targets % self.width
-        scores = hidden @ self.view["group"] + self.view["group_bias"]
-        out = scores[np.arange(len(targets)), group] - _log_sum(scores)
-        for g, rows in _by_group(group):
-            scores = hidden[rows] @ self.view["word"][g] + self.view["word_bias"][g]
-            out[rows] += scores[np.arange(len(rows)), place[rows]] - _log_sum(scores)
+        order = _in_order(targets // self.width)
+        _, hidden = self.forward(windows[order])
+        found = np.zeros(len(targets), dtype=hidden.dtype)
+        for _, _, level, runs in self.levels(order, targets):
+            for rows, chosen in runs:
+                found[rows] += level.log_chances(hidden[rows], chosen)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def slope(self, windows: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Gradient of the mean loss, as one vector."""
-        n = len(targets)
-        out = Network(len(self.view["embedding"]), np.zeros_like(self.values))
+        n, size = len(targets), len(self.view["embedding"])
+        out = Network(size, np.zeros_like(self.values))
+        order = _in_order(targets // self.width)
+        windows = windows[order]
         inputs, hidden = self.forward(windows)
-        group, place = targets // self.width, targets % self.width
-        error = _softmax(hidden @ self.view["group"] + self.view["group_bias"])
-        error[np.arange(n), group] -= 1
-        out.view["group"] += hidden.T @ error
-        out.view["group_bias"] += error.sum(axis=0)
-        back = error @ self.view["group"].T
-        for g, rows in _by_group(group):
-            error = _softmax(hidden[rows] @ self.view["word"][g] + self.view["word_bias"][g])
-            error[np.arange(len(rows)), place[rows]] -= 1
-            out.view["word"][g] += hidden[rows].T @ error
-            out.view["word_bias"][g] += error.sum(axis=0)
-            back[rows] += error @ self.view["word"][g].T
+        back = np.zeros_like(hidden)
+        for name, at, level, runs in self.levels(order, targets):
+            weights = (level.weights * level.factor).T
+            if len(runs) > 2:
+                weights = np.ascontiguousarray(weights)
+            slope, bias_slope = np.zeros_like(level.weights), np.zeros_like(level.bias)
+            for rows, chosen in runs:
+                own = hidden[rows]
+                error, share = level.errors(own, chosen)
+                slope += (own * share[:, None]).T @ error
+                bias_slope += share @ error
+                back[rows] += (error @ weights) * share[:, None]
+            np.multiply(slope, level.factor, out=out.view[name][at])
+            np.multiply(bias_slope, level.factor, out=out.view[f"{name}_bias"][at])
         back *= 1 - hidden * hidden
         out.view["hidden"] += inputs.T @ back
         out.view["hidden_bias"] += back.sum(axis=0)
-        order = _in_order(windows.ravel())
-        place = windows.ravel()[order]
-        first = np.flatnonzero(np.diff(place, prepend=-1))
-        parts = (back @ self.view["hidden"].T).reshape(-1, EMBEDDING)[order]
-        out.view["embedding"][place[first]] = np.add.reduceat(parts, first)
+        parts, places = self.view["hidden"] @ back.T, windows.T.ravel()
+        for i in range(EMBEDDING):
+            out.view["embedding"][:, i] = np.bincount(places, parts[i::EMBEDDING].ravel(), size)
         out.values /= n
         return out.values
 
 
-def _log_sum(scores: np.ndarray) -> np.ndarray:
-    top = scores.max(axis=1)
-    scores = scores - top[:, None]
-    return top + np.log(np.exp(scores, out=scores).sum(axis=1))
+@dataclass(frozen=True)
+class Level:
+    """A softmax over columns. The bias enters as a factor of each column's exponentials.
 
+    Hidden values are within 1, so the weights bound the scores; only where they may be ``large`` are the
+    biases added and each row set off from its largest score first.
+    """
 
-def _softmax(scores: np.ndarray) -> np.ndarray:
-    """Shares by row, in place."""
-    scores -= scores.max(axis=1, keepdims=True)
-    np.exp(scores, out=scores)
-    scores /= scores.sum(axis=1, keepdims=True)
-    return scores
+    weights: np.ndarray
+    bias: np.ndarray
+    factor: np.ndarray
+    large: bool
+
+    def scores(self, hidden: np.ndarray) -> np.ndarray:
+        """Scores, without the bias unless they may be large."""
+        scores = hidden @ self.weights
+        if self.large:
+            scores += self.bias
+            scores -= scores.max(axis=1, keepdims=True)
+        return scores
+
+    def log_chances(self, hidden: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        scores = self.scores(hidden)
+        picked = scores[np.arange(len(chosen)), chosen]
+        if not self.large:
+            picked += self.bias[chosen]
+        return picked - np.log(np.exp(scores, out=scores) @ self.factor)
+
+    def errors(self, hidden: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chances less one at the chosen columns, but for the factors of the columns and the returned ones of the rows."""
+        error = self.scores(hidden)
+        sums = np.exp(error, out=error) @ self.factor
+        error[np.arange(len(chosen)), chosen] -= sums / self.factor[chosen]
+        return error, 1 / sums
 
 
 def _in_order(places: np.ndarray) -> np.ndarray:
@@ -185,27 +234,58 @@ def _in_order(places: np.ndarray) -> np.ndarray:
     return np.argsort(places.astype(np.uint16) if places.max(initial=0) < 1 << 16 else places, kind="stable")
 
 
-def _by_group(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = _in_order(group)
-    edges = np.flatnonzero(np.diff(group[order])) + 1
-    for rows in np.split(order, edges):
-        if len(rows):
-            yield int(group[rows[0]]), rows
+OFFSETS = np.array([o for o in range(-SIDE, SIDE + 1) if o], dtype=np.int64)
 
 
-OFFSETS = np.array([o for o in range(-SIDE, SIDE + 1) if o], dtype=np.int64)
+def number_words(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Per row of ``docs``: a ``row`` of its own, ``doc_id``, ``places`` of its tokens as bytes, the ``point`` on the
+    circle where its first position lies, ``n_bytes`` of its text, and Spark's hash of each word that shares a place.
+    """
+    kind, own = place_type(vocabulary), len(vocabulary.words)
+
+    def number(batches: Batches) -> Iterable[dict]:
+        lookup, hashes = vocabulary.lookup(), Hashes()
+        row = TaskContext.get().partitionId() << 33
+        for whole in batches:
+            for batch in slices(whole, chars=1_000_000):
+                texts = batch.column("text").to_pylist()
+                places, hashed = [], []
+                for text in texts:
+                    words = tokens(text)
+                    found = [lookup[w] for w in words]
+                    places.append(np.array(found, dtype=kind).tobytes())
+                    hashed.append([hashes[w] for w, place in zip(words, found, strict=True) if place > own])
+                yield {
+                    "row": np.arange(row, row + batch.num_rows),
+                    "doc_id": batch.column("doc_id"),
+                    "places": places,
+                    "point": first_points(texts),
+                    "n_bytes": [len((t or "").encode("utf-8", "surrogatepass")) for t in texts],
+                    "hashed": hashed,
+                }
+                row += batch.num_rows
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"row bigint, doc_id {id_type}, places binary, point bigint, n_bytes bigint, hashed array<bigint>"
+    return arrow_map(docs, number, schema)
+
 
+def place_type(vocabulary: Vocabulary) -> type:
+    return np.uint16 if vocabulary.size <= 1 << 16 else np.uint32
 
-def lay_out(texts: Iterable[str | None], lookup: Places) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def lay_out(numbered: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of all texts in one line, where the tokens are, and their texts; margins part the texts."""
-    line, lengths = [PAD] * SIDE, []
-    for text in texts:
-        before = len(line)
-        line += map(lookup.__getitem__, tokens(text))
-        lengths.append(len(line) - before)
-        line += [PAD] * SIDE
-    places = np.array(line, dtype=np.int64)
-    return places, np.flatnonzero(places != PAD), np.repeat(np.arange(len(lengths)), lengths)
+    joined = np.frombuffer(b"".join(numbered), dtype=kind)
+    owner = np.repeat(np.arange(len(numbered)), [len(n) // joined.itemsize for n in numbered])
+    at_tokens = np.arange(len(joined)) + SIDE * (owner + 1)
+    places = np.full(len(joined) + SIDE * (len(numbered) + 1), PAD, dtype=np.int64)
+    places[at_tokens] = joined
+    return places, at_tokens, owner
+
+
+def first_points(texts: list[str | None]) -> np.ndarray:
+    return np.array([zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts], dtype=np.int64)
 
 
 def drawn_in(number: int, share: float, texts: list[str | None], owner: np.ndarray) -> np.ndarray:
@@ -214,9 +294,13 @@ def drawn_in(number: int, share: float, texts: list[str | None], owner: np.ndarr
     A position's point on the circle follows from its text and its place there, whatever task reads it, so
     rounds with ``share`` 1 / rounds are disjoint and together take every position.
     """
-    offsets = np.array([zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts], dtype=np.int64)
-    index = np.arange(len(owner)) - np.searchsorted(owner, owner, side="left")
-    points = (offsets[owner] + index * 2654435769) % (1 << 32)
+    return drawn_from(number, share, first_points(texts), owner)
+
+
+def drawn_from(number: int, share: float, first: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """``drawn_in`` of texts whose first positions lie at the points ``first``."""
+    index = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(first)), side="left")[owner]
+    points = (first[owner] + index * 2654435769) % (1 << 32)
     edges = [round(share * k * (1 << 32)) for k in (number, number + 1)]
     return (points - edges[0]) % (1 << 32) < edges[1] - edges[0]
 
@@ -224,38 +308,38 @@ def drawn_in(number: int, share: float, texts: list[str | None], owner: np.ndarr
 def train(
     docs: DataFrame, vocabulary: Vocabulary, network: Network, rounds: int, share: float, batch_size: int = 16384, rate: float = 0.02
 ) -> Network:
-    size = vocabulary.size
+    size, kind = vocabulary.size, place_type(vocabulary)
 
     def one_round(frame: DataFrame, start: Network, number: int) -> Network:
         initial = start.values
 
         def learn(batches: Batches) -> Iterable[dict]:
             local = Network(size, initial.copy())
-            squares, work = np.full_like(local.values, 1e-6), np.empty_like(local.values)
+            squares, work = np.full_like(local.values, 1e-6), np.empty_like(local.values[:PIECE])
+            pieces = [slice(p, p + PIECE) for p in range(0, len(local.values), PIECE)]
             rng = np.random.default_rng((number, TaskContext.get().partitionId()))
-            lookup = vocabulary.lookup()
             seen = 0
             for whole in batches:
-                for batch in slices(whole, chars=2_000_000):
-                    texts = batch.column("text").to_pylist()
-                    places, at_tokens, owner = lay_out(texts, lookup)
-                    drawn = at_tokens[drawn_in(number, share, texts, owner)]
+                for batch in slices(whole, "n_bytes", chars=2_000_000):
+                    places, at_tokens, owner = lay_out(batch.column("places").to_pylist(), kind)
+                    drawn = at_tokens[drawn_from(number, share, batch.column("point").to_numpy(), owner)]
                     rng.shuffle(drawn)
                     for at in range(0, len(drawn), batch_size):
                         rows = drawn[at : at + batch_size]
                         slope = local.slope(places[rows[:, None] + OFFSETS], places[rows])
-                        squares += np.multiply(slope, slope, out=work)
-                        slope *= rate
-                        slope /= np.sqrt(squares, out=work)
-                        local.values -= slope
+                        for piece in pieces:
+                            step = slope[piece]
+                            squares[piece] += np.multiply(step, step, out=work[: len(step)])
+                            step *= rate
+                            step /= np.sqrt(squares[piece], out=work[: len(step)])
+                            local.values[piece] -= step
                         seen += len(rows)
             if seen:
-                pieces = range(0, len(local.values), PIECE)
                 yield {
-                    "piece": list(pieces),
+                    "piece": [p.start for p in pieces],
                     "part": [TaskContext.get().partitionId() // 16] * len(pieces),
                     "weight": [float(seen)] * len(pieces),
-                    "mean": [local.values[p : p + PIECE].tobytes() for p in pieces],
+                    "mean": [local.values[p].tobytes() for p in pieces],
                 }
 
         def add(group: pd.DataFrame) -> pd.DataFrame:
@@ -315,41 +399,38 @@ def score_documents(
         in_place[1 + own + zlib.crc32(r["word"].encode("utf-8", "surrogatepass")) % shared] -= r["n"]
     shift = -np.log(np.maximum(in_place, 1))
     network = Network(vocabulary.size)
+    numbered = pin(number_words(rows, vocabulary))
     if in_place.any() or frequent:
-        network = train(texts, vocabulary, network, rounds, 1 / rounds if share is None else share, batch_size)
-    values = network.values
+        positions = numbered.select("places", "point", "n_bytes")
+        network = train(positions, vocabulary, network, rounds, 1 / rounds if share is None else share, batch_size)
+    values, kind = network.values, place_type(vocabulary)
 
     def score(batches: Batches) -> Iterable[dict]:
-        trained, lookup, hashes = Network(vocabulary.size, values), vocabulary.lookup(), Hashes()
-        row = TaskContext.get().partitionId() << 33
+        trained = Network(vocabulary.size, values)
         for whole in batches:
-            for batch in slices(whole, chars=1_000_000):
-                lines = batch.column("text").to_pylist()
-                places, at_tokens, owner = lay_out(lines, lookup)
+            for batch in slices(whole, "n_bytes", chars=1_000_000):
+                places, at_tokens, owner = lay_out(batch.column("places").to_pylist(), kind)
                 total = np.zeros(batch.num_rows)
-                for start in range(0, len(at_tokens), 16384):
-                    rows = at_tokens[start : start + 16384]
+                for start in range(0, len(at_tokens), 65536):
+                    rows = at_tokens[start : start + 65536]
                     targets = places[rows]
                     found = trained.log_probabilities(places[rows[:, None] + OFFSETS], targets) + shift[targets]
-                    total += np.bincount(owner[start : start + 16384], found, batch.num_rows)
+                    total += np.bincount(owner[start : start + 65536], found, batch.num_rows)
                 yield {
-                    "row": np.arange(row, row + batch.num_rows),
+                    "row": batch.column("row"),
                     "doc_id": batch.column("doc_id"),
                     "n_tokens": np.bincount(owner, minlength=batch.num_rows),
                     "pll": total,
-                    "hashed": [[hashes[w] for w in tokens(t) if lookup[w] > own] for t in lines],
                 }
-                row += batch.num_rows
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"row bigint, doc_id {id_type}, n_tokens bigint, pll double, hashed array<bigint>"
-    scored = pin(arrow_map(rows, score, schema))
+    schema = f"row bigint, doc_id {id_type}, n_tokens bigint, pll double"
+    scored = pin(arrow_map(numbered.select("row", "doc_id", "places", "n_bytes"), score, schema))
     # Words that occur once add log 1.
     logs = counts.where("n > 1").select(F.xxhash64("word").alias("word"), F.log("n").alias("log_n"))
-    named = scored.select("row", F.explode("hashed").alias("word")).join(logs, "word").groupBy("row").agg(F.sum("log_n").alias("log_n"))
+    named = numbered.select("row", F.explode("hashed").alias("word")).join(logs, "word").groupBy("row").agg(F.sum("log_n").alias("log_n"))
     pll = F.col("pll") + F.coalesce("log_n", F.lit(0.0))
     return (
-        scored.drop("hashed")
-        .join(named, "row", "left")
+        scored.join(named, "row", "left")
         .select("doc_id", "n_tokens", pll.alias("pll"), F.when(F.col("n_tokens") > 0, pll / F.col("n_tokens")).alias("pll_per_token"))
     )

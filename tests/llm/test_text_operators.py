@@ -422,3 +422,53 @@ def test_networks_sent_do_not_grow_with_the_partitions(spark, monkeypatch):
     rows = language_model.score_documents(docs, words=20, shared=4, least_count=1).collect()
     assert sorted(r.doc_id for r in rows) == list(range(120)) and all(r.n_tokens == 5 and r.pll < 0 for r in rows)
     assert len(tasks) == 2 and max(tasks) <= spark.sparkContext.defaultParallelism
+
+
+def test_texts_are_split_for_counts_and_numbers_only(spark, monkeypatch):
+    read, plain = [], language_model.arrow_map
+
+    def noted(df, work, schema):
+        read.append((schema.split()[0], "text" in df.columns))
+        return plain(df, work, schema)
+
+    monkeypatch.setattr(language_model, "arrow_map", noted)
+    docs = spark.range(20).selectExpr("id AS doc_id", "concat('a b ', id % 5, ' c d') AS text")
+    assert language_model.score_documents(docs, words=20, shared=4, rounds=3, least_count=1).count() == 20
+    assert sum(text for _, text in read) == 2 and [name for name, _ in read].count("piece") == 3
+
+
+def test_texts_stay_apart_when_laid_out_from_numbers():
+    vocabulary = language_model.Vocabulary({"a": 1, "b": 2}, 4)
+    kind = language_model.place_type(vocabulary)
+    numbered = [np.array(n, dtype=kind).tobytes() for n in ([], [1, 2], [], [2], [1, 1, 1])]
+    places, at_tokens, owner = language_model.lay_out(numbered, kind)
+    assert places.tolist() == [0, 0, 0, 0, 1, 2, 0, 0, 0, 0, 2, 0, 0, 1, 1, 1, 0, 0]
+    assert at_tokens.tolist() == [4, 5, 10, 13, 14, 15] and owner.tolist() == [1, 1, 3, 4, 4, 4]
+    assert language_model.place_type(language_model.Vocabulary({str(i): i + 1 for i in range(1 << 16)}, 4)) == np.uint32
+
+
+@pytest.mark.parametrize("scale", [1, 60])
+def test_levels_equal_plain_softmax(monkeypatch, scale):
+    monkeypatch.setattr(language_model, "CELLS", 200)
+    rng = np.random.default_rng(1)
+    start = language_model.Network(256)
+    network = language_model.Network(256, start.values.astype(np.float64) * scale)
+    for name in ("group_bias", "word_bias"):
+        network.view[name][...] = rng.standard_normal(network.view[name].shape)
+    windows, targets = rng.integers(0, 256, (60, 4)), rng.integers(0, 256, 60)
+    _, hidden = network.forward(windows)
+    large = np.abs(hidden @ network.view["word"][0]).max()
+    assert (large > 60) == (scale == 60)
+    softmax = lambda x: x - x.max(axis=1, keepdims=True) - np.log(np.exp(x - x.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True))
+    groups = softmax(hidden @ network.view["group"] + network.view["group_bias"])
+    words = [softmax(hidden @ w + b) for w, b in zip(network.view["word"], network.view["word_bias"], strict=True)]
+    wanted = [groups[i, t // network.width] + words[t // network.width][i, t % network.width] for i, t in enumerate(targets)]
+    assert np.allclose(network.log_probabilities(windows, targets), wanted)
+    slope = network.slope(windows, targets)
+    for i in rng.integers(0, len(slope), 20):
+        loss = []
+        for step in (1e-6, -1e-6):
+            values = network.values.copy()
+            values[i] += step
+            loss.append(-language_model.Network(256, values).log_probabilities(windows, targets).mean())
+        assert abs((loss[0] - loss[1]) / 2e-6 - slope[i]) < 1e-5
