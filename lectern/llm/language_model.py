@@ -23,6 +23,7 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -162,10 +163,9 @@ class Network:
         out[order] = found
         return out
 
-    def slope(self, windows: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Gradient of the mean loss, as one vector."""
+    def slopes(self, windows: np.ndarray, targets: np.ndarray) -> Iterator[tuple[str, tuple, np.ndarray]]:
+        """Gradient of the mean loss: parameters' name, place there, and theirs. What was named may be changed at once."""
         n, size = len(targets), len(self.view["embedding"])
-        out = Network(size, np.zeros_like(self.values))
         order = _in_order(targets // self.width)
         windows = windows[order]
         inputs, hidden = self.forward(windows)
@@ -181,17 +181,37 @@ class Network:
                 slope += (own * share[:, None]).T @ error
                 bias_slope += share @ error
                 back[rows] += (error @ weights) * share[:, None]
-            np.multiply(slope, level.factor, out=out.view[name][at])
-            np.multiply(bias_slope, level.factor, out=out.view[f"{name}_bias"][at])
+            over = level.factor / n
+            slope *= over
+            bias_slope *= over
+            yield name, at, slope
+            yield f"{name}_bias", at, bias_slope
         back *= 1 - hidden * hidden
-        out.view["hidden"] += inputs.T @ back
-        out.view["hidden_bias"] += back.sum(axis=0)
+        back /= n
         parts, places = self.view["hidden"] @ back.T, windows.T.ravel()
+        yield "hidden", (...,), inputs.T @ back
+        yield "hidden_bias", (...,), back.sum(axis=0)
+        slope = np.empty_like(self.view["embedding"])
         for i in range(EMBEDDING):
-            out.view["embedding"][:, i] = np.bincount(places, parts[i::EMBEDDING].ravel(), size)
-        out.values /= n
+            slope[:, i] = np.bincount(places, parts[i::EMBEDDING].ravel(), size)
+        yield "embedding", (...,), slope
+
+    def slope(self, windows: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """``slopes`` as one vector."""
+        out = Network(len(self.view["embedding"]), np.zeros_like(self.values))
+        for name, at, slope in self.slopes(windows, targets):
+            out.view[name][at] = slope
         return out.values
 
+    def learn(self, windows: np.ndarray, targets: np.ndarray, squares: Network, rate: float) -> None:
+        """One step down the slope, by each parameter's sum of squared slopes so far."""
+        for name, at, step in self.slopes(windows, targets):
+            sums = squares.view[name][at]
+            sums += step * step
+            step *= rate
+            step /= np.sqrt(sums)
+            self.view[name][at] -= step
+
 
 @dataclass(frozen=True)
 class Level:
@@ -249,19 +269,21 @@ def number_words(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, chars=1_000_000):
                 texts = batch.column("text").to_pylist()
-                places, hashed = [], []
+                words, ends = [], []
                 for text in texts:
-                    words = tokens(text)
-                    found = [lookup[w] for w in words]
-                    places.append(np.array(found, dtype=kind).tobytes())
-                    hashed.append([hashes[w] for w, place in zip(words, found, strict=True) if place > own])
+                    words += tokens(text)
+                    ends.append(len(words))
+                places = np.fromiter(map(lookup.__getitem__, words), dtype=np.int64, count=len(words))
+                sharing = np.flatnonzero(places > own)
+                hashed = np.fromiter((hashes[words[i]] for i in sharing.tolist()), dtype=np.int64, count=len(sharing))
+                raw, size = places.astype(kind).tobytes(), np.dtype(kind).itemsize
                 yield {
                     "row": np.arange(row, row + batch.num_rows),
                     "doc_id": batch.column("doc_id"),
-                    "places": places,
+                    "places": [raw[size * a : size * b] for a, b in pairwise([0, *ends])],
                     "point": first_points(texts),
-                    "n_bytes": [len((t or "").encode("utf-8", "surrogatepass")) for t in texts],
-                    "hashed": hashed,
+                    "n_bytes": pc.binary_length(batch.column("text")).fill_null(0),
+                    "hashed": np.split(hashed, np.searchsorted(sharing, ends[:-1])),
                 }
                 row += batch.num_rows
 
@@ -315,8 +337,7 @@ def train(
 
         def learn(batches: Batches) -> Iterable[dict]:
             local = Network(size, initial.copy())
-            squares, work = np.full_like(local.values, 1e-6), np.empty_like(local.values[:PIECE])
-            pieces = [slice(p, p + PIECE) for p in range(0, len(local.values), PIECE)]
+            squares = Network(size, np.full_like(local.values, 1e-6))
             rng = np.random.default_rng((number, TaskContext.get().partitionId()))
             seen = 0
             for whole in batches:
@@ -326,20 +347,15 @@ def train(
                     rng.shuffle(drawn)
                     for at in range(0, len(drawn), batch_size):
                         rows = drawn[at : at + batch_size]
-                        slope = local.slope(places[rows[:, None] + OFFSETS], places[rows])
-                        for piece in pieces:
-                            step = slope[piece]
-                            squares[piece] += np.multiply(step, step, out=work[: len(step)])
-                            step *= rate
-                            step /= np.sqrt(squares[piece], out=work[: len(step)])
-                            local.values[piece] -= step
+                        local.learn(places[rows[:, None] + OFFSETS], places[rows], squares, rate)
                         seen += len(rows)
             if seen:
+                pieces = range(0, len(local.values), PIECE)
                 yield {
-                    "piece": [p.start for p in pieces],
+                    "piece": list(pieces),
                     "part": [TaskContext.get().partitionId() // 16] * len(pieces),
                     "weight": [float(seen)] * len(pieces),
-                    "mean": [local.values[p].tobytes() for p in pieces],
+                    "mean": [local.values[p : p + PIECE].tobytes() for p in pieces],
                 }
 
         def add(group: pd.DataFrame) -> pd.DataFrame:
