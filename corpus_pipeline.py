@@ -16,7 +16,7 @@ from lectern.llm.language import UNDETERMINED, fit_language, predict_language
 from lectern.llm.mixing import mix_sources
 from lectern.llm.near_copies import near_copies
 from lectern.llm.pii import find_pii
-from lectern.session import pin, scratch_path, with_scratch
+from lectern.session import pin, scratch_path, small, with_scratch
 
 LEAST_SCORE = 0.2
 
@@ -33,7 +33,8 @@ def _key(docs: DataFrame) -> Column:
 
 
 def _one_per_key(keyed: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``keyed`` with one row of each key in ``repeated``; rows of other keys are not moved."""
+    """``keyed`` with one row of each key in ``repeated``, which is pinned; rows of other keys are not moved if these are few."""
+    repeated = small(repeated)
     first = keyed.join(repeated, "__key", "left_semi").dropDuplicates(["__key"])
     return keyed.join(repeated, "__key", "left_anti").unionByName(first)
 
@@ -71,7 +72,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     named = _one_per_key(keyed.select("__key", "__id"), repeated).join(several, "__key")
     stays = named.groupBy("class_id").agg(F.min(F.struct("__id", "__key"))["__key"].alias("__key")).select("__key")
     dropped = pin(several.select("__key").join(stays, "__key", "left_anti"))
-    kept = keyed.join(dropped, "__key", "left_anti")
+    kept = keyed.join(small(dropped), "__key", "left_anti")
     return _one_per_key(kept, repeated).select(*docs.columns)
 
 
@@ -81,7 +82,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     digested = docs.select("*", F.md5("text").alias("__digest"))
     leaks = find_leaks(digested.select("__digest", "text"), table(spark, sf_dir, "benchmark"), doc_id="__digest")
     leaking = pin(leaks.select(F.col("doc_id").alias("__digest")).distinct())
-    return digested.join(leaking, "__digest", "left_anti").select(*docs.columns)
+    return digested.join(small(leaking), "__digest", "left_anti").select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -149,6 +149,37 @@ def test_components_of_chains_and_cycles(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_of_few_edges_take_few_tasks(spark):
+    rng = random.Random(3)
+    edges = [(a, rng.randrange(max(1, a - 40), a)) for a in range(2, 400) if a % 50 != 1]
+    root = {}
+    for a, b in edges:
+        root[a] = root.get(b, b)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(30))
+        assert found.rdd.getNumPartitions() == 1
+        assert {r.node: r.root for r in found.collect()} == root
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_components_are_the_same_in_many_tasks(spark, monkeypatch):
+    edges = spark.createDataFrame([(a, a + 1) for a in range(1, 60)] + [(100, a) for a in range(101, 130)], "a bigint, b bigint")
+    few = sorted(map(tuple, components(edges).collect()))
+    monkeypatch.setattr("lectern.llm.components.few_tasks", lambda df, rows: df)
+    assert sorted(map(tuple, components(edges).collect())) == few
+    assert few == sorted([(a, 1) for a in range(2, 61)] + [(a, 100) for a in range(101, 130)])
+
+
+def test_texts_are_not_dealt_out_to_drop_few_documents(spark):
+    docs = corpus_pipeline.table(spark, SMALL, "documents")
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, docs.unionByName(docs.limit(20)), SMALL)
+    assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    clean = corpus_pipeline.drop_benchmark_leaks(spark, docs, SMALL)
+    assert "SortMergeJoin" not in clean._jdf.queryExecution().executedPlan().toString()
+
+
 def test_mix_of_odd_rows(spark):
     rows = [(i, "w " * 10, "big") for i in range(90)] + [(100 + i, "w " * 10, "tiny") for i in range(3)]
     rows += [(200, None, None), (201, "", "none"), (None, "w w", "tiny"), (0, "w " * 10, "big")]
